@@ -1,6 +1,8 @@
 """The numbered queries: each applies one operator to its whole table."""
 
-from docketry.llm import decontaminate, shards
+import public_tokenizers
+
+from docketry.llm import bpe, decontaminate, media, shards
 from docketry.llm.common import table
 
 
@@ -8,9 +10,17 @@ def op3_hilbert_shards(spark, sf_dir):
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_signature_sniffing(spark, sf_dir):
+    return media.payload_features(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op8_decontamination)}
+def op10_forced_boundary_bpe(spark, sf_dir):
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}
