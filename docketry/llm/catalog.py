@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from docketry.llm import bpe, decontaminate, media, shards
+from docketry.llm import bpe, decontaminate, media, shards, toxicity
 from docketry.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_hilbert_shards(spark, sf_dir):
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_signature_sniffing(spark, sf_dir):
     return media.payload_features(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op4_toxicity, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}

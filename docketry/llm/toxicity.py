@@ -3,7 +3,7 @@
 A word counts in itself and through its first letters (toxic stems take many endings), so n-grams and skip-grams are
 over both forms. Features are hashed to ``2**bits`` coordinates, each with its own learning rate; the L1 term leaves
 few weights, which are broadcast. Training takes at most ``max_rows`` labelled rows (a bounded sample by hash of the
-id), dealt to ``trainers`` tasks that learn on their own shares; their weights are averaged.
+id), whose sparse rows are computed by many tasks and learnt in one.
 
 Edge cases: null and empty texts score the bias; labels that are null, and label rows without a document, teach
 nothing; several labels of one id all count; without labels every score is 0; other columns are ignored.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.word_hash import BASE, RUN, Words, chunks, mix, runs
 
-BITS, MAX_ROWS, TRAINERS, EPOCHS = 20, 20_000, 8, 3
+BITS, MAX_ROWS, EPOCHS = 20, 10_000, 3
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -63,7 +63,7 @@ def distinct(docs: np.ndarray, coordinates: np.ndarray, bits: int) -> tuple[np.n
 class FTRL:
     """Per-coordinate FTRL-proximal with L1 and L2 over sparse 0/1 rows; the last coordinate is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -87,8 +87,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, trainers: int = TRAINERS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias): bounded by the trainers' non-zero weights."""
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coordinates, weights, bias): the non-zero ones, at most one for each coordinate."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)  # a heap of max_rows on each task
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -113,8 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         kept = np.flatnonzero(w)
         return pd.DataFrame({"at": kept, "w": w[kept]})
 
-    shares = rows.mapInArrow(vectors, "doc_id bigint, toxic int, row array<int>").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(trainers)))
-    found = shares.groupBy("share").applyInPandas(fit, "at bigint, w double").groupBy("at").agg((F.sum("w") / trainers).alias("w")).toPandas()
+    sparse = rows.mapInArrow(vectors, "doc_id bigint, toxic int, row array<int>")
+    found = sparse.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "at bigint, w double").toPandas()
     at, w = found["at"].to_numpy(np.int64), found["w"].to_numpy(np.float64)
     bias = w[at == 1 << bits]
     return at[at < 1 << bits], w[at < 1 << bits], float(bias[0]) if len(bias) else -50.0
