@@ -2,10 +2,14 @@
 
 import public_tokenizers
 
-from docketry.llm import bpe, decontaminate, media, shards, toxicity
+from docketry.llm import bpe, decontaminate, media, secrets, shards, toxicity
 from docketry.llm.common import table
 
 
+def op1_grammar_secrets(spark, sf_dir):
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark, sf_dir):
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_shards, op4_toxicity, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op3_hilbert_shards, op4_toxicity, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}
