@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from docketry.llm import bpe, decontaminate, media, secrets, shards, toxicity
+from docketry.llm import bpe, decontaminate, media, ngram_join, secrets, shards, toxicity
 from docketry.llm.common import table
 
 
@@ -26,9 +26,13 @@ def op8_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op3_hilbert_shards, op4_toxicity, op7_signature_sniffing, op8_decontamination, op10_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op3_hilbert_shards, op4_toxicity, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}

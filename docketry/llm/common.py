@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of a few numbers a row is broadcast (counted first); beyond it Spark shuffles both sides.
+SMALL_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +30,95 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that no later job computes it again or sees another order."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast where it has few rows. It is counted first, so it should be cut."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def mark(text: Column) -> Column:
+    """Digest of a text; with the id it names a document, so rows that repeat both are one document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp) of every id in ``links`` (long a, long b): comp is one id of the connected component.
+
+    Each round maps every vertex to the neighbour (or itself) of least seeded hash and contracts the edges, which
+    leaves a fraction of the vertices; the rounds' maps are then composed. Hubs cost no more than their edges, as
+    each round only takes minima. No links give no rows.
+    """
+    hashed = lambda c, seed: F.xxhash64(F.col(c), F.lit(seed))
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        seed = len(maps)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy("a").agg(F.min_by("b", hashed("b", seed)).alias("near"), F.min(hashed("b", seed)).alias("least"))
+        step = cut(best.select("a", F.when(F.col("least") < hashed("a", seed), F.col("near")).otherwise(F.col("a")).alias("p")))
+        maps.append(step)
+        moved = edges.join(step.select("a", F.col("p").alias("pa")), "a").join(step.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+        edges = cut(moved.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    if not maps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    found = maps[-1].select(F.col("a").alias("id"), F.col("p").alias("comp"))
+    for step in maps[-2::-1]:
+        later = found.select(F.col("id").alias("p"), "comp")
+        found = step.join(later, "p", "left").select(F.col("a").alias("id"), F.coalesce("comp", "p").alias("comp"))
+    return cut(found)
+
+
+def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, ...) sorted by key and id: those of keys with several ids, each with the key's least id as
+    ``leader``. Streams: however many rows a key has, one is held back."""
+    held, last_key, last_id, leader = None, None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [*batch.schema.names, "leader"]
+        key, own = batch[0].to_numpy(), batch[1].to_numpy()
+        first, again = np.ones(len(key), bool), np.zeros(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        again[1:] = ~first[1:] & (own[1:] == own[:-1])
+        first[0], again[0] = key[0] != last_key, key[0] == last_key and own[0] == last_id
+        starts = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        lead = np.where(starts >= 0, own[np.maximum(starts, 0)], leader if leader is not None else 0)
+        keep = ~first & ~again
+        others = np.add.reduceat(keep, np.flatnonzero(first)) if first.any() else np.zeros(0, int)
+        keep[np.flatnonzero(first)[others > 0]] = True
+        open_run = bool((keep & (starts < 0)).any())
+        if held is not None and open_run:
+            yield held
+        if held is not None and (open_run or first.any()):
+            held = None
+        whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64())], names=names)
+        if keep.any():
+            yield whole.filter(pa.array(keep))
+        if first.any():
+            k = int(np.flatnonzero(first)[-1])
+            held = None if keep[k] else whole.slice(k, 1)
+        last_key, last_id, leader = key[-1], own[-1], lead[-1]
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.Array]]:
+    """Columns of each run of rows that are equal in the first ``n_keys`` columns (integers, sorted)."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.concat_batches([rest, batch]) if rest is not None else batch
+        keys = [c.to_numpy() for c in whole.columns[:n_keys]]
+        new = np.zeros(len(keys[0]) - 1, bool)
+        for k in keys:
+            new |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield whole.slice(a, b - a).columns
+        rest = whole.slice(edges[-1])
+    if rest is not None:
+        yield rest.columns
