@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from docketry.llm import bpe, decontaminate, media, ngram_join, secrets, shards, substrings, toxicity
+from docketry.llm import bpe, decontaminate, lines, media, ngram_join, secrets, shards, substrings, toxicity
 from docketry.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_grammar_secrets(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_fuzzy_lines(spark, sf_dir):
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark, sf_dir):
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op2_fuzzy_lines, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}

@@ -122,3 +122,13 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.A
         rest = whole.slice(edges[-1])
     if rest is not None:
         yield rest.columns
+
+
+def block_tasks(placed: DataFrame, block_rows: int, *columns: str) -> DataFrame:
+    """Of cells (key, id, comp, ...) with several components: rows (key, i, j, block, id, comp, *columns). A cell is
+    cut into blocks of about ``block_rows`` rows, and each pair of blocks i <= j is a task of its own."""
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("key", "rows")
+    blocks = F.ceil(F.col("rows") / block_rows).cast("int")
+    at = placed.join(mixed, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    other = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "comp", *columns)

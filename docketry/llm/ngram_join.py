@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import components, cut, groups, kind_of, leaders, mark, small
+from docketry.llm.common import block_tasks, components, cut, groups, kind_of, leaders, mark, small
 from docketry.llm.word_hash import LOWER, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -197,7 +197,7 @@ class Cell:
 
 
 def cell_pairs(percent: int):
-    """mapInArrow function over rows (key, i, j, block, id, n, pos, comp, vec) sorted by the first three."""
+    """mapInArrow function over rows (key, i, j, block, id, comp, n, pos, vec) sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -208,7 +208,7 @@ def cell_pairs(percent: int):
 
         for columns in groups(batches, 3):
             i, j = columns[1][0].as_py(), columns[2][0].as_py()
-            block, own, n, pos, comp = (c.to_numpy() for c in columns[3:8])
+            block, own, comp, n, pos = (c.to_numpy() for c in columns[3:8])
             vec = np.frombuffer(b"".join(columns[8].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
             rows = np.arange(len(own))
             found += Cell(own, n, pos, comp, vec, percent).pairs(rows[block == i] if i != j else rows, rows[block == j] if i != j else rows)
@@ -243,12 +243,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     comps = components(links)
 
     placed = cells.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("key", "rows")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    at = placed.join(mixed, "key").withColumns({"blocks": blocks, "block": block}).join(wanted.select("id", "vec"), "id")
-    other = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = other.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "n", "pos", "comp", "vec")
+    tasks = block_tasks(placed, BLOCK, "n", "pos").join(wanted.select("id", "vec"), "id").select("key", "i", "j", "block", "id", "comp", "n", "pos", "vec")
     more = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent), "a bigint, b bigint").distinct()
     joined = components(links.unionByName(verified(more, members, percent)))
 
