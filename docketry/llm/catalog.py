@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from docketry.llm import bpe, decontaminate, lines, media, ngram_join, secrets, shards, substrings, toxicity
+from docketry.llm import bpe, decontaminate, licenses, lines, media, ngram_join, secrets, shards, substrings, toxicity
 from docketry.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_substring_dedup(spark, sf_dir):
     return substrings.kept_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_signature_sniffing(spark, sf_dir):
     return media.payload_features(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op2_fuzzy_lines, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
+QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op2_fuzzy_lines, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op6_license_scan, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
 ORACLES = {"op8_decontamination": decontaminate.ORACLE}
