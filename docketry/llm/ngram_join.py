@@ -102,9 +102,9 @@ def features(docs: DataFrame, common, n: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
-    """(id, members) of the sets in ``wanted`` (id, doc_id, mark, hi, lo), members being sorted 64-bit shingles."""
+    """(id, members) of the sets in ``wanted`` (id, doc_id, mark), members being sorted 64-bit shingles."""
     named = docs.select(F.col("doc_id").alias("d"), mark(F.col("text")).alias("m"), "text")
-    found = named.join(small(wanted.select("id", "doc_id", "mark")), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
+    found = named.join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +118,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
     return found.select("id", "text").mapInArrow(run, "id bigint, members binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
+def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, common, n: int, percent: int) -> DataFrame:
+    """Those ``pairs`` (a, b) whose whole sets are similar enough; only their documents are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(whole_sets(docs, cut(known.join(wanted, "id").select("id", "doc_id", "mark")), common, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,17 +237,17 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     keyed = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
     cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(leaders, "key bigint, id bigint, n int, pos int, leader bigint"))
     wanted = cut(reps.join(cells.select("id").distinct(), "id").select("id", "doc_id", "mark", "vec").dropDuplicates(["id"]))
-    members = cut(whole_sets(docs, wanted, common, n))
 
     shared = cells.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     likely = shared.where(400 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
-    links = cut(verified(likely.select(F.col("id").alias("a"), F.col("leader").alias("b")), members, percent))
+    pairs = cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    links = cut(verified(docs, pairs, wanted, common, n, percent))
     comps = components(links)
 
     placed = cells.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tasks = block_tasks(placed, BLOCK, "n", "pos").join(wanted.select("id", "vec"), "id").select("key", "i", "j", "block", "id", "comp", "n", "pos", "vec")
-    more = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent), "a bigint, b bigint").distinct()
-    joined = components(links.unionByName(verified(more, members, percent)))
+    more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent), "a bigint, b bigint").distinct())
+    joined = components(links.unionByName(verified(docs, more, wanted, common, n, percent)))
 
     grouped = sets.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
