@@ -223,8 +223,8 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encoding_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encoding_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids on request."""
 
     rules = unicode_rules()
 
@@ -232,12 +232,17 @@ def encoding_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         model = ForcedBoundaryBPE(vocabulary, rules)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            counts, ids, shown = [], [], []
+            counts, sums, shown, ids = [], [], [], []
             for text in batch[1]:
                 n, said, decoded = model.digest(text.as_py() or "")
                 counts.append(n)
-                ids.append(sha(said))
+                sums.append(sha(said))
                 shown.append(sha(decoded))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    ids.append(list(map(int, said.split())))
+            columns = [batch[0], pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(shown, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)

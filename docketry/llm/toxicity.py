@@ -11,7 +11,7 @@ nothing; several labels of one id all count; without labels every score is 0; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,22 +120,32 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     return at[at < 1 << bits], w[at < 1 << bits], float(bias[0]) if len(bias) else -50.0
 
 
+def scorer(model: tuple[np.ndarray, np.ndarray, float], bits: int) -> Callable[[pa.Array], np.ndarray]:
+    """Function from texts to scores."""
+    at, w, bias = model
+    dense = np.zeros(1 << bits)
+    dense[at] = w
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for row, data, offsets in chunks(texts):
+            doc, spot = features(Words(data, offsets, FOLD, LETTERLESS), bits)
+            live = dense[spot] != 0
+            doc, spot = distinct(doc[live], spot[live], bits)
+            out[row : row + len(offsets) - 1] = np.bincount(doc, dense[spot], len(offsets) - 1)
+        return 1 / (1 + np.exp(-np.clip(out + bias, -50, 50)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, bias = sent.value
-        dense = np.zeros(1 << bits)
-        dense[at] = w
+        scores = scorer(sent.value, bits)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for row, data, offsets in chunks(batch[1]):
-                doc, spot = features(Words(data, offsets, FOLD, LETTERLESS), bits)
-                live = dense[spot] != 0
-                doc, spot = distinct(doc[live], spot[live], bits)
-                out[row : row + len(offsets) - 1] = np.bincount(doc, dense[spot], len(offsets) - 1)
-            p = 1 / (1 + np.exp(-np.clip(out + bias, -50, 50)))
+            p = scores(batch[1])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
@@ -144,3 +154,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of ``docs``, all columns, that aren't predicted toxic."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, bits)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer(sent.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch[at]) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
