@@ -11,8 +11,8 @@ depth ``WINDOW`` with several documents are the deep internal nodes. A prefix wi
 window, where every group is one node and needs its smallest id alone, which Spark takes by partial aggregation.
 Neighbouring repeated windows make the maximal repeats, the spans that are removed.
 
-Which anchors have several stretches goes to the second scan as a bitmap of at most ``2**MOST_BITS`` bits; a false
-positive costs one record that a later join drops.
+The second scan gives out the text of a stretch only from the document of smallest id; it tells which by a Bloom
+filter of at most ``2**MOST_BITS`` bits, in which a false positive costs one more record of a real document.
 
 Edge cases: null and empty texts have no words; texts of fewer than ``WINDOW`` words are never cut; null ids count as
 larger than all others; equal ids never remove each other's words; rows that repeat id and text get the same result;
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cut, groups, kind_of, mark
@@ -35,9 +35,15 @@ from docketry.llm.word_hash import BASE, RUN, Words, chunks, runs
 WINDOW, PREFIX, GROUP = 50, 12, 200
 BATCH_WORDS = 1 << 20
 MOST_BITS, SPANS_SENT = 28, 2_000_000
+PROBES = (0, 18, 36)
 LAST = (1 << 63) - 1
 
 
+def numbered(column: str) -> Column:
+    """Ids as numbers, nulls last."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(LAST))
+
+
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     """For each full window of ``width`` values the index of its least one, the leftmost if several."""
     index, covered = np.arange(len(values)), 1
@@ -92,39 +98,45 @@ def scanned(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_words bigint, anchor array<bigint>, stretch array<bigint>, start array<int>, count array<int>")
 
 
-def bitmap(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """(bits of the index, words of the bitmap) over the upper bits of 64-bit hashes."""
-    bits = min(MOST_BITS, max(16, int(hashes.count() * 8).bit_length()))
-    spot = F.shiftrightunsigned(column, 64 - bits)
-    found = hashes.select(F.shiftrightunsigned(spot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+def bloom_filter(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(bits of an index, words of the bitmap): Bloom filter of distinct 64-bit hashes, which gives three indexes."""
+    bits = min(MOST_BITS, max(16, (hashes.count() * 16).bit_length()))
+    spots = F.explode(F.array(*[F.shiftrightunsigned(column, by).bitwiseAND((1 << bits) - 1) for by in PROBES]))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    found = hashes.select(spots.alias("spot")).select(F.shiftrightunsigned("spot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(np.uint64)
     return bits, out
 
 
+def in_filter(bloom: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    bits, words = bloom
+    out = np.ones(len(hashes), bool)
+    for by in PROBES:
+        spot = (hashes >> np.uint64(by)) & np.uint64((1 << bits) - 1)
+        out &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def stretches(docs: DataFrame, wanted, window: int, prefix: int) -> DataFrame:
-    """(anchor, stretch, words) of the records whose anchor is in the bitmap ``wanted``, once for each task."""
+    """(anchor, stretch, low, words, hot) of the records in the filter ``wanted``[0], low being the document's number;
+    ``wanted``[1] tells which anchors are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, found = wanted.value
-        seen: set[tuple[int, int]] = set()
+        chosen, hot = wanted.value
         for batch in batches:
-            for _, data, offsets in chunks(batch[0]):
+            number, salt = batch[0].to_numpy(), batch[1].to_numpy().view(np.uint64)
+            for row, data, offsets in chunks(batch[2]):
                 words = Words(data, offsets)
                 r = Records(words, window, prefix)
-                spot = r.anchor >> np.uint64(64 - bits)
-                hit = np.flatnonzero((found[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1))
-                rows = []
-                for k in hit.tolist():
-                    name = (int(r.anchor[k]), int(r.stretch[k]))
-                    if name not in seen:
-                        seen.add(name)
-                        rows.append(k)
+                rows = np.flatnonzero(in_filter(chosen, r.stretch ^ salt[row + r.doc]))
                 begin, end = words.starts[r.start[rows]], words.ends[r.start[rows] + r.count[rows] + window - 2]
                 texts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r.anchor[rows].view(np.int64)), pa.array(r.stretch[rows].view(np.int64)), pa.array(texts, pa.binary())], names=["anchor", "stretch", "words"])
+                columns = [pa.array(r.anchor[rows].view(np.int64)), pa.array(r.stretch[rows].view(np.int64)), pa.array(number[row + r.doc[rows]]), pa.array(texts, pa.binary()), pa.array(in_filter(hot, r.anchor[rows]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "stretch", "low", "words", "hot"])
 
-    return docs.select("text").mapInArrow(run, "anchor bigint, stretch bigint, words binary")
+    number = numbered("doc_id")
+    return docs.select(number.alias("number"), F.xxhash64(number).alias("salt"), "text").mapInArrow(run, "anchor bigint, stretch bigint, low bigint, words binary, hot boolean")
 
 
 def deep_nodes(values: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +167,15 @@ def subtrees(window: int):
         parts = [Words(data, offsets) for _, data, offsets in chunks(pa.concat_arrays([g[3] for g in held]))]
         sizes = np.concatenate([np.diff(w.first) for w in parts])
         begins = np.concatenate([[0], np.cumsum(sizes)])
+        order = np.lexsort((low, stretch, anchor))  # of a stretch that came from several documents the first counts
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
         record = np.repeat(np.arange(len(sizes)), sizes)
         position, name = deep_nodes(np.concatenate([w.hash for w in parts]), begins[1:][record], window)
         owner = record[position]
         least = np.full(int(name.max(initial=-1)) + 1, LAST)
         np.minimum.at(least, name, low[owner])
-        hit = least[name] < low[owner]
+        hit = (least[name] < low[owner]) & ~again[owner]
         owner, offset = owner[hit], (position - begins[:-1][record[position]])[hit]
         kept, at = np.unique(owner, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.array(offset.astype(np.int32)))
@@ -200,18 +215,18 @@ def whole_windows(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """(doc_id, mark, spans): runs of words [start, stop) covered by windows that also start in a smaller document."""
     rows = cut(scanned(docs, window, prefix))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    records = rows.select("doc_id", "mark", number.alias("number"), F.explode(F.arrays_zip("anchor", "stretch", "start", "count")).alias("r")).select("doc_id", "mark", "number", "r.*")
+    records = rows.select("doc_id", "mark", F.explode(F.arrays_zip("anchor", "stretch", "start", "count")).alias("r")).select("doc_id", "mark", "r.*").withColumn("number", numbered("doc_id"))
     known = records.groupBy("anchor", "stretch").agg(F.min("number").alias("low"), F.max("number").alias("high"))
     several = known.groupBy("anchor").agg(F.count("*").alias("many"), F.min("low").alias("least"), F.max("high").alias("most"))
     shared = cut(known.join(several.where("least < most"), "anchor").select("anchor", "stretch", "low", "high", "many"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(shared.where("many > 1").select("anchor").distinct(), "anchor"))
-    named = shared.where("many > 1").select(F.col("anchor").alias("a"), F.col("stretch").alias("s"), "low", "many")
-    texts = cut(stretches(docs, wanted, window, prefix).join(named, (F.col("anchor") == F.col("a")) & (F.col("stretch") == F.col("s"))).select("anchor", "stretch", "low", "words", "many"))
+    chosen = bloom_filter(shared.where("many > 1").select(F.col("stretch").bitwiseXOR(F.xxhash64("low")).alias("h")), "h")
+    hot_anchors = bloom_filter(shared.where(F.col("many") > group).select("anchor").distinct(), "anchor")
+    texts = cut(stretches(docs, docs.sparkSession.sparkContext.broadcast((chosen, hot_anchors)), window, prefix))
     out = "anchor bigint, stretch bigint, offsets array<int>"
-    plain = texts.where(F.col("many") <= group).drop("many")
-    inside = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees(window), out)
-    hot = texts.where(F.col("many") > group).drop("many").mapInArrow(whole_windows(window), "anchor bigint, stretch bigint, low bigint, offset int, h1 bigint, h2 bigint")
+    inside = texts.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees(window), out)
+    windows = texts.where("hot").drop("hot").mapInArrow(whole_windows(window), "anchor bigint, stretch bigint, low bigint, offset int, h1 bigint, h2 bigint")
+    of_low = shared.where("many > 1").select(F.col("anchor").alias("a"), F.col("stretch").alias("s"), F.col("low").alias("l"))
+    hot = windows.join(of_low, (F.col("anchor") == F.col("a")) & (F.col("stretch") == F.col("s")) & (F.col("low") == F.col("l"))).drop("a", "s", "l")
     node = hot.groupBy("h1", "h2").agg(F.min("low").alias("least"))
     across = hot.join(node, ["h1", "h2"]).where("least < low").groupBy("anchor", "stretch").agg(F.collect_set("offset").alias("offsets"))
     found = inside.unionByName(across).groupBy("anchor", "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
