@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that no later job computes it again or sees another order."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder as a table, so that no later job computes it again or sees another
+    order, and a lost executor loses none of it. ``clear`` removes the tables of an application."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` has written; results that still read them must be stored before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kind_of(df: DataFrame, column: str) -> str:

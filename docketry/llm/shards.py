@@ -71,8 +71,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = 6) -> Data
     keyed = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), curve(bits, cell("source"), cell("lang"), log).alias("hilbert"))
     order = [F.col("hilbert"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     counts = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # a number for each partition
     total, offsets = 0, []
     for part, n in counts:
