@@ -2,9 +2,9 @@
 
 A document's set holds its distinct ``n``-word shingles. Sets are put in one order, rare words first (word counts of
 the whole corpus in a fixed table), so that a similar pair must share one of its first keys (prefix filter): the rows
-of a key are a cell. Shingles are hashed into ``GROUPS`` groups, and a set's group counts are a point. Within a cell
-an R-tree over these points bounds every overlap by the sum of coordinate minima, against boxes first and points
-then; pairs that survive are verified on their whole sets.
+of a key are a cell. Shingles are hashed into groups (64, or more for larger sets), and a set's group counts are a
+point. Within a cell an R-tree over these points bounds every overlap by the sum of coordinate minima, against boxes
+first and points then; pairs that survive are verified on their whole sets.
 
 Work that copies would cause is avoided by two rounds. First each set is compared with one leader among those it
 shares cells with, and verified links are joined into components. Then the R-trees look for pairs of different
@@ -30,7 +30,8 @@ from docketry.llm.common import block_tasks, components, cut, groups, kind_of, l
 from docketry.llm.word_hash import LOWER, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, LEAF, BLOCK = 64, 24, 1024
+LEAF, BLOCK = 24, 1024
+WIDTHS = ((1 << 10, 64), (1 << 12, 256), (1 << 62, 1024))  # groups of sets of up to so many shingles
 SKETCH_BITS, LEVELS = 16, 63
 
 
@@ -78,8 +79,31 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def count_vectors(doc: np.ndarray, value: np.ndarray, size: np.ndarray, rows: int = 4096) -> list[bytes]:
+    """For each document the counts of its shingles by hash group, up to 255; larger sets have more groups."""
+    out = [b""] * len(size)
+    first = np.concatenate([[0], np.cumsum(size)])
+    for a in range(0, len(size), rows):
+        b = min(len(size), a + rows)
+        own, low = slice(first[a], first[b]), 0
+        for most, groups in WIDTHS:
+            chosen = np.flatnonzero((size[a:b] > low) & (size[a:b] <= most))
+            low = most
+            if not len(chosen):
+                continue
+            place = np.full(b - a, -1)
+            place[chosen] = np.arange(len(chosen))
+            at = place[doc[own] - a]
+            group = (value[own] & np.uint64(groups - 1)).astype(np.int64)
+            counts = np.bincount(at[at >= 0] * groups + group[at >= 0], minlength=len(chosen) * groups)
+            flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            for k, d in enumerate(chosen.tolist()):
+                out[a + d] = flat[k * groups : (k + 1) * groups]
+    return out
+
+
 def features(docs: DataFrame, common, n: int, percent: int) -> DataFrame:
-    """Per row: doc_id, mark, n, hi, lo (digest of the set), keys (first shingles), vec (group counts up to 255)."""
+    """Per row: doc_id, mark, n, hi, lo (digest of the set), keys (first shingles), vec (group counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +117,7 @@ def features(docs: DataFrame, common, n: int, percent: int) -> DataFrame:
                 lead = np.arange(len(value)) - first[doc] < prefix_length(size, percent)[doc]
                 kept = np.concatenate([[0], np.cumsum(np.bincount(doc[lead], minlength=many))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(kept), pa.array(value[lead].view(np.int64)))
-                counts = np.bincount(doc * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64), minlength=many * GROUPS)
-                vec = np.minimum(counts, 255).astype(np.uint8).tobytes()
-                vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), many, [None, pa.py_buffer(vec)]).cast(pa.binary())
+                vecs = pa.array(count_vectors(doc, value, size), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch[0].slice(row, many), batch[1].slice(row, many), pa.array(size), *map(pa.array, digests), keys, vecs], names=["doc_id", "mark", "n", "hi", "lo", "keys", "vec"])
 
     return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, vec binary")
@@ -211,9 +233,18 @@ def cell_pairs(percent: int):
         for columns in groups(batches, 3):
             i, j = columns[1][0].as_py(), columns[2][0].as_py()
             block, own, comp, n, pos = (c.to_numpy() for c in columns[3:8])
-            vec = np.frombuffer(b"".join(columns[8].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-            rows = np.arange(len(own))
-            found += Cell(own, n, pos, comp, vec, percent).pairs(rows[block == i] if i != j else rows, rows[block == j] if i != j else rows)
+            vecs = columns[8].to_pylist()
+            width = np.array([len(v) for v in vecs])
+            kinds = np.unique(width)
+            for wide in kinds:
+                for slim in kinds[kinds <= wide]:  # the wider vectors are folded
+                    rows = np.flatnonzero((width == wide) | (width == slim))
+                    vec = np.stack([np.frombuffer(vecs[r], np.uint8).reshape(-1, slim).sum(axis=0, dtype=np.int32) for r in rows])
+                    cell = Cell(own[rows], n[rows], pos[rows], comp[rows], vec, percent)
+                    at, w = np.arange(len(rows)), width[rows]
+                    for x, y in {(wide, slim), (slim, wide)} if i != j else {(wide, slim)}:
+                        left, right = at[w == x], at[w == y]
+                        found += cell.pairs(left[block[rows][left] == i], right[block[rows][right] == j]) if i != j else cell.pairs(left, right)
             if len(found) > 50_000:
                 yield made()
                 found = []
@@ -239,7 +270,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     wanted = cut(reps.join(cells.select("id").distinct(), "id").select("id", "doc_id", "mark", "vec").dropDuplicates(["id"]))
 
     shared = cells.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    likely = shared.where(400 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
+    likely = shared.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
     pairs = cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     links = cut(verified(docs, pairs, wanted, common, n, percent))
     comps = components(links)
