@@ -25,7 +25,7 @@ def clean(c: Text) -> Column:
 
 def multi(c: Text, separator: str = ";") -> Column:
     """Parts of a separated list: trimmed, blanks dropped, distinct in order of appearance."""
-    parts = F.transform(F.split(col(c), re.escape(separator)), F.trim)
+    parts = F.transform(F.split(col(c), re.escape(separator)), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 

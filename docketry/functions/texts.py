@@ -8,9 +8,10 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts, in the given order (it isn't symmetric); nulls are empty."""
     for a, b in batches:
@@ -41,7 +42,7 @@ def visible_text(html: str) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pieces of visible text, one a line; scripts and styles are left out; null stays null."""
     for pages in batches:

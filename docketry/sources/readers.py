@@ -37,7 +37,7 @@ def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines) of an index snapshot; a record needs an integer id."""
     lines = parsed_lines(spark, path, SNAPSHOT).withColumn("whole", F.get_json_object("line", "$.id").rlike(r"^-?\d+$"))
-    good = F.col("r").isNotNull() & F.coalesce("whole", F.lit(False))
+    good = F.col("r.id").isNotNull() & F.coalesce("whole", F.lit(False))
     return lines.where(good).select("r.*"), lines.where(~good).select("file", "line")
 
 
