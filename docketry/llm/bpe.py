@@ -22,7 +22,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few numbers a row is broadcast (counted first); beyond it Spark shuffles both sides.
 SMALL_ROWS = 1_000_000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a folder. Batches for Python hold at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, so a task
+    holds little however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

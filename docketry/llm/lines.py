@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docketry.llm.common import block_tasks, components, cut, groups, kind_of, mark
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
-BITS, BLOCKS, SIMILARITY = 3, 5, 0.8
+BITS, BLOCKS, SIMILARITY = 3, 6, 0.8
 BLOCK_ROWS, LINES_SENT = 1024, 2_000_000
 MARKS = np.zeros(256, bool)
 MARKS[:128] = True
@@ -258,12 +258,9 @@ def deduplicated(docs: DataFrame, drop_emptied: bool = False, bits: int = BITS,
     """``docs`` with the lines that stay; documents that lose all their words can be dropped."""
     both = _with_removed(docs, bits, blocks, similarity)
 
-    @F.pandas_udf("string")
-    def kept(texts, lines):
-        return texts.combine(lines, lambda t, g: t if g is None or t is None else _kept(t, set(g)))
-
     touched = F.col("__lines").isNotNull()
-    out = both.withColumn("text", F.when(touched, kept("text", "__lines")).otherwise(F.col("text")))
+    stay = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("__lines", k))
+    out = both.withColumn("text", F.when(touched, F.array_join(stay, "\n")).otherwise(F.col("text")))
     if drop_emptied:
         out = out.where(~touched | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return out.select(*docs.columns)

@@ -202,6 +202,8 @@ class Cell:
         return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        if not len(left) or not len(right):
+            return []
         if len(left) <= LEAF and len(right) <= LEAF:
             return self._points(left, right)
         out, todo = [], [(Node(left, self), Node(right, self))]
