@@ -30,7 +30,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class Known(dict):
+    """A memory of one process: it is pickled empty, so that tasks aren't sent it."""
+
+    def __reduce__(self):
+        return Known, ()
+
+
+_powers = Known()
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
