@@ -188,17 +188,57 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("text", "lines").mapInArrow(run, "id bigint, form string").dropDuplicates(["id"])
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or some number over ``most``. All cells of a column are bits of one number, so long lines take
+    one pass."""
+    k = common_length(a, b)
+    a, b = a[k:], b[k:]
+    k = common_length(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if not a or not b:
+        return len(a) + len(b)
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    whole, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = whole, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = masks.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up), up & across
+        score += bool(more & top) - bool(less & top)
+        if score - left > most:
+            return most + 1
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(level | more)) & whole, more & level & whole
+    return score
+
+
 def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose normal forms are similar enough. The edit distance is sought in bands of growing
-    width, so near copies of long lines cost little."""
+    """Those of ``pairs`` (a, b) whose normal forms are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     forms = cut(line_texts(docs, known.join(wanted, "id").select("id", "place")))
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
-    limit = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-    banded = "levenshtein(x, y, {0}) >= 0"
-    bound = both.withColumn("most", limit).where("abs(length(x) - length(y)) <= most")
-    tests = " OR ".join(banded.format(f"least({width}, most)") for width in (16, 128, 1024)) + " OR (most > 1024 AND " + banded.format("most") + ")"
-    return bound.where(F.expr(tests)).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
+                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:

@@ -159,10 +159,10 @@ def test_lines_keep_one_of_each_group(spark, docs, pairs, empty):
 
 def distance(a, b):
     """Edit distance after common ends."""
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    begin = next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+    a, b = a[begin:], b[begin:]
+    end = next((k for k, (p, q) in enumerate(zip(a[::-1], b[::-1], strict=False)) if p != q), min(len(a), len(b)))
+    a, b = a[: len(a) - end], b[: len(b) - end]
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -172,6 +172,15 @@ def distance(a, b):
     return last[-1]
 
 
+def test_edit_distance():
+    random.seed(7)
+    for _ in range(300):
+        a, b = ("".join(random.choices("abé", k=random.randrange(12))) for _ in range(2))
+        assert lines.edit_distance(a, b, 50) == distance(a, b)
+        most = random.randrange(4)
+        assert (lines.edit_distance(a, b, most) <= most) == (distance(a, b) <= most)
+
+
 def test_shards_are_even_and_gapless(docs, pairs, empty):
     found = shards.hilbert_shards(docs).collect()
     sizes = Counter(r.shard for r in found)
