@@ -1,7 +1,7 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
 Every ``WINDOW``-word suffix start (a window) belongs to the anchor in it: its run of ``PREFIX`` words of least hash,
-the leftmost if several. Equal windows have equal anchors, so suffixes are partitioned by that prefix and a partition
+whatever place it has. Equal windows have equal anchors, so suffixes are partitioned by that prefix and a partition
 decides its windows alone. The windows of one anchor in one document are one record with one stretch of text; equal
 stretches (copies) are aggregated to the smallest id before anything is compared.
 
@@ -34,7 +34,7 @@ from docketry.llm.word_hash import BASE, RUN, Words, chunks, runs
 
 WINDOW, PREFIX, GROUP = 50, 12, 200
 BATCH_WORDS = 1 << 20
-MOST_BITS, SPANS_SENT = 28, 2_000_000
+MOST_BITS = 28
 PROBES = (0, 18, 36)
 LAST = (1 << 63) - 1
 
@@ -68,14 +68,14 @@ class Records:
         if not len(starts):
             return
         grams = runs(words.hash, np.arange(len(words.hash) - prefix + 1), np.arange(prefix, len(words.hash) + 1), RUN)
-        at = least_in_windows(grams, window - prefix + 1)[starts]
+        least = grams[least_in_windows(grams, window - prefix + 1)[starts]]
         doc = words.doc_of()[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        new = np.ones(len(starts), bool)  # runs of one repeated word have one anchor, however long they are
+        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         self.doc, self.start = doc[first], starts[first]
         self.count = np.diff(np.append(first, len(starts)))
-        self.anchor = grams[at[first]]
+        self.anchor = least[first]
         self.stretch = runs(words.hash, self.start, self.start + self.count + window - 1, BASE)
 
 
@@ -224,11 +224,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     texts = cut(stretches(docs, docs.sparkSession.sparkContext.broadcast((chosen, hot_anchors)), window, prefix))
     out = "anchor bigint, stretch bigint, offsets array<int>"
     inside = texts.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees(window), out)
-    windows = texts.where("hot").drop("hot").mapInArrow(whole_windows(window), "anchor bigint, stretch bigint, low bigint, offset int, h1 bigint, h2 bigint")
-    of_low = shared.where("many > 1").select(F.col("anchor").alias("a"), F.col("stretch").alias("s"), F.col("low").alias("l"))
-    hot = windows.join(of_low, (F.col("anchor") == F.col("a")) & (F.col("stretch") == F.col("s")) & (F.col("low") == F.col("l"))).drop("a", "s", "l")
-    node = hot.groupBy("h1", "h2").agg(F.min("low").alias("least"))
-    across = hot.join(node, ["h1", "h2"]).where("least < low").groupBy("anchor", "stretch").agg(F.collect_set("offset").alias("offsets"))
+    of_low = shared.where("many > 1").select("anchor", "stretch", "low")
+    long = texts.where("hot").join(of_low, ["anchor", "stretch", "low"]).select("anchor", "stretch", "low", "words")
+    windows = long.mapInArrow(whole_windows(window), "anchor bigint, stretch bigint, low bigint, offset int, h1 bigint, h2 bigint")
+    node = windows.groupBy("h1", "h2").agg(F.min("low").alias("least")).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
+    across = windows.join(node, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("least") < F.col("low"))).groupBy("anchor", "stretch").agg(F.collect_set("offset").alias("offsets"))
     found = inside.unionByName(across).groupBy("anchor", "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
     judged = shared.join(found, ["anchor", "stretch"], "left").where("low < high OR offsets IS NOT NULL").select("anchor", "stretch", "low", "offsets")
     met = records.join(judged, ["anchor", "stretch"])
@@ -241,9 +241,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 def _kept(docs: DataFrame, window: int, prefix: int, group: int, text: bool) -> DataFrame:
     """``docs`` rows (id, mark, text, other columns) to words kept, as digests or as texts."""
     spans = cut(repeated_spans(docs, window, prefix, group).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("spans.start").alias("__from"), F.col("spans.stop").alias("__to")))
-    sent = (spans.agg(F.sum(F.size("__from"))).first()[0] or 0) <= SPANS_SENT
     named = docs.withColumn("__mark", mark(F.col("text")))
-    both = named.join(F.broadcast(spans) if sent else spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")), "left")
+    both = named.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
