@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.word_hash import BASE, RUN, Words, chunks, mix, runs
 
-BITS, MAX_ROWS, EPOCHS = 20, 10_000, 3
+BITS, MAX_ROWS, EPOCHS = 20, 10_000, 5
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -63,7 +63,7 @@ def distinct(docs: np.ndarray, coordinates: np.ndarray, bits: int) -> tuple[np.n
 class FTRL:
     """Per-coordinate FTRL-proximal with L1 and L2 over sparse 0/1 rows; the last coordinate is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
+    def __init__(self, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
