@@ -6,8 +6,8 @@ of a key are a cell. Shingles are hashed into groups (64, or more for larger set
 point. Within a cell an R-tree over these points bounds every overlap by the sum of coordinate minima, against boxes
 first and points then; pairs that survive are verified on their whole sets.
 
-Work that copies would cause is avoided by two rounds. First each set is compared with one leader among those it
-shares cells with, and verified links are joined into components. Then the R-trees look for pairs of different
+Work that copies would cause is avoided first: in each of ``ROUNDS`` rounds a set of a cell is compared with one leader
+of another component among those it shares cells with, and verified links are joined into components. Then the R-trees look for pairs of different
 components alone, and skip subtrees that are all of one. So a family of near copies costs its size, not its square,
 and no link between components is lost. Large cells are cut into blocks, and pairs of blocks become tasks.
 
@@ -30,7 +30,7 @@ from docketry.llm.common import block_tasks, components, cut, groups, kind_of, l
 from docketry.llm.word_hash import LOWER, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
-LEAF, BLOCK = 24, 1024
+LEAF, BLOCK, ROUNDS, BEST = 24, 1024, 1, 3
 WIDTHS = ((1 << 10, 64), (1 << 12, 256), (1 << 62, 1024))  # groups of sets of up to so many shingles
 SKETCH_BITS, LEVELS = 16, 63
 
@@ -188,25 +188,25 @@ class Cell:
         """Whether sets of ``total`` elements together, with at most ``overlap`` in common, can be similar."""
         return (100 + self.percent) * overlap >= self.percent * total
 
-    def _points(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    def _points(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         total = self.n[a][:, None] + self.n[b][None, :]
         after = 1 + np.minimum((self.n - self.pos - 1)[a][:, None], (self.n - self.pos - 1)[b][None, :])
         ok = (self.comp[a][:, None] != self.comp[b][None, :]) & self._near(np.minimum(after, np.minimum(self.n[a][:, None], self.n[b][None, :])), total)
         i, j = np.nonzero(ok)
-        if not len(i):
-            return []
         i, j = a[i], b[j]
         shared = np.minimum(self.vec[i], self.vec[j]).sum(axis=1) + np.minimum(self.spill[i], self.spill[j])
         ok = self._near(shared, self.n[i] + self.n[j])
         x, y = self.own[i[ok]], self.own[j[ok]]
-        return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+        return np.stack([np.minimum(x, y), np.maximum(x, y), 1000 * shared[ok] // (self.n[i] + self.n[j])[ok]])
 
-    def pairs(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rows a, b and the bound in thousandths of both sizes."""
+        none = np.zeros((3, 0), np.int64)
         if not len(left) or not len(right):
-            return []
+            return none
         if len(left) <= LEAF and len(right) <= LEAF:
             return self._points(left, right)
-        out, todo = [], [(Node(left, self), Node(right, self))]
+        out, todo = [none], [(Node(left, self), Node(right, self))]
         while todo:
             u, v = todo.pop()
             if u.comp is not None and u.comp == v.comp:
@@ -214,26 +214,38 @@ class Cell:
             if not self._near(int(np.minimum(u.top, v.top).sum()) + min(u.spill, v.spill), u.least + v.least):
                 continue
             if not u.parts and not v.parts:
-                out += self._points(u.rows, v.rows)
+                out.append(self._points(u.rows, v.rows))
             elif u.parts and (not v.parts or len(u.rows) >= len(v.rows)):
                 todo += [(p, v) for p in u.parts]
             else:
                 todo += [(u, p) for p in v.parts]
-        return out
+        return np.concatenate(out, axis=1)
 
 
-def cell_pairs(percent: int):
+def most_likely(found: np.ndarray, best: int) -> np.ndarray:
+    """Of pairs with bounds those that are among the ``best`` of one of their sets."""
+    keep = np.zeros(found.shape[1], bool)
+    for side in (0, 1):
+        order = np.lexsort((-found[2], found[side]))
+        own = found[side][order]
+        first = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+        start = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) if len(own) else own
+        keep[order[np.arange(len(own)) - start < best]] = True
+    return found[:, keep]
+
+
+def cell_pairs(percent: int, best: int | None = None):
     """mapInArrow function over rows (key, i, j, block, id, comp, n, pos, vec) sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
 
         def made() -> pa.RecordBatch:
-            a, b = zip(*set(found), strict=True) if found else ((), ())
+            a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for columns in groups(batches, 3):
-            i, j = columns[1][0].as_py(), columns[2][0].as_py()
+            i, j, near = columns[1][0].as_py(), columns[2][0].as_py(), []
             block, own, comp, n, pos = (c.to_numpy() for c in columns[3:8])
             vecs = columns[8].to_pylist()
             width = np.array([len(v) for v in vecs])
@@ -246,10 +258,12 @@ def cell_pairs(percent: int):
                     at, w = np.arange(len(rows)), width[rows]
                     for x, y in {(wide, slim), (slim, wide)} if i != j else {(wide, slim)}:
                         left, right = at[w == x], at[w == y]
-                        found += cell.pairs(left[block[rows][left] == i], right[block[rows][right] == j]) if i != j else cell.pairs(left, right)
-            if len(found) > 50_000:
+                        near.append(cell.pairs(left[block[rows][left] == i], right[block[rows][right] == j]) if i != j else cell.pairs(left, right))
+            both = np.concatenate(near, axis=1)
+            found.update(zip(*(most_likely(both, best) if best else both)[:2].tolist(), strict=True))
+            if len(found) > 500_000:
                 yield made()
-                found = []
+                found = set()
         yield made()
 
     return run
@@ -271,18 +285,26 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(leaders, "key bigint, id bigint, n int, pos int, leader bigint"))
     wanted = cut(reps.join(cells.select("id").distinct(), "id").select("id", "doc_id", "mark", "vec").dropDuplicates(["id"]))
 
-    shared = cells.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    likely = shared.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
-    pairs = cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    links = cut(verified(docs, pairs, wanted, common, n, percent))
-    comps = components(links)
-
-    placed = cells.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tasks = block_tasks(placed, BLOCK, "n", "pos").join(wanted.select("id", "vec"), "id").select("key", "i", "j", "block", "id", "comp", "n", "pos", "vec")
-    more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent), "a bigint, b bigint").distinct())
-    joined = components(links.unionByName(verified(docs, more, wanted, common, n, percent)))
-
-    grouped = sets.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    links = comps = None
+    for seed in range(ROUNDS):
+        at = cells.drop("leader") if comps is None else cells.drop("leader").join(comps, "id", "left")
+        at = at.withColumn("comp", F.coalesce(F.col("comp"), F.col("id")) if comps is not None else F.col("id"))
+        hashed = F.xxhash64("id", F.lit(seed))
+        first = at.groupBy("key").agg(F.min_by("id", hashed).alias("leader"), F.min_by("comp", hashed).alias("of"))
+        shared = at.join(first, "key").where("comp != of").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        likely = shared.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
+        found = cut(verified(docs, cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b"))), wanted, common, n, percent))
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+
+    for best in (BEST, None):  # the likeliest pairs join what copies there are, so that few are left for the last look
+        placed = cells.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        tasks = block_tasks(placed, BLOCK, "n", "pos").join(wanted.select("id", "vec"), "id").select("key", "i", "j", "block", "id", "comp", "n", "pos", "vec")
+        more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent, best), "a bigint, b bigint").distinct())
+        links = links.unionByName(cut(verified(docs, more, wanted, common, n, percent)))
+        comps = components(links)
+
+    grouped = sets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_set = grouped.join(least, "comp").select("hi", "lo", "component_id")
     out = feats.join(of_set, ["hi", "lo"], "left")
