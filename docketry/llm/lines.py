@@ -1,14 +1,16 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
 A line is normalised to its words of letters and digits, A-Z in lower case, joined by a blank. Lines of equal normal
-form are one line from the start. A line's 64-bit SimHash is over its word pairs (its word, if it has one); two lines are
-candidates if their SimHashes differ in at most ``BITS`` bits. With ``BLOCKS`` blocks at least ``BLOCKS - BITS`` of
-them then agree, so lines meet under the key of some choice of that many blocks. Candidates link where the edit
-distance of the normal forms is at most a fifth of the longer one. Of each group of linked lines the first occurrence
-(by id, nulls last, then text digest and line number) stays.
+form are one line from the start. A line's features are its distinct words and the joints between them (three characters
+on either side), of which one edit changes two or three; normal forms of at most ``SHORT`` bytes also have character
+3-grams. Lines meet under ``BANDS`` keys of two least features each, for either kind of features, and under blocks of
+their 64-bit SimHashes (no pair within ``NEAR`` bits is missed there). Those that meet and whose SimHashes differ in at
+most ``BITS`` bits are candidates, and link where the edit distance of the normal forms is at most a fifth of the longer
+one. Changed words and blocks are found up to that fifth; of lines with single characters changed all over, a part isn't
+(README). Of each group of linked lines the first occurrence (by id, nulls last, then text digest and line number) stays.
 
 As copies come in thousands, each line is first verified against one near leader it shares a key with; pairs are
-then sought between different components alone, in blocks of large keys. No link between components is lost.
+then sought between different components alone, in blocks of large keys.
 
 Edge cases: lines without letters and digits are never duplicates and stay; null texts have no lines and stay null;
 rows that repeat id and text are one document and get the same result; an empty table gives no rows; a document whose
@@ -23,13 +25,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import block_tasks, components, cut, groups, kind_of, mark
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
-BITS, BLOCKS, SIMILARITY = 3, 6, 0.8
+BITS, SIMILARITY = 22, 0.8
+NEAR, BLOCKS, BANDS, SHORT = 3, 5, 12, 40
+SIG, LONG_WORD, LONG_JOINT = 12 + 4 * BANDS, 6, 10
+LENGTHS = 65  # percent; bytes of forms that are similar in characters differ by more where scripts mix
+ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63, 2 * BANDS)]
 BLOCK_ROWS, LINES_SENT = 1024, 2_000_000
 MARKS = np.zeros(256, bool)
 MARKS[:128] = True
@@ -51,33 +58,172 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.append(starts[order], len(data)), first
 
 
-def simhashes(words: Words) -> np.ndarray:
-    """SimHash of each line: a bit is set where it is in more than half of the line's features."""
-    lines = len(words.first) - 1
-    pairs = words.gram_starts(2)
-    alone = words.first[:-1][np.diff(words.first) == 1]
-    doc = words.doc_of()
-    line = np.concatenate([doc[pairs], doc[alone]])
-    value = np.concatenate([words.gram_hash(pairs, 2), mix(words.hash[alone])])
-    order = np.argsort(line, kind="stable")
-    line, value = line[order], value[order]
-    out = np.zeros(lines, np.uint64)
+def line_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, value, is telling: no short word) of each line's distinct words and joints (the last three characters of a word and the first three
+    of the next). One edit changes two of them, or three."""
+    data, (starts, ends) = LOWER[words.data].astype(np.uint64) + np.uint64(1), (words.starts, words.ends)
+    tail, head = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for k in range(3):
+        far = ends - starts > k
+        tail[far] = tail[far] << np.uint64(9) | data[ends[far] - 1 - k]
+        head[far] = head[far] << np.uint64(9) | data[starts[far] + k]
+    pairs, doc = words.gram_starts(2), words.doc_of()
+    joints = mix((tail[pairs] << np.uint64(32) | head[pairs]) ^ np.uint64(0x7015))
+    long = ends - starts
+    return distinct(np.concatenate([doc, doc[pairs]]), np.concatenate([mix(words.hash), joints]), np.append(long >= LONG_WORD, long[pairs] + long[pairs + 1] >= LONG_JOINT))
+
+
+def short_features(words: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, value) of the distinct character 3-grams of the normal forms of ``wanted`` lines, with a blank at both ends."""
+    a, b = words.first[:-1][wanted], words.first[1:][wanted]
+    at = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+    size = words.ends[at] - words.starts[at] + 1
+    begin = np.cumsum(size) - size
+    form = np.append(LOWER[np.append(words.data, np.uint8(32))[np.repeat(words.starts[at] - begin, size) + np.arange(size.sum())]], [32, 32]).astype(np.uint64)
+    form[begin + size - 1] = 32
+    line = np.repeat(np.repeat(wanted, b - a), size)
+    n = len(line)
+    before = np.append(np.uint64(32), form)[:n]  # every line ends with a blank, so the next one's first gram has it in front
+    inner = np.append(line[1:] == line[:-1], False) if n else np.zeros(0, bool)
+    value = before << np.uint64(16) | form[:n] << np.uint64(8) | form[1 : n + 1]
+    return distinct(line[inner], mix(value[inner] ^ np.uint64(0x35 << 32)), np.ones(inner.sum(), bool))
+
+
+def distinct(line: np.ndarray, value: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows by line. 39 bits of a value count, so that a row is one number to sort; they are mixed anew."""
+    value = value >> np.uint64(25) << np.uint64(1) | telling.astype(np.uint64)
+    if len(line) and line.max() >= 1 << 24:
+        order = np.lexsort((value, line))
+        line, value = line[order], value[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (value[1:] != value[:-1]))
+        return line[new], mix(value[new]), (value[new] & np.uint64(1)) > 0
+    both = np.sort(line.astype(np.uint64) << np.uint64(40) | value)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return (both >> np.uint64(40)).astype(np.int64), mix(both & np.uint64((1 << 40) - 1)), (both & np.uint64(1)) > 0
+
+
+def edges_of(line: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+
+
+def summed(line: np.ndarray, value: np.ndarray, _: np.ndarray, out: np.ndarray) -> None:
+    """Puts the SimHash of each line's features into ``out``: a bit is set where it is in more than half of them."""
     if not len(line):
-        return out
-    edges = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        return
+    edges = edges_of(line)
     size = np.diff(np.append(edges, len(line))).astype(np.uint64)
-    low = np.uint64(0xFFFFFFFF)
+    lanes = 4 if size.max() < 1 << 16 else 2  # counters in each sum
+    width = 64 // lanes
+    ones, low = np.uint64(sum(1 << (width * k) for k in range(lanes))), np.uint64((1 << width) - 1)
     found = np.zeros(len(edges), np.uint64)
-    for bit in range(32):  # two counters in each sum
-        both = np.add.reduceat((value >> np.uint64(bit)) & np.uint64(0x100000001), edges)
-        found |= ((both & low) * np.uint64(2) > size).astype(np.uint64) << np.uint64(bit)
-        found |= ((both >> np.uint64(32)) * np.uint64(2) > size).astype(np.uint64) << np.uint64(bit + 32)
+    for bit in range(width):
+        counts = np.add.reduceat((value >> np.uint64(bit)) & ones, edges)
+        for k in range(lanes):
+            found |= (((counts >> np.uint64(width * k)) & low) * np.uint64(2) > size).astype(np.uint64) << np.uint64(bit + width * k)
     out[line[edges]] = found
+
+
+def minima(line: np.ndarray, value: np.ndarray, telling: np.ndarray, salt: int, lines: int) -> np.ndarray:
+    """``BANDS`` keys of each line with features: each a digest of the least telling feature under two seeded orders."""
+    if len(line):
+        kept = telling | (np.bincount(line, telling, lines) == 0)[line]  # some lines have short words alone
+        line, value = line[kept], value[kept]
+    out = np.zeros((lines, BANDS), np.uint64)
+    if not len(line):
+        return out
+    edges = edges_of(line)
+    for k in range(BANDS):
+        least = [np.minimum.reduceat((value ^ (value >> np.uint64(29))) * np.uint64(ODD[2 * k + j]), edges) for j in range(2)]
+        out[line[edges], k] = mix(least[0] ^ mix(least[1] + np.uint64(salt * BANDS + k)))
     return out
 
 
+def form_lengths(words: Words) -> np.ndarray:
+    """Bytes of each line's normal form."""
+    total = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+    return np.maximum(total[words.first[1:]] - total[words.first[:-1]] - 1, 0)
+
+
+def length_codes(length: np.ndarray) -> np.ndarray:
+    """Bits to flip by a line's length: two more for each quarter that it is longer, so lines of one size differ in few
+    and lines of very different sizes in most. After 64 flips bits are flipped back in turn."""
+    steps = np.floor(np.log(np.maximum(length, 1)) / np.log(1.25) * 2).astype(np.uint64) % np.uint64(128)
+    low = lambda n: np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, np.uint64(63))) - np.uint64(1))
+    return np.where(steps <= 64, low(steps), ~low(np.maximum(steps, np.uint64(64)) - np.uint64(64)))
+
+
+def signatures(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(SimHash by words and joints, SimHash by 3-grams, band keys by either) of each line; lines over ``SHORT`` have
+    no 3-grams and 0 there. Lines of four fifths of that up to it have both."""
+    lines, length = len(words.first) - 1, form_lengths(words)
+    sims, shorts = np.zeros(lines, np.uint64), np.zeros(lines, np.uint64)
+    own, grams = line_features(words), short_features(words, np.flatnonzero((length > 0) & (length <= SHORT)))
+    summed(*own, sims)
+    sims ^= length_codes(length)
+    summed(*grams, shorts)
+    return sims, shorts, minima(*own, 1, lines), minima(*grams, 2, lines)
+
+
+def packed(words: Words, kept: np.ndarray) -> pa.Array:
+    """Signatures of the ``kept`` lines as bytes: SimHash, length and bands by words, and for short lines those by 3-grams."""
+    sims, shorts, bands, short_bands = signatures(words)
+    length = form_lengths(words)[kept]
+    brief = length <= SHORT
+    rows = np.zeros((len(kept), 2, SIG), np.uint8)
+    for k, (sim, keys) in enumerate(((sims, bands), (shorts, short_bands))):
+        rows[:, k, :8] = sim[kept, None].view(np.uint8)
+        rows[:, k, 8:12] = length[:, None].astype(np.int32).view(np.uint8)
+        rows[:, k, 12:] = (keys[kept] >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(len(kept), -1)
+    use = np.stack([np.ones(len(kept), bool), brief], axis=1)
+    ends = np.concatenate([[0], np.cumsum(np.where(brief, 2 * SIG, SIG))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends), pa.py_buffer(rows[use].tobytes())])
+
+
+def keyed_rows(masks: list[int]):
+    """mapInArrow function over (id, sig): rows (key, id, sim, size), one for each choice of blocks (odd keys) and for each
+    band (even keys)."""
+    masks = np.array(masks, np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch[0].to_numpy()
+            brief = pc.binary_length(batch[1]).to_numpy() > SIG
+            data = np.frombuffer(b"".join(batch[1].to_pylist()), np.uint8).reshape(-1, SIG)
+            second = np.zeros(len(data), bool)
+            second[np.cumsum(brief + 1)[brief] - 1] = True
+            ids = np.repeat(own, brief + 1)
+            sim = np.ascontiguousarray(data[:, :8]).view(np.uint64)[:, 0]
+            size = np.ascontiguousarray(data[:, 8:12]).view(np.int32)[:, 0]
+            bands = np.ascontiguousarray(data[:, 12:]).view(np.uint32).astype(np.uint64)
+            salt = (np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(BANDS) * second[:, None].astype(np.uint64)) << np.uint64(32)
+            at = np.flatnonzero(~second)
+            blocks = mix((sim[at][:, None] & masks[None, :]) ^ mix(np.arange(len(masks), dtype=np.uint64) + np.uint64(1))[None, :]) | np.uint64(1)
+            banded = mix(bands | salt) & ~np.uint64(1)
+            key = np.concatenate([blocks.ravel(), banded.ravel()])
+            who, sims, sizes = (np.concatenate([np.repeat(x[at], len(masks)), np.repeat(x, BANDS)]) for x in (ids, sim, size))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array(sims.view(np.int64)), pa.array(sizes)], names=["key", "id", "sim", "size"])
+
+    return run
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lengths are near enough for the edit similarity, with some room for characters of several bytes."""
+    return 100 * np.minimum(a, b).astype(np.int64) >= LENGTHS * np.maximum(a, b)
+
+
+def reach(key: np.ndarray, bits: int) -> np.ndarray:
+    """Bits in which SimHashes may differ: ``NEAR`` where blocks of them are the key, which agree in lines of no likeness too."""
+    return np.where(key & 1, min(NEAR, bits), bits)
+
+
+def simhashes(words: Words) -> np.ndarray:
+    """SimHash of each line: by 3-grams for short lines, else by words and joints."""
+    sims, shorts, _, _ = signatures(words)
+    return np.where(form_lengths(words) <= SHORT, shorts, sims)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, mark, n_lines and for its lines with words the arrays line, hi, lo (of the normal form), sim."""
+    """Per row: doc_id, mark, n_lines and for its lines with words the arrays line, hi, lo (of the normal form), sig (``packed``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +236,13 @@ def scanned(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(first, kept, "right") - 1
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=many))]).astype(np.int32)
                 hashes = [runs(words.hash, a[kept], b[kept], base).view(np.int64) for base in (RUN, BASE)]
-                lists = [(kept - first[doc]).astype(np.int32), *hashes, simhashes(words)[kept].view(np.int64)]
+                lists = [(kept - first[doc]).astype(np.int32), *hashes, packed(words, kept)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch[0].slice(row, many), batch[1].slice(row, many), pa.array(np.diff(first)), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)],
-                    names=["doc_id", "mark", "n_lines", "line", "hi", "lo", "sim"],
+                    [batch[0].slice(row, many), batch[1].slice(row, many), pa.array(np.diff(first)), *(pa.ListArray.from_arrays(pa.array(ends), x if isinstance(x, pa.Array) else pa.array(x)) for x in lists)],
+                    names=["doc_id", "mark", "n_lines", "line", "hi", "lo", "sig"],
                 )
 
-    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_lines bigint, line array<int>, hi array<bigint>, lo array<bigint>, sim array<bigint>")
+    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_lines bigint, line array<int>, hi array<bigint>, lo array<bigint>, sig array<binary>")
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -107,37 +253,38 @@ def block_masks(bits: int, blocks: int) -> list[int]:
 
 
 def shared_keys(bits: int):
-    """mapInArrow function over rows (key, id, sim) sorted by key and id: those of keys with several ids, with the
+    """mapInArrow function over rows (key, id, sim, size) sorted by key and id: those of keys with several ids, with the
     key's first id as ``leader`` and the bits by which they differ from it. One row is held back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "sim", "leader", "apart"]
+        names = ["key", "id", "sim", "size", "leader", "apart"]
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, own, sim = (batch[k].to_numpy() for k in range(3))
+            key, own, sim, size_of = (batch[k].to_numpy() for k in range(4))
             if held is not None:  # the open run's leader goes in front; whether it was given out is known
-                key, own, sim = np.append(held[0], key), np.append(held[1], own), np.append(held[2], sim)
+                key, own, sim, size_of = (np.append(x, y) for x, y in zip(held[:4], (key, own, sim, size_of), strict=True))
             first = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(first)
             size = np.diff(np.append(begin, len(key)))
             lead = np.repeat(begin, size)
             keep = np.repeat(size > 1, size)
-            given = held is not None and held[3]
+            given = held is not None and held[4]
             if given:
                 keep[0] = False
             rows = np.flatnonzero(keep)
             apart = np.bitwise_count((sim[rows] ^ sim[lead[rows]]).view(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(own[rows]), pa.array(sim[rows]), pa.array(own[lead[rows]]), pa.array(apart)], names=names)
+            apart[(apart > reach(key[rows], bits)) | ~alike(size_of[rows], size_of[lead[rows]])] = 65
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(own[rows]), pa.array(sim[rows]), pa.array(size_of[rows]), pa.array(own[lead[rows]]), pa.array(apart)], names=names)
             k = begin[-1]
-            held = (key[k], own[k], sim[k], bool(size[-1] > 1) or (given and k == 0))
+            held = (key[k], own[k], sim[k], size_of[k], bool(size[-1] > 1) or (given and k == 0))
 
     return run
 
 
 def near_pairs(bits: int):
-    """mapInArrow function over rows (key, i, j, block, id, comp, sim) sorted by the first three: pairs of different
+    """mapInArrow function over rows (key, i, j, block, id, comp, sim, size) sorted by the first three: pairs of different
     components whose SimHashes are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +296,10 @@ def near_pairs(bits: int):
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for columns in groups(batches, 3):
-            block, own, comp, sim = (c.to_numpy() for c in columns[3:7])
+            block, own, comp, sim, size = (c.to_numpy() for c in columns[3:8])
             i, j = columns[1][0].as_py(), columns[2][0].as_py()
             left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(own)),) * 2
-            near = (np.bitwise_count((sim[left][:, None] ^ sim[right][None, :]).view(np.uint64)) <= bits) & (comp[left][:, None] != comp[right][None, :])
+            near = (np.bitwise_count((sim[left][:, None] ^ sim[right][None, :]).view(np.uint64)) <= reach(columns[0][0].as_py(), bits)) & (comp[left][:, None] != comp[right][None, :]) & alike(size[left][:, None], size[right][None, :])
             x, y = np.nonzero(near)
             if len(x):
                 held.append((own[left[x]], own[right[y]]))
@@ -244,17 +391,16 @@ def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: fl
 def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, mark, lines): numbers of the lines of a document that repeat an earlier occurrence."""
     rows = cut(scanned(docs))
-    lines = rows.select("doc_id", "mark", F.explode(F.arrays_zip("line", "hi", "lo", "sim")).alias("l")).select("doc_id", "mark", "l.*")
+    lines = rows.select("doc_id", "mark", F.explode(F.arrays_zip("line", "hi", "lo", "sig")).alias("l")).select("doc_id", "mark", "l.*")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark", "line")
-    known = cut(lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.first("sim").alias("sim")).withColumn("id", F.monotonically_increasing_id()))
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(block_masks(bits, blocks))])
-    keyed = known.select("id", "sim", F.explode(masks).alias("by")).select(F.xxhash64("by.k", F.col("sim").bitwiseAND(F.col("by.m"))).alias("key"), "id", "sim")
-    cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys(bits), "key bigint, id bigint, sim bigint, leader bigint, apart int"))
+    known = cut(lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
+    keyed = known.select("id", "sig").mapInArrow(keyed_rows(block_masks(min(NEAR, bits), blocks)), "key bigint, id bigint, sim bigint, size int")
+    cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys(bits), "key bigint, id bigint, sim bigint, size int, leader bigint, apart int"))
     likely = cells.where((F.col("apart") <= bits) & (F.col("id") != F.col("leader"))).groupBy("id").agg(F.min_by("leader", "apart").alias("leader"))
     links = cut(verified(docs, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), known, similarity))
     comps = components(links)
-    placed = cells.select("key", "id", "sim").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tasks = block_tasks(placed, BLOCK_ROWS, "sim")
+    placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size")
     more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
     joined = components(links.unionByName(verified(docs, more, known, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -350,3 +350,25 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     kept = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 701 in kept and 702 not in kept and 700 not in kept
     assert kept[701].n_tokens == len(kept[701].ids)
+
+
+def test_near_lines_are_found_by_edit_similarity(spark):
+    """All pairs by edit similarity alone: one typo in a line of any length, words changed, a block of a sixth."""
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrst", k=random.randint(3, 8)))
+    texts = []
+    for k in range(300):
+        words = [word() for _ in range((2, 4, 8, 12, 20, 60)[k % 6])]
+        line, n = " ".join(words), len(words)
+        at = random.randrange(len(line))
+        texts += [line, f"{line[:at]}z{line[at + 1 :]}"]
+        if n >= 8:
+            for x in random.sample(range(n), n // 8):
+                words[x] = word()
+            size = len(line) // 6
+            at = random.randrange(len(line) - size)
+            texts += [" ".join(words), line[:at] + "z" * size + line[at + size :]]
+    forms = [" ".join(re.findall("[a-z]+", t)) for t in texts]
+    near = {b for a in range(len(forms)) for b in range(a + 1, min(a + 4, len(forms))) if lines.edit_distance(forms[a], forms[b], 500) <= 0.2 * max(len(forms[a]), len(forms[b]))}
+    removed = {r.doc_id for r in lines.line_digests(table(spark, list(enumerate(texts)))).collect() if r.n_removed}
+    assert len(near) > 500 and len(near - removed) <= len(near) // 100 and removed <= near
