@@ -6,6 +6,8 @@ A sparse multinomial logistic regression over hashed word n-grams (1 to 3 words)
 paragraphs, the first by hash, none close to a template) and shuffled template words. A held-out part sets the
 temperature of the probabilities (calibration), and the unknown class takes every paragraph in which no family reaches
 ``LEAST``. A prediction counts only where the paragraph also holds most word pairs of a template of that family.
+A paragraph is a line; notices that are wrapped over neighbouring lines are found as stretches of words that hold most
+word pairs of a template, are judged in the same way, and count as one finding at their first line.
 
 Edge cases: null and empty texts have no paragraphs; a paragraph without known n-grams is unknown; repeated rows each
 get a row; an empty table gives no rows (and is scanned with templates alone); other columns are ignored.
@@ -91,6 +93,53 @@ def confirmed(family: str, own: set[int], least: float = CONFIRM) -> bool:
     return any(len(own & pairs) >= least * len(pairs) for pairs in TEMPLATE_PAIRS[family])
 
 
+def keyed_pairs() -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(upper bits that word pairs of templates have, all pairs in order, per template its length in words and pairs)."""
+    own = [(len(packed([t]).hash), np.array(sorted(word_pairs(t)), np.uint64)) for texts in TEMPLATES.values() for t in texts]
+    every = np.unique(np.concatenate([pairs for _, pairs in own]))
+    mask = np.zeros(1 << 16, bool)
+    mask[every >> np.uint64(48)] = True
+    return mask, every, own
+
+
+MASK, EVERY, OWN = keyed_pairs()
+
+
+def wrapped(words: Words, first: np.ndarray) -> list[tuple[int, int, int, int, Words]]:
+    """(document, first line, last line, first word, words) of stretches over several lines, none of them without
+    words, that hold most word pairs of a template."""
+    bounds = words.first[first]
+    if len(words.hash) < 2:
+        return []
+    pairs = words.gram_hash(np.arange(len(words.hash) - 1), 2)
+    at = np.flatnonzero(MASK[pairs >> np.uint64(48)])
+    at = at[np.isin(pairs[at], EVERY)]
+    doc = np.searchsorted(bounds, at, "right") - 1
+    at, doc = at[at + 1 < bounds[doc + 1]], doc[at + 1 < bounds[doc + 1]]
+    out = {}
+    for size, own in OWN:
+        need, reach = int(np.ceil(CONFIRM * len(own))), int(size / CONFIRM) + 1
+        mine = np.isin(pairs[at], own)
+        place, of = at[mine].tolist(), doc[mine].tolist()
+        a = 0
+        while a + need <= len(place):
+            b = a
+            while b < len(place) and of[b] == of[a] and place[b] - place[a] < reach:
+                b += 1
+            if len({int(x) for x in pairs[place[a:b]]}) < need:
+                a += 1
+                continue
+            low, high = place[a], place[b - 1] + 2
+            i, j = (int(np.searchsorted(words.first, x, "right")) - 1 for x in (low, high - 1))
+            if i < j and (np.diff(words.first[i : j + 2]) > 0).all():
+                part = Words.__new__(Words)
+                part.hash, part.first = words.hash[low:high], np.array([0, high - low])
+                if (of[a], i) not in out or len(part.hash) > len(out[of[a], i][4].hash):
+                    out[of[a], i] = (of[a], i, j, low, part)
+            a = b
+    return sorted(out.values(), key=lambda x: (x[0], x[3]))
+
+
 class Classifier:
     """Sparse weights by coordinate, temperature; trained by proximal gradient steps with L1."""
 
@@ -168,7 +217,9 @@ def sample_paragraphs(docs: DataFrame, most: int = NEGATIVES) -> list[str]:
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p")).where(F.length("p").between(3, LONGEST))
     chosen = lines.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.xxhash64("p"), "p").limit(most)
     found = [r["p"] for r in chosen.select("p").collect()]
-    return [p for p in found if not any(confirmed(f, word_pairs(p), 0.5) for f in TEMPLATES)]
+    every = set(EVERY.tolist())
+    part = lambda own: len(own) > 2 and 2 * len(own & every) >= len(own)  # noqa: E731  # a line of a wrapped notice
+    return [p for p in found if not part(own := word_pairs(p)) and not any(confirmed(f, own, 0.5) for f in TEMPLATES)]
 
 
 def license_paragraphs(docs: DataFrame, model: Classifier | None = None, least: float = LEAST) -> DataFrame:
@@ -183,7 +234,7 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None, least:
                 words, first = paragraphs(data, offsets)
                 kept, p = sent.value.probabilities(words)
                 found: list[list[tuple[int, str]]] = [[] for _ in range(many)]
-                weak = [0] * many
+                weak: list[set[int]] = [set() for _ in range(many)]
                 best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
                 for k in np.flatnonzero((best < len(TEMPLATES)) & (p.max(axis=1, initial=0) >= least)).tolist():
                     line = int(kept[k])
@@ -192,11 +243,17 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None, least:
                     if confirmed(FAMILIES[best[k]], set(words.gram_hash(starts, 2).tolist())):
                         found[doc].append((line - int(first[doc]), FAMILIES[best[k]]))
                     else:
-                        weak[doc] += 1
+                        weak[doc].add(line)
+                for doc, i, j, _, part in wrapped(words, first):
+                    _, p = sent.value.probabilities(part)
+                    if len(p) and p[0].argmax() < len(TEMPLATES) and p[0].max() >= least and confirmed(family := FAMILIES[p[0].argmax()], set(part.gram_hash(part.gram_starts(2), 2).tolist())):
+                        if not any(i <= line + first[doc] <= j and family == x for line, x in found[doc]):
+                            found[doc].append((i - int(first[doc]), family))
+                            weak[doc] -= set(range(i, j + 1))
                 columns = [
                     pa.array(np.diff(first)),
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array(weak, pa.int64()),
+                    pa.array([len(w) for w in weak], pa.int64()),
                     pa.array([",".join(sorted({x for _, x in f})) for f in found], pa.string()),
                     pa.array([",".join(f"{x}:{n}" for n, x in sorted(f)) for f in found], pa.string()),
                 ]

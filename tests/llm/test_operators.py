@@ -4,6 +4,7 @@ rows and columns whose names clash."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -372,3 +373,21 @@ def test_near_lines_are_found_by_edit_similarity(spark):
     near = {b for a in range(len(forms)) for b in range(a + 1, min(a + 4, len(forms))) if lines.edit_distance(forms[a], forms[b], 500) <= 0.2 * max(len(forms[a]), len(forms[b]))}
     removed = {r.doc_id for r in lines.line_digests(table(spark, list(enumerate(texts)))).collect() if r.n_removed}
     assert len(near) > 500 and len(near - removed) <= len(near) // 100 and removed <= near
+
+
+def test_wrapped_licenses_are_found(spark, pairs):
+    notices = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use.',
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    }
+    given, expected = [(k, t) for k, t in pairs if k is not None and k < 100], {}
+    for k, (family, notice) in enumerate(notices.items()):
+        for width in (50, 72):
+            for mark in ("", " * "):
+                d = 1000 + len(expected)
+                expected[d] = (family, f"{family}:2")
+                given.append((d, "\n".join(["some code", "", *(mark + x for x in textwrap.wrap(notice, width)), "", "more code"])))
+        given.append((2000 + k, "\n\n".join(textwrap.wrap(notice, 50))))
+    for r in licenses.license_paragraphs(table(spark, given)).collect():
+        assert (r.families, r.spans) == expected.get(r.doc_id, ("", "")), r
