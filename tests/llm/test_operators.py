@@ -391,3 +391,13 @@ def test_wrapped_licenses_are_found(spark, pairs):
         given.append((2000 + k, "\n\n".join(textwrap.wrap(notice, 50))))
     for r in licenses.license_paragraphs(table(spark, given)).collect():
         assert (r.families, r.spans) == expected.get(r.doc_id, ("", "")), r
+
+
+def test_pipeline_joins_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    near = [*words, *(f"new{k}" for k in range(98))]  # 396 of 494 shingles of five words: 0.802
+    under = [*words, *(f"add{k}" for k in range(101))]  # 396 of 497: 0.797, and 0.661 to the one before
+    kept = corpus_pipeline.keep_one_of_each_group(spark, table(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(under))]), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
