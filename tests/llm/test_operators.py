@@ -17,6 +17,7 @@ import public_tokenizers  # noqa: E402
 import tokenizers  # noqa: E402
 from docketry.llm import bpe, common, decontaminate, licenses, lines, media, ngram_join, secrets, shards, substrings, toxicity  # noqa: E402
 from docketry.llm.word_hash import Words, chunks  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, comp long, shard int, media binary"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,9 +116,44 @@ def test_secrets_keep_base_findings(spark):
 def test_automaton_prefers_its_format():
     random.seed(2)
     keys = ["ak-" + "".join(random.choices("0123456789", k=12)) for _ in range(200)]
-    model = secrets.learn({0: keys[:150]}, ["".join(random.choices("abcdefgh", k=15)) for _ in range(300)])
-    assert np.mean([secrets.gain(model, k) >= model["least"] for k in keys[150:]]) > 0.9
-    assert secrets.gain(model, "abcdefghabcdefgh") < model["least"]
+    shape = lambda v: v.translate(secrets.SYMBOLS)
+    follows = Counter()
+    for token in ("".join(random.choices("abcdefgh", k=15)) for _ in range(300)):
+        follows.update("".join(p) for p in zip(" " + shape(token), [*shape(token), ""], strict=True))
+    model = secrets.learn({0: [shape(k) for k in keys[:150]]}, follows)
+    assert np.mean([secrets.gain(model, shape(k)) >= model["least"] for k in keys[150:]]) > 0.9
+    assert secrets.gain(model, shape("abcdefghabcdefgh")) < model["least"]
+
+
+def test_candidates_are_all_that_base_findings_leave(spark, empty):
+    """Against marking each character: tokens of 6 and more, also beside base findings, in texts of any script."""
+    random.seed(14)
+    texts = ["é" * k + "password=abcdef-12 " + "xyzw99.secret: qwerty77/" + "f" * 26 + "zz9 éabcdefgé " * 3 for k in range(3)]
+    for text in [*texts, "".join(random.choices("ab0Z+é =:", k=3000)), "token=abcdefg " * 4000 + "longtoken9 " * 4000, ""]:
+        base, data = secrets.base_findings(text), text.encode()
+        inside = {k for s, _, e, _ in base for k in range(s, e)}
+        marked = "".join("\n" if k in inside or c not in set(secrets.CLASSES) | set('+/_.=-') else c for k, c in enumerate(text))
+        expected = [(len(text[: m.start()].encode()), m[0].translate(secrets.SYMBOLS).encode()) for m in re.finditer("[^\n]{6,}", marked)]
+        assert [(s, shape) for s, _, shape in secrets.candidates(data.translate(secrets.SHAPES), secrets.covered_bytes(text, data, base))] == expected
+    assert secrets.secret_spans(empty).isEmpty()
+
+
+def test_grammar_findings_of_a_known_format(spark):
+    """Tokens of a labelled format outside any assignment are found, words are not, also in repeated and null rows."""
+    random.seed(15)
+    key = lambda: "-".join("".join(random.choices("0123456789", k=4)) for _ in range(4))
+    words = lambda k: " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 10))) for _ in range(k))
+    texts = [f"{words(30)} token={key()} {words(9)}" for _ in range(300)]
+    bare = [f"é {words(20)} {key()} {words(20)}" for _ in range(50)]
+    plain = [words(40) for _ in range(50)]
+    docs = table(spark, [*enumerate(texts + bare + plain), (None, None), (None, bare[0]), (7, texts[7])])
+    found = secrets.secret_spans(docs).collect()
+    assert len(found) == 403
+    for r in found:
+        if r.doc_id is not None and r.doc_id >= 300:
+            text = (texts + bare + plain)[r.doc_id]
+            keys = [f"grammar:{m.start()}:{m.end()}" for m in re.finditer(r"\d{4}(-\d{4}){3}", text)]
+            assert r.n_grammar == len(keys) and r.spans == ",".join(keys), (r, text)
 
 
 def test_lines_keep_one_of_each_group(spark, docs, pairs, empty):
@@ -312,13 +348,56 @@ def test_jaccard_components(docs, pairs, empty):
 
 
 def test_cells_lose_no_pair():
+    """Pairs found in the cell of the first common key, by leaf and by tree, hold all similar ones."""
+    import pyarrow as pa
+
     random.seed(6)
-    n = np.array([random.randint(80, 120) for _ in range(300)])
-    members = [set(random.sample(range(160), k)) for k in n]
-    vec = np.array([[sum(1 for x in m if x % 16 == g) for g in range(16)] for m in members], np.int32)
-    cell = ngram_join.Cell(np.arange(300), n, np.zeros(300, int), np.arange(300), vec, 60)
-    found = {tuple(p) for p in cell.pairs(np.arange(300), np.arange(300))[:2].T.tolist()}
-    assert {(a, b) for b in range(300) for a in range(b) if 100 * len(members[a] & members[b]) >= 60 * len(members[a] | members[b])} <= found
+    members = [sorted(random.sample(range(160), random.randint(80, 120))) for _ in range(150)]
+    members += [sorted(random.sample(range(5000), random.randint(900, 1100))) for _ in range(50)]
+    for k in range(60):  # near copies, and sets with many members in one group
+        members.append(sorted({*members[random.randrange(200)][3:], 6000 + k}))
+        members.append(sorted({64 * x for x in random.sample(range(60), 50)}))
+    size = np.array([len(m) for m in members])
+    doc, value = np.repeat(np.arange(len(size)), size), np.concatenate([np.array(m, np.uint64) for m in members])
+    vecs = ngram_join.count_vectors(doc, value, size)
+    found = {"leaf": set(), "tree": set()}
+    for key in range(160):
+        rows = [k for k, m in enumerate(members) if key in m]
+        if len(rows) > 1:
+            pos = np.array([members[k].index(key) for k in rows])
+            heads = pa.array([np.array(members[k][:p], np.uint16).tobytes() for k, p in zip(rows, pos, strict=True)], pa.binary())
+            sets = ngram_join.Sets(np.array(rows), np.array(rows), size[rows], pos, heads, pa.array([vecs[k] for k in rows], pa.binary()), 60)
+            at = np.arange(len(rows))
+            for name, pairs in (("leaf", ngram_join.leaf_pairs(sets, np.zeros(1, int), np.array([len(rows)]))), ("tree", ngram_join.tree_pairs(sets, at, at)), ("tree", ngram_join.tree_pairs(sets, at[:9], at[9:]))):
+                found[name] |= {tuple(sorted((rows[a], rows[b]))) for a, b in pairs[:2].T.tolist()}
+    sets = [set(m) for m in members]
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if min(sets[a] & sets[b], default=999) < 160 and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    assert len(near) > 60 and near <= found["leaf"] and near <= found["tree"]
+
+
+@pytest.mark.parametrize("dense", [0, 4])
+def test_dense_families_are_joined(spark, monkeypatch, dense):
+    """Families of near copies around the threshold, in cells of several blocks, whichever cells count as dense."""
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    random.seed(16)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(160)]
+        for _ in range(70):
+            words = list(base)
+            for at in random.sample(range(160), random.randint(0, 4)):
+                words[at] = f"c{random.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(157)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table(spark, list(enumerate(texts)))).collect()}
+    assert found == dict(enumerate(group)) and 3 < len(set(group)) < 210
 
 
 def test_bpe_equals_the_library(docs, pairs, empty):
@@ -332,10 +411,17 @@ def test_bpe_equals_the_library(docs, pairs, empty):
         expected[d, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
     assert rows(bpe.encoding_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected
     assert bpe.encoding_digests(empty, path).isEmpty()
-    model = bpe.ForcedBoundaryBPE(path, bpe.unicode_rules())
+    model = bpe.ForcedBoundaryBPE(bpe.content_of(path), bpe.unicode_rules())
     for text in ("It's 12 o'clock…", "ÀÉ ñ ǅ İ", "日本語  x", "<|endoftext|> a", "é a‍b"):
         ids = library.encode(text, add_special_tokens=False).ids
         assert model.encode(text) == ids and model.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    random.seed(10)
+    for text in ("".join(random.choices("abeinrst", k=20_000)), "a" * 3000, "thethe" * 400):
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
+    encoded = bpe.encode_documents(docs, path)
+    assert rows(encoded.withColumn("n", F.size("ids")), "doc_id", "n") == Counter({k: n for k, n in Counter((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in pairs).items()})
+    shown = Counter((d, library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for d, t in pairs)
+    assert rows(bpe.decode_documents(encoded, path), "doc_id", "text") == shown
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
