@@ -1,18 +1,17 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-Every ``WINDOW``-word suffix start (a window) belongs to the anchor in it: its run of ``PREFIX`` words of least hash,
-whatever place it has. Equal windows have equal anchors, so suffixes are partitioned by that prefix and a partition
-decides its windows alone. The windows of one anchor in one document are one record with one stretch of text; equal
-stretches (copies) are aggregated to the smallest id before anything is compared.
-
-Prefixes are of variable length. A prefix with up to ``GROUP`` different stretches is a memory-sized group, whose
-suffixes are named level by level (1, 2, 4, ... words, then ``WINDOW``), that is the levels of its suffix tree; nodes of
-depth ``WINDOW`` with several documents are the deep internal nodes. A prefix with more is lengthened to the whole
-window, where every group is one node and needs its smallest id alone, which Spark takes by partial aggregation.
-Neighbouring repeated windows make the maximal repeats, the spans that are removed.
-
-The second scan gives out the text of a stretch only from the document of smallest id; it tells which by a Bloom
-filter of at most ``2**MOST_BITS`` bits, in which a false positive costs one more record of a real document.
+A ``WINDOW``-word run (a window) holds one suffix start that is sampled: its run of ``PREFIX`` words of least hash,
+wherever it stands. Equal windows hold equal ones, so the suffixes that start there are partitioned by that prefix and
+a partition decides its windows alone. The windows of one prefix in one document are one record with one stretch of
+text; equal stretches (copies) are aggregated to the smallest id before anything is compared.
+
+Prefixes are of variable length. A prefix whose stretches fit (``GROUP`` of them) is a memory-sized group: its suffix
+tree is built as sorted suffixes with common lengths, and its internal nodes of depth ``WINDOW`` or more say in which
+document their words come first. A prefix with more is lengthened, step by step: its windows are parted by the place of
+the sampled start in them, 16, 4 and then 1 places together, and the words that all windows of such a part share are
+its longer prefix (35, 47, 50 words). Lengthened groups are aggregated and measured again, so one passage in very many
+documents costs a few records a document and no group is large. Neighbouring repeated windows make the maximal
+repeats, the spans that are removed.
 
 Edge cases: null and empty texts have no words; texts of fewer than ``WINDOW`` words are never cut; null ids count as
 larger than all others; equal ids never remove each other's words; rows that repeat id and text get the same result;
@@ -32,10 +31,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import cut, groups, kind_of, mark
 from docketry.llm.word_hash import BASE, RUN, Words, chunks, runs
 
-WINDOW, PREFIX, GROUP = 50, 12, 200
-BATCH_WORDS = 1 << 20
-MOST_BITS = 28
-PROBES = (0, 18, 36)
+WINDOW, PREFIX, GROUP = 50, 12, 500
+BATCH_WORDS = 1 << 19
 LAST = (1 << 63) - 1
 
 
@@ -55,131 +52,155 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return index
 
 
+def part_sizes(window: int, prefix: int) -> list[int]:
+    """Places of the sampled start that are taken together: all of them, then powers of 4 down to 1."""
+    sizes = [1]
+    while sizes[0] < window - prefix + 1:
+        sizes.insert(0, 4 * sizes[0])
+    return sizes
+
+
 class Records:
-    """Of a chunk's windows: ``doc``, ``start`` (word in the chunk) and ``count`` of each run with one anchor, and the
-    hashes of the ``anchor`` and of the ``stretch`` of words that the run covers."""
+    """Of a chunk's windows: ``doc``, ``start`` (word in the chunk) and ``count`` of each run with one prefix, and the
+    hashes of the prefix (``core``) and of the ``stretch`` of words that the run covers. ``places`` of the sampled
+    start in a window are taken together; the fewer, the longer the prefix."""
 
-    def __init__(self, words: Words, window: int, prefix: int):
+    def __init__(self, words: Words, window: int, prefix: int, places: int):
         self.words = words
         starts = words.gram_starts(window)
         none = np.zeros(0, np.int64)
         self.doc, self.start, self.count = none, none, none
-        self.anchor = self.stretch = np.zeros(0, np.uint64)
+        self.core = self.stretch = np.zeros(0, np.uint64)
         if not len(starts):
             return
         grams = runs(words.hash, np.arange(len(words.hash) - prefix + 1), np.arange(prefix, len(words.hash) + 1), RUN)
-        least = grams[least_in_windows(grams, window - prefix + 1)[starts]]
+        at = least_in_windows(grams, window - prefix + 1)[starts]
+        low = (at - starts) // places * places
+        high = np.minimum(low + places - 1, window - prefix)
+        core = runs(words.hash, at - low, at - high + window, RUN) if places <= window - prefix else grams[at]
         doc = words.doc_of()[starts]
-        new = np.ones(len(starts), bool)  # runs of one repeated word have one anchor, however long they are
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        new = np.ones(len(starts), bool)  # runs of one repeated word have one prefix, however long they are
+        new[1:] = (core[1:] != core[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         self.doc, self.start = doc[first], starts[first]
         self.count = np.diff(np.append(first, len(starts)))
-        self.anchor = least[first]
+        self.core = core[first]
         self.stretch = runs(words.hash, self.start, self.start + self.count + window - 1, BASE)
 
+    def texts(self, data: np.ndarray, window: int) -> list[bytes]:
+        begin, end = self.words.starts[self.start], self.words.ends[self.start + self.count + window - 2]
+        return [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
 
 def scanned(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Per row: doc_id, mark, n_words and the arrays anchor, stretch, start, count of its records."""
+    """Per row: doc_id, mark and the arrays core, stretch, start, count of its records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch[2]):
                 many = len(offsets) - 1
                 words = Words(data, offsets)
-                r = Records(words, window, prefix)
+                r = Records(words, window, prefix, part_sizes(window, prefix)[0])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r.doc, minlength=many))]).astype(np.int32)
-                lists = [r.anchor.view(np.int64), r.stretch.view(np.int64), (r.start - words.first[r.doc]).astype(np.int32), r.count.astype(np.int32)]
+                lists = [r.core.view(np.int64), r.stretch.view(np.int64), (r.start - words.first[r.doc]).astype(np.int32), r.count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch[0].slice(row, many), batch[1].slice(row, many), pa.array(np.diff(words.first)), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)],
-                    names=["doc_id", "mark", "n_words", "anchor", "stretch", "start", "count"],
+                    [batch[0].slice(row, many), batch[1].slice(row, many), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)],
+                    names=["doc_id", "mark", "core", "stretch", "start", "count"],
                 )
 
-    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_words bigint, anchor array<bigint>, stretch array<bigint>, start array<int>, count array<int>")
+    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, core array<bigint>, stretch array<bigint>, start array<int>, count array<int>")
 
 
-def bloom_filter(hashes: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """(bits of an index, words of the bitmap): Bloom filter of distinct 64-bit hashes, which gives three indexes."""
-    bits = min(MOST_BITS, max(16, (hashes.count() * 16).bit_length()))
-    spots = F.explode(F.array(*[F.shiftrightunsigned(column, by).bitwiseAND((1 << bits) - 1) for by in PROBES]))
-    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
-    found = hashes.select(spots.alias("spot")).select(F.shiftrightunsigned("spot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(np.uint64)
-    return bits, out
+PIECE = "core bigint, first bigint, stretch bigint, low bigint, at int, count int, part bigint, words binary"
 
 
-def in_filter(bloom: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    bits, words = bloom
-    out = np.ones(len(hashes), bool)
-    for by in PROBES:
-        spot = (hashes >> np.uint64(by)) & np.uint64((1 << bits) - 1)
-        out &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-    return out
+def stretch_texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The pieces (``PIECE``) that ``wanted`` (doc_id, mark, low, core, stretch, start, count) names, with their words;
+    a piece is a run of windows, known by the first prefix, the stretch and the place of its first window there."""
+    at = wanted.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.min("low").alias("low"), F.collect_list(F.struct("core", "stretch", "start", "count")).alias("parts"))
+    named = docs.select("doc_id", mark(F.col("text")).alias("mark"), "text")
+    both = named.join(at.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in chunks(batch[0]):
+                many = len(offsets) - 1
+                words = Words(data, offsets)
+                lists = batch[2].slice(row, many)
+                parts = lists.flatten()
+                doc = np.repeat(np.arange(many), lists.value_lengths().to_numpy())
+                core, stretch, start, count = (parts.field(k) for k in range(4))
+                begin = start.to_numpy() + words.first[doc]
+                stop = begin + count.to_numpy() + window - 2
+                texts = [data[a:b].tobytes() for a, b in zip(words.starts[begin].tolist(), words.ends[stop].tolist(), strict=True)]
+                zero = pa.array(np.zeros(len(doc), np.int32))
+                columns = [core, core, stretch, batch[1].slice(row, many).take(pa.array(doc)), zero, count, stretch, pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["core", "first", "stretch", "low", "at", "count", "part", "words"])
 
+    return both.select("text", "low", "parts").mapInArrow(run, PIECE)
 
-def stretches(docs: DataFrame, wanted, window: int, prefix: int) -> DataFrame:
-    """(anchor, stretch, low, words, hot) of the records in the filter ``wanted``[0], low being the document's number;
-    ``wanted``[1] tells which anchors are hot."""
+
+def lengthened(window: int, prefix: int, places: int):
+    """mapInArrow function over pieces: the pieces of them that have one longer prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, hot = wanted.value
         for batch in batches:
-            number, salt = batch[0].to_numpy(), batch[1].to_numpy().view(np.uint64)
-            for row, data, offsets in chunks(batch[2]):
-                words = Words(data, offsets)
-                r = Records(words, window, prefix)
-                rows = np.flatnonzero(in_filter(chosen, r.stretch ^ salt[row + r.doc]))
-                begin, end = words.starts[r.start[rows]], words.ends[r.start[rows] + r.count[rows] + window - 2]
-                texts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                columns = [pa.array(r.anchor[rows].view(np.int64)), pa.array(r.stretch[rows].view(np.int64)), pa.array(number[row + r.doc[rows]]), pa.array(texts, pa.binary()), pa.array(in_filter(hot, r.anchor[rows]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "stretch", "low", "words", "hot"])
-
-    number = numbered("doc_id")
-    return docs.select(number.alias("number"), F.xxhash64(number).alias("salt"), "text").mapInArrow(run, "anchor bigint, stretch bigint, low bigint, words binary, hot boolean")
-
-
-def deep_nodes(values: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, names): suffixes with ``depth`` values left before their sequence's end, those with equal first
-    ``depth`` values having equal names. Names of each level of the tree come from pairs of names of the level above."""
-    name, covered = np.unique(values, return_inverse=True)[1].astype(np.int64), 1
-    position = np.arange(len(values))
-    where = np.full(len(values) + 1, -1)
+            for row, data, offsets in chunks(batch[7]):
+                r = Records(Words(data, offsets), window, prefix, places)
+                own = pa.array(row + r.doc)
+                at = batch[4].take(own).to_numpy() + (r.start - r.words.first[r.doc]).astype(np.int32)
+                columns = [pa.array(r.core.view(np.int64)), *(batch[k].take(own) for k in (1, 2, 3)), pa.array(at), pa.array(r.count.astype(np.int32)), pa.array(r.stretch.view(np.int64)), pa.array(r.texts(data, window), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["core", "first", "stretch", "low", "at", "count", "part", "words"])
+
+    return run
+
+
+def suffix_tree(values: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, values that each has in common with the one before), up to a power of two not under
+    ``depth``; position i ends before ``ends[i]``. Runs with ``depth`` or more in common are the internal nodes there."""
+    n = len(values)
+    position, ranks, covered = np.arange(n), [np.unique(values, return_inverse=True)[1].astype(np.int64) + 1], 1
     while covered < depth:
-        step = min(covered, depth - covered)
-        where[:] = -1
-        where[position] = np.arange(len(position))
-        fits = position + step + covered <= ends[position]
-        first = np.flatnonzero(fits)
-        second = where[position[first] + step]
-        pair = name[first] * (int(name.max(initial=0)) + 1) + name[second]
-        position, name = position[first], np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        covered += step
-    return position, name
+        last = ranks[-1]
+        inside = position + covered < ends
+        second = np.where(inside, last[np.minimum(position + covered, n - 1)], 0)
+        ranks.append(np.unique(last * (int(last.max(initial=0)) + 1) + second, return_inverse=True)[1].astype(np.int64) + 1)
+        covered *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    room = np.minimum(ends[a] - a, ends[b] - b)
+    for k in range(len(ranks) - 1, -1, -1):
+        at = common[1:]
+        fits = at < room
+        x, y = np.minimum(a + at, n - 1), np.minimum(b + at, n - 1)
+        at += np.where(fits & (ranks[k][x] == ranks[k][y]), 1 << k, 0)
+    common[1:] = np.minimum(common[1:], room)
+    return order, common
 
 
 def subtrees(window: int):
-    """mapInArrow function over rows (anchor, stretch, low, words) sorted by anchor: (anchor, stretch, offsets of
-    windows that start in a smaller document)."""
+    """mapInArrow function over pieces sorted by core: (first, stretch, offsets of windows that start in a smaller document)."""
 
     def solve(held: list[list[pa.Array]]) -> pa.RecordBatch:
-        anchor, stretch, low = (np.concatenate([g[k].to_numpy() for g in held]) for k in range(3))
-        parts = [Words(data, offsets) for _, data, offsets in chunks(pa.concat_arrays([g[3] for g in held]))]
+        first, stretch, low, at = (np.concatenate([g[k].to_numpy() for g in held]) for k in range(1, 5))
+        parts = [Words(data, offsets) for _, data, offsets in chunks(pa.concat_arrays([g[7] for g in held]))]
         sizes = np.concatenate([np.diff(w.first) for w in parts])
         begins = np.concatenate([[0], np.cumsum(sizes)])
-        order = np.lexsort((low, stretch, anchor))  # of a stretch that came from several documents the first counts
-        again = np.zeros(len(order), bool)
-        again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
-        record = np.repeat(np.arange(len(sizes)), sizes)
-        position, name = deep_nodes(np.concatenate([w.hash for w in parts]), begins[1:][record], window)
-        owner = record[position]
-        least = np.full(int(name.max(initial=-1)) + 1, LAST)
-        np.minimum.at(least, name, low[owner])
-        hit = (least[name] < low[owner]) & ~again[owner]
-        owner, offset = owner[hit], (position - begins[:-1][record[position]])[hit]
-        kept, at = np.unique(owner, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.array(offset.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(anchor[kept]), pa.array(stretch[kept]), lists], names=["anchor", "stretch", "offsets"])
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        order, common = suffix_tree(np.concatenate([w.hash for w in parts]), begins[1:][piece], window)
+        owner = piece[order]
+        inner = common < window
+        inner[0] = True
+        node = np.cumsum(inner) - 1
+        least = np.minimum.reduceat(low[owner], np.flatnonzero(inner))
+        hit = least[node] < low[owner]
+        place = np.sort(order[hit])
+        owner = piece[place]
+        kept, edges = np.unique(owner, return_index=True)
+        offsets = (place - begins[:-1][owner] + at[owner]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(owner)).astype(np.int32)), pa.array(offsets))
+        return pa.RecordBatch.from_arrays([pa.array(first[kept]), pa.array(stretch[kept]), lists], names=["first", "stretch", "offsets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -196,45 +217,49 @@ def subtrees(window: int):
     return run
 
 
-def whole_windows(window: int):
-    """mapInArrow function over rows (anchor, stretch, low, words): every window with two hashes of all its words."""
+def grouped(pieces: DataFrame, group: int, window: int, prefix: int, sizes: list[int]) -> DataFrame:
+    """(first, stretch, offsets) of the windows of ``pieces`` that start in a smaller document: prefixes with up to
+    ``group`` pieces become subtrees, others are lengthened to the next of ``sizes``."""
+    out = None
+    for places in sizes:
+        pieces = cut(pieces.mapInArrow(lengthened(window, prefix, places), PIECE))
+        by_low = pieces.groupBy("core", "part", "low").agg(F.count("*").alias("n"))
+        by_part = by_low.groupBy("core", "part").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.min_by("n", "low").alias("n"))
+        shared = by_part.groupBy("core").agg(F.sum("n").alias("many"), F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("core", "many")
+        placed = cut(pieces.join(by_part.select("core", "part", "least").join(shared, "core"), ["core", "part"]))
+        later = placed.where("low > least").select("first", "stretch", F.sequence("at", F.expr("at + count - 1")).alias("offsets"))
+        own = placed.where("low = least AND many > 1")
+        found = later if places == 1 else later.unionByName(in_subtrees(own.where(F.col("many") <= group), window))
+        out = found if out is None else out.unionByName(found)
+        pieces = own.where(F.col("many") > group).select(*[c.split(" ")[0] for c in PIECE.split(", ")])
+        if places == 1 or pieces.isEmpty():
+            break
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in chunks(batch[3]):
-                words = Words(data, offsets)
-                starts = words.gram_starts(window)
-                doc = words.doc_of()[starts]
-                own = [c.slice(row, len(offsets) - 1).take(pa.array(doc)) for c in batch.columns[:3]]
-                hashes = [pa.array(runs(words.hash, starts, starts + window, base).view(np.int64)) for base in (RUN, BASE)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array((starts - words.first[doc]).astype(np.int32)), *hashes], names=["anchor", "stretch", "low", "offset", "h1", "h2"])
 
-    return run
+def in_subtrees(pieces: DataFrame, window: int) -> DataFrame:
+    columns = [c.split(" ")[0] for c in PIECE.split(", ")]
+    return pieces.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(subtrees(window), "first bigint, stretch bigint, offsets array<int>")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """(doc_id, mark, spans): runs of words [start, stop) covered by windows that also start in a smaller document."""
     rows = cut(scanned(docs, window, prefix))
-    records = rows.select("doc_id", "mark", F.explode(F.arrays_zip("anchor", "stretch", "start", "count")).alias("r")).select("doc_id", "mark", "r.*").withColumn("number", numbered("doc_id"))
-    known = records.groupBy("anchor", "stretch").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    several = known.groupBy("anchor").agg(F.count("*").alias("many"), F.min("low").alias("least"), F.max("high").alias("most"))
-    shared = cut(known.join(several.where("least < most"), "anchor").select("anchor", "stretch", "low", "high", "many"))
-    chosen = bloom_filter(shared.where("many > 1").select(F.col("stretch").bitwiseXOR(F.xxhash64("low")).alias("h")), "h")
-    hot_anchors = bloom_filter(shared.where(F.col("many") > group).select("anchor").distinct(), "anchor")
-    texts = cut(stretches(docs, docs.sparkSession.sparkContext.broadcast((chosen, hot_anchors)), window, prefix))
-    out = "anchor bigint, stretch bigint, offsets array<int>"
-    inside = texts.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees(window), out)
-    of_low = shared.where("many > 1").select("anchor", "stretch", "low")
-    long = texts.where("hot").join(of_low, ["anchor", "stretch", "low"]).select("anchor", "stretch", "low", "words")
-    windows = long.mapInArrow(whole_windows(window), "anchor bigint, stretch bigint, low bigint, offset int, h1 bigint, h2 bigint")
-    node = windows.groupBy("h1", "h2").agg(F.min("low").alias("least")).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
-    across = windows.join(node, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("least") < F.col("low"))).groupBy("anchor", "stretch").agg(F.collect_set("offset").alias("offsets"))
-    found = inside.unionByName(across).groupBy("anchor", "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
-    judged = shared.join(found, ["anchor", "stretch"], "left").where("low < high OR offsets IS NOT NULL").select("anchor", "stretch", "low", "offsets")
-    met = records.join(judged, ["anchor", "stretch"])
+    records = rows.select("doc_id", "mark", F.explode(F.arrays_zip("core", "stretch", "start", "count")).alias("r")).select("doc_id", "mark", "r.*").withColumn("number", numbered("doc_id"))
+    known = records.groupBy("core", "stretch").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    several = known.groupBy("core").agg(F.count("*").alias("many"), F.min("low").alias("least"), F.max("high").alias("most"))
+    shared = known.join(several.where("least < most"), "core").select("core", "stretch", "low", "many")
+    met = cut(records.join(shared, ["core", "stretch"]))
+    wanted = met.where("many > 1 AND number = low").dropDuplicates(["core", "stretch"])
+    texts = cut(stretch_texts(docs, wanted.select("doc_id", "mark", "low", "core", "stretch", "start", "count"), window))
+    crowded = met.where(F.col("many") > group).select("core").distinct()
+    calm, hot = texts.join(crowded, "core", "left_anti"), texts.join(crowded, "core", "left_semi")
+    found = in_subtrees(calm, window).unionByName(grouped(hot, group, window, prefix, part_sizes(window, prefix)[1:]))
+    verdicts = found.groupBy(F.col("first").alias("core"), "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
+    judged = met.join(verdicts, ["core", "stretch"], "left").where("number > low OR offsets IS NOT NULL")
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("count") + (window - 1)).alias("stop")))
-    single = F.transform(F.coalesce("offsets", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + window).alias("stop")))
-    spans = met.select("doc_id", "mark", F.explode(F.when(F.col("number") > F.col("low"), whole).otherwise(single)).alias("span"))
+    single = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + window).alias("stop")))
+    spans = judged.select("doc_id", "mark", F.explode(F.when(F.col("number") > F.col("low"), whole).otherwise(single)).alias("span"))
     return spans.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
@@ -278,3 +303,17 @@ def kept_digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, gr
 def kept_texts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the kept words joined by a blank)."""
     return _kept(docs, window, prefix, group, True)
+
+
+#: DuckDB SQL for ``op5_substring_dedup``; windows are compared by their words.
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+windows AS (SELECT r, doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM words, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS k)),
+first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (SELECT r, list(k) AS at FROM windows JOIN first USING (h) WHERE coalesce(least < doc_id, least IS NOT NULL) GROUP BY r),
+covered AS (SELECT DISTINCT r, k + o AS place FROM (SELECT r, unnest(at) AS k FROM gone), (SELECT unnest(generate_series(0, 49)) AS o)),
+removed AS (SELECT r, list(place) AS places FROM covered GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(places, []), k)), ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (r)
+"""
