@@ -2,13 +2,16 @@
 
 Fixed patterns find the base findings. Their values are labelled credentials: for each kind a bounded sample
 (``TRAINING`` distinct values, the first by hash, none longer than ``LONGEST``) becomes a prefix tree over character
-classes, whose statistically compatible states are merged (Hoeffding bounds) into a probabilistic automaton. Every
-other long token of every text is a candidate; it is a finding of kind ``grammar`` where its likelihood under an
-automaton exceeds that under a background model of such tokens, for each character, by as much as nearly all
-labelled credentials do. Base findings always stay.
+classes, whose statistically compatible states are merged (Hoeffding bounds) into a probabilistic automaton; a quarter
+of the sample is held out and sets the threshold. Every token of ``SHORTEST`` characters or more (the shortest that a
+labelled value can have), less what base findings cover of it, is a candidate. It is a finding of kind ``grammar`` where
+its likelihood under an automaton exceeds that under a background model, for each character, by as much as nearly all
+held-out credentials do. The background model holds how often symbols follow each other in all candidates of all
+documents. Base findings always stay. Only shapes (character classes) and hashes of values leave the documents' tasks.
 
 Edge cases: null texts are empty and have no findings; offsets count code points, ends exclusive; without base
-findings nothing is learnt and nothing is added; repeated rows each get a row; other columns are ignored.
+findings nothing is learnt and nothing is added; repeated rows each get a row; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from pyspark.sql import functions as F
 from docketry.llm.common import cut
 
 KINDS = ("assign", "access", "hex", "grammar")
-TRAINING, LONGEST, SHORTEST = 512, 128, 16
+TRAINING, LONGEST, SHORTEST = 512, 128, 6
+REMEMBERED = 200_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 CLASSES = {c: k for k, group in {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in group}
 SYMBOLS = str.maketrans(CLASSES)
+SHAPES = bytes(ord(CLASSES.get(chr(b), chr(b))) for b in range(256))
+CANDIDATE = re.compile(rb"[0agAG+/_.=-]{%d,}" % SHORTEST)
 ALPHABET = 12
 
 
@@ -45,9 +50,38 @@ def base_findings(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens that no base finding touches: (start, end, value)."""
-    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+def candidates(shapes: bytes, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, shape) in bytes of the tokens, without what ``covered`` (bytes, by start) holds of them."""
+    k = 0
+    for m in CANDIDATE.finditer(shapes):
+        start, end = m.span()
+        while k < len(covered) and covered[k][1] <= start:
+            k += 1
+        at = k
+        while at < len(covered) and covered[at][0] < end:
+            if covered[at][0] - start >= SHORTEST:
+                yield start, covered[at][0], shapes[start : covered[at][0]]
+            start = max(start, covered[at][1])
+            at += 1
+        if end - start >= SHORTEST:
+            yield start, end, shapes[start:end]
+
+
+def covered_bytes(text: str, data: bytes, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """Disjoint spans of bytes that base findings cover."""
+    out: list[tuple[int, int]] = []
+    at, byte = 0, 0
+    place = {}
+    for p in sorted({p for s, _, e, _ in base for p in (s, e)}):
+        byte += p - at if len(text) == len(data) else len(text[at:p].encode())
+        at = p
+        place[p] = byte
+    for s, _, e, _ in base:
+        if out and place[s] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], place[e]))
+        else:
+            out.append((place[s], place[e]))
+    return out
 
 
 class Automaton:
@@ -129,75 +163,109 @@ def likelihood(tables: list[dict[str, tuple[float, int]]], symbols: str) -> floa
     return (total + tables[state][""][0]) / (len(symbols) + 1)
 
 
-def background(tokens: list[str]) -> list[dict[str, tuple[float, int]]]:
-    """A first-order model of symbols, in the form of an automaton's tables."""
-    names = sorted(set("".join(tokens)) | set(CLASSES.values()))
-    at = {c: k + 1 for k, c in enumerate(names)}
-    count = [Counter() for _ in range(len(names) + 1)]
-    for token in tokens:
-        state = 0
-        for symbol in token:
-            count[state][symbol] += 1
-            state = at[symbol]
-        count[state][""] += 1
+def background(follows: dict[str, int]) -> list[dict[str, tuple[float, int]]]:
+    """A first-order model of symbols, in the form of an automaton's tables. ``follows`` counts pairs: a blank in front
+    stands for the beginning, one symbol alone for the end after it."""
+    names = sorted(set("".join(follows)) - {" "} | set(CLASSES.values()))
+    at = {c: k for k, c in enumerate([" ", *names])}
+    count = [Counter() for _ in at]
+    for pair, n in follows.items():
+        count[at[pair[0]]][pair[1:]] += n
     return [{c: (math.log((n[c] + 0.1) / (n.total() + 0.1 * ALPHABET)), at.get(c, 0)) for c in [*names, ""]} | {"?": (math.log(0.1 / (n.total() + 0.1 * ALPHABET)), 0)} for n in count]
 
 
-def learn(labelled: dict[int, list[str]], plain: list[str]) -> dict | None:
-    automata = [Automaton(sorted(v.translate(SYMBOLS) for v in values)).tables() for _, values in sorted(labelled.items()) if values]
+def learn(labelled: dict[int, list[str]], follows: dict[str, int]) -> dict | None:
+    """Automata from the shapes of labelled values, three of four; the fourth ones set the threshold."""
+    taught = {k: [v for at, v in enumerate(values) if at % 4 or len(values) < 4] for k, values in labelled.items()}
+    automata = [Automaton(sorted(values)).tables() for _, values in sorted(taught.items()) if values]
     if not automata:
         return None
-    model = {"automata": automata, "background": background([p.translate(SYMBOLS) for p in plain]), "least": 0.0}
-    gains = sorted(gain(model, v) for values in labelled.values() for v in values)
+    model = {"automata": automata, "background": background(follows), "least": 0.0}
+    gains = sorted(gain(model, v) for values in labelled.values() for v in (values[::4] if len(values) >= 4 else values))
     return model | {"least": max(0.25, gains[len(gains) // 50])}
 
 
-def gain(model: dict, value: str) -> float:
-    symbols = value.translate(SYMBOLS)
-    return max(likelihood(a, symbols) for a in model["automata"]) - likelihood(model["background"], symbols)
+def gain(model: dict, shape: str) -> float:
+    return max(likelihood(a, shape) for a in model["automata"]) - likelihood(model["background"], shape)
 
 
-SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
-ARROW_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
+def labelled_shapes(docs: DataFrame) -> DataFrame:
+    """(kind, hash, shape, n): shapes of base findings by the hash of the value, and as kind 3 the pairs of symbols
+    that follow each other in candidates, counted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, base and candidate spans with their values."""
+        def pairs() -> pa.RecordBatch:
+            follows: Counter = Counter()
+            for shape, n in seen.items():
+                own = shape.decode()
+                for pair in zip(" " + own, [*own, ""], strict=True):
+                    follows["".join(pair)] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([3] * len(follows), pa.int32()), pa.array([0] * len(follows), pa.int64()), pa.array(list(follows), pa.string()), pa.array(list(follows.values()), pa.int64())], names=["kind", "hash", "shape", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, more = [], []
-            for item in batch[1]:
+            found = []
+            for item in batch[0]:
                 text = item.as_py() or ""
-                found = base_findings(text)
-                base.append([{"kind": k, "start": s, "stop": e, "value": v} for s, k, e, v in found])
-                more.append([{"kind": 3, "start": s, "stop": e, "value": v} for s, e, v in candidates(text, found)])
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(base, ARROW_SPAN), pa.array(more, ARROW_SPAN)], names=["doc_id", "base", "more"])
+                data = text.encode("utf-8", "surrogatepass")
+                if base := base_findings(text):
+                    found += [(k, int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True), v.translate(SYMBOLS)) for _, k, _, v in base if len(v) <= LONGEST]
+                    seen.update(shape for _, _, shape in candidates(data.translate(SHAPES), covered_bytes(text, data, base)))
+                else:
+                    seen.update(CANDIDATE.findall(data.translate(SHAPES)))
+            kinds, hashes, shapes = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(shapes, pa.string()), pa.array([1] * len(found), pa.int64())], names=["kind", "hash", "shape", "n"])
+            if len(seen) > REMEMBERED:
+                yield pairs()
+        yield pairs()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN}, more {SPAN}")
+    return docs.select("text").mapInArrow(run, "kind int, hash bigint, shape string, n bigint").groupBy("kind", "hash", "shape").agg(F.sum("n").alias("n"))
 
 
-def sample(spans: DataFrame, column: str, kind: int) -> list[str]:
-    """Distinct values of one kind, the first ``TRAINING`` by hash."""
-    values = spans.select(F.explode(column).alias("s")).where((F.col("s.kind") == kind) & (F.length("s.value") <= LONGEST)).select("s.value").distinct()
-    return [r[0] for r in values.orderBy(F.xxhash64("value"), "value").limit(TRAINING).collect()]
+def model_of(docs: DataFrame) -> dict | None:
+    """The automata, background and threshold that ``docs`` teach."""
+    shapes = cut(labelled_shapes(docs))
+    taken = [shapes.where(F.col("kind") == k).orderBy("hash", "shape").limit(TRAINING) for k in range(3)]
+    labelled = {k: [r["shape"] for r in rows.collect()] for k, rows in enumerate(taken)}
+    return learn(labelled, {r["shape"]: r["n"] for r in shapes.where("kind = 3").collect()})
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar."""
-    spans = cut(scan(docs))
-    model = learn({k: sample(spans, "base", k) for k in range(3)}, sample(spans, "more", 3))
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = sent.value, {}
+
+        def accepted(shape: bytes) -> bool:
+            out = known.get(shape)
+            if out is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                out = known[shape] = gain(model, shape.decode()) >= model["least"]
+            return out
+
         for batch in batches:
             rows = []
-            for base, more in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-                kept = [s for s in more if model and gain(model, s["value"]) >= model["least"]]
-                said = lambda spans: ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['stop']}" for s in sorted(spans, key=lambda s: (s["start"], s["kind"])))
-                own = Counter(s["kind"] for s in base)
-                rows.append((own[0], own[1], own[2], hashlib.sha256(said(base).encode()).hexdigest(), said(base + kept), len(kept)))
+            for item in batch[1]:
+                text = item.as_py() or ""
+                data = text.encode("utf-8", "surrogatepass")
+                base = base_findings(text)
+                shapes, more = data.translate(SHAPES), []
+                if model and (base or any(map(accepted, set(CANDIDATE.findall(shapes))))):
+                    found = [(s, e) for s, e, shape in candidates(shapes, covered_bytes(text, data, base)) if accepted(shape)]
+                    at, byte = 0, 0
+                    for s, e in found:
+                        at, byte = at + len(data[byte:s].decode("utf-8", "surrogatepass")), s
+                        more.append((at, 3, at + e - s))
+                own = [f[:3] for f in base]
+                kinds = Counter(k for _, k, _ in own)
+                said = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+                rows.append((kinds[0], kinds[1], kinds[2], hashlib.sha256(said(own).encode()).hexdigest(), said(own + more), len(more)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
 
-    return spans.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_grammar bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_grammar bigint")
