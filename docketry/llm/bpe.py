@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 REMEMBERED = 150_000
+LONG = 64  # symbols from which a heap finds merges faster than looking at all pairs
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
@@ -61,13 +63,12 @@ def byte_symbols() -> list[str]:
 
 
 class ForcedBoundaryBPE:
-    """Encoder and decoder of one word-end BPE vocabulary file."""
+    """Encoder and decoder of one word-end BPE vocabulary, given as its file's content."""
 
-    def __init__(self, path: str, rules: tuple[str, str, str, dict[int, str]]):
+    def __init__(self, content: str, rules: tuple[str, str, str, dict[int, str]]):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
@@ -110,7 +111,9 @@ class ForcedBoundaryBPE:
         if last:
             parts[-1] += self.end
         rank_of, none = self.ranks.get, len(self.ranks)
-        while len(parts) > 1:
+        if len(parts) > LONG:
+            parts = self.merged(parts)
+        while 1 < len(parts) <= LONG:
             ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
             if best == none:
@@ -130,6 +133,27 @@ class ForcedBoundaryBPE:
         self.fragments[key] = ids
         return ids
 
+    def merged(self, parts: list[str]) -> list[str]:
+        """``parts`` after all merges, in time that grows little faster than their number: a heap of pairs by rank
+        and place over linked parts."""
+        many, own = len(parts), list(parts)
+        after, before = list(range(1, many + 1)), list(range(-1, many - 1))
+        heap = [(rank, k) for k in range(many - 1) if (rank := self.ranks.get((own[k], own[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            right = after[k]
+            if own[k] == "" or right == many or self.ranks.get((own[k], own[right])) != rank:
+                continue
+            own[k], own[right] = own[k] + own[right], ""
+            after[k] = after[right]
+            if after[k] < many:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < many and (found := self.ranks.get((own[a], own[b]))) is not None:
+                    heapq.heappush(heap, (found, a))
+        return [p for p in own if p]
+
     def word(self, word: str) -> list[int]:
         symbols = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
         symbols = symbols.translate(self.symbols)
@@ -195,13 +219,23 @@ class ForcedBoundaryBPE:
         return said.count(" ") + 1 if said else 0, said, " ".join(map(SECOND, own))
 
 
+def content_of(vocabulary: str) -> str:
+    with open(vocabulary, encoding="utf-8") as f:
+        return f.read()
+
+
+def sent_rules(docs: DataFrame, vocabulary: str):
+    """Content of the file and Unicode rules for all workers; only the driver opens the path."""
+    return docs.sparkSession.sparkContext.broadcast((content_of(vocabulary), unicode_rules()))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, ids."""
 
-    rules = unicode_rules()
+    sent = sent_rules(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ForcedBoundaryBPE(vocabulary, rules)
+        model = ForcedBoundaryBPE(*sent.value)
         for batch in batches:
             ids = pa.array([model.encode(t.as_py() or "") for t in batch[1]], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch[0], ids], names=["doc_id", "ids"])
@@ -212,10 +246,10 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, text."""
 
-    rules = unicode_rules()
+    sent = sent_rules(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ForcedBoundaryBPE(vocabulary, rules)
+        model = ForcedBoundaryBPE(*sent.value)
         for batch in batches:
             text = pa.array([model.decode(i.as_py() or []) for i in batch[1]], pa.string())
             yield pa.RecordBatch.from_arrays([batch[0], text], names=["doc_id", "text"])
@@ -226,10 +260,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids on request."""
 
-    rules = unicode_rules()
+    sent = sent_rules(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ForcedBoundaryBPE(vocabulary, rules)
+        model = ForcedBoundaryBPE(*sent.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             counts, sums, shown, ids = [], [], [], []
