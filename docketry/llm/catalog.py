@@ -47,4 +47,4 @@ def op10_forced_boundary_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op2_fuzzy_lines, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op6_license_scan, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
-ORACLES = {"op8_decontamination": decontaminate.ORACLE}
+ORACLES = {"op5_substring_dedup": substrings.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
