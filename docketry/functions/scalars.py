@@ -31,7 +31,7 @@ def multi(c: Text, separator: str = ";") -> Column:
 
 def lookup(key: Column, mapping: Mapping[str, object]) -> Column:
     """Value of ``key`` in a small fixed mapping, else null."""
-    pairs = [F.lit(x) for k, value in mapping.items() for x in (k, value)]
+    pairs = [x if isinstance(x, Column) else F.lit(x) for k, value in mapping.items() for x in (k, value)]
     return F.try_element_at(F.create_map(*pairs), key)
 
 
@@ -69,16 +69,24 @@ def _sql(c: Text) -> str:
     return f"`{c}`"
 
 
+# What unit words of an amount stand for.
+UNITS = {"K": 1_000, "THOUSAND": 1_000, "M": 1_000_000, "MILLION": 1_000_000, "B": 1_000_000_000, "BILLION": 1_000_000_000}
+
+
 def money(c: Text) -> Column:
-    """First amount as decimal(18,2), halves to even: ``$4.5 million``, ``$1.2M``, ``$1,234.50`` or a bare number."""
-    text = col(c)
-    number = r"(\d[\d,]*(?:\.\d+)?)"
-    scaled = rf"(?i)\$?\s*{number}\s*(thousand|million|billion|[kmb])(?![A-Za-z])"
-    unit = F.upper(F.substring(F.regexp_extract(text, scaled, 2), 1, 1))
-    factor = F.when(unit == "K", 1000).when(unit == "T", 1000).when(unit == "M", 1000000).when(unit == "B", 1000000000)
-    amount = lambda pattern: F.nullif(F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ""), F.lit("")).cast("decimal(20,6)")
-    plain, bare = amount(rf"\$\s*{number}"), amount(rf"^\s*{number}\s*$")
-    return F.bround(F.coalesce(amount(scaled) * factor.cast("decimal(10,0)"), plain, bare), 2).cast("decimal(18,2)")
+    """First amount as decimal(18,2), halves to even: a number with a unit word, else one after a dollar sign, else a
+    text that is a number alone. Words and numbers of the text are looked at one by one."""
+    tokens = F.regexp_extract_all(F.upper(col(c)), F.lit("([0-9][0-9,]*[.][0-9]+|[0-9][0-9,]*|[A-Z]+|[^A-Z0-9 ])"), 1)
+
+    def amount(t: Column) -> Column:
+        number = lambda k: F.try_to_number(F.replace(F.get(t, k), F.lit(","), F.lit("")), F.lit("9" * 20 + "D" + "9" * 6)).cast("decimal(26,6)")
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: F.get(t, k).rlike("^[0-9]"))
+        unit = lambda k: lookup(F.get(t, k + 1), UNITS)
+        scaled = F.get(F.filter(at, lambda k: unit(k).isNotNull()), F.lit(0))
+        paid = F.get(F.filter(at, lambda k: F.get(t, k - 1) == "$"), F.lit(0))
+        return F.when(F.size(t) > 0, F.coalesce(number(scaled) * unit(scaled).cast("decimal(10,0)"), number(paid), F.when(F.size(t) == 1, number(F.get(at, F.lit(0))))))
+
+    return F.bround(F.transform(F.array(tokens), amount)[0], 2).cast("decimal(18,2)")
 
 
 def parse_date(c: Text) -> Column:
@@ -172,19 +180,27 @@ def folder_phase(path: Text) -> Column:
     return lookup(folder_of(path), {k: p for k, (_, p) in v.FOLDERS.items()})
 
 
+# In these folders a file deserves OCR if its name holds one of the first words and none of the second.
+APPEAL_WORDS = (["order", "decision", "findings of fact", "opinion", "certificate"], ["duplicate", "proposed", "draft"])
+OCR_WORDS = {
+    "main application": (["main application"], ["master file", "bates"]),
+    "appendices": ([], []),
+    "decision": (["decision", "letter"], ["certificate"]),
+    "evaluation": (["request", "response", "additional info"], []),
+    "initial hearing officer appeal": APPEAL_WORDS,
+    "apa appeal": APPEAL_WORDS,
+    "commissioner review": APPEAL_WORDS,
+    "judicial review": APPEAL_WORDS,
+    "review board": APPEAL_WORDS,
+}
+
+
 def worth_ocr(path: Text) -> Column:
-    """Whether a file's name deserves OCR in its folder; folders without a rule always do."""
-    folder, name = folder_of(path), F.lower(F.element_at(F.split(F.regexp_replace(col(path), r"\\", "/"), "/"), -1))
-    has = lambda *words: reduce(lambda a, b: a | b, [name.contains(w) for w in words])
-    appeal = folder.isin("initial hearing officer appeal", "apa appeal", "commissioner review", "judicial review", "review board")
-    return (
-        F.when(folder == "main application", has("main application") & ~has("master file", "bates"))
-        .when(folder == "appendices", False)
-        .when(folder == "decision", has("decision", "letter") & ~has("certificate"))
-        .when(folder == "evaluation", has("request", "response", "additional info"))
-        .when(appeal, has("order", "decision", "findings of fact", "opinion", "certificate") & ~has("duplicate", "proposed", "draft"))
-        .otherwise(True)
-    )
+    """Whether a file's name deserves OCR in its folder; folders without words in ``OCR_WORDS`` always do."""
+    name = F.lower(F.element_at(F.split(F.regexp_replace(col(path), r"\\", "/"), "/"), -1))
+    text_lists = lambda k: lookup(folder_of(path), {folder: F.array(*map(F.lit, words[k])).cast("array<string>") for folder, words in OCR_WORDS.items()})
+    held = lambda words: F.exists(words, lambda w: F.contains(name, w))
+    return F.coalesce(held(text_lists(0)) & ~held(text_lists(1)), F.lit(True))
 
 
 def slug(name: Text) -> Column:
@@ -237,3 +253,82 @@ def duration(days: Text) -> Column:
     short = F.concat(months.cast("string"), F.when(months == 1, " month").otherwise(" months"))
     head = F.concat(years.cast("string"), F.when(years == 1, " yr").otherwise(" yrs"))
     return F.when(years <= 0, short).otherwise(F.concat(head, F.when(months > 0, F.concat(F.lit(" "), months.cast("string"), F.lit(" mo"))).otherwise("")))
+
+
+def json_or_null(c: Text, schema: str) -> Column:
+    """A JSON text as what ``schema`` says; bad JSON is null."""
+    return F.from_json(col(c), schema)
+
+
+def flat_text(segments: Text) -> Column:
+    """Rich text, an array of (style, text), as one plain text; null is empty."""
+    return F.coalesce(F.array_join(F.transform(col(segments), lambda x: F.coalesce(x["text"], F.lit(""))), ""), F.lit(""))
+
+
+def has_flags(flags: Text) -> Column:
+    return F.coalesce(F.size(col(flags)) > 0, F.lit(False))
+
+
+def is_stub(flags: Text) -> Column:
+    """Whether a flag tells that the record was made for an event alone."""
+    return F.coalesce(F.exists(col(flags), lambda x: x.startswith("stub")), F.lit(False))
+
+
+def time_ago(c: Text, now: Column) -> Column:
+    """``just now``, ``5m ago``, ``3h ago`` or ``2d ago``; null is empty."""
+    minutes = F.floor((F.unix_micros(now) - F.unix_micros(col(c))) / 60_000_000)
+    said = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
+    label = F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(minutes < 1440, said(minutes / 60, "h")).otherwise(said(minutes / 1440, "d"))
+    return F.when(col(c).isNull(), "").otherwise(label)
+
+
+def year_anchor(day: Text, year: Text) -> Column:
+    """The day, else the first of January of the year."""
+    return F.coalesce(col(day), F.make_date(F.nullif(col(year), F.lit(0)), F.lit(1), F.lit(1)))
+
+
+def stage_date(c: Text) -> Column:
+    """First date as ``Jan 5, 2026`` in a text."""
+    months = {m: k + 1 for k, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
+    words = F.filter(F.split(F.replace(col(c), F.lit(","), F.lit(" ")), r"\s+"), lambda w: w != "")
+
+    def first(w: Column) -> Column:
+        day = lambda k: F.try_to_date(F.concat_ws("-", F.get(w, k + 2), lookup(F.get(w, k), months).cast("string"), F.get(w, k + 1)), "yyyy-M-d")
+        fits = lambda k: lookup(F.get(w, k), months).isNotNull() & F.get(w, k + 1).rlike("^[0-9]+$") & F.get(w, k + 2).rlike("^[0-9]{4}$")
+        return F.get(F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda k: F.when(fits(k), day(k)))), F.lit(0))
+
+    return F.transform(F.array(words), first)[0]
+
+
+def as_percent(c: Text) -> Column:
+    """A share of 1 as percentage of two decimals, halves to even."""
+    return F.bround(col(c) * 100, 2)
+
+
+def ratio_shade(c: Text) -> Column:
+    """Shade 0 to 4 of a ratio: over 0.14, 0.32, 0.55 and 0.8."""
+    return reduce(lambda out, b: out + F.coalesce((col(c) > b).cast("int"), F.lit(0)), (0.14, 0.32, 0.55, 0.8), F.lit(0))
+
+
+def half_up(c: Column) -> Column:
+    return F.floor(c + 0.5)
+
+
+def applicant_in_path(path: Text, variants: Column) -> Column:
+    """What follows a docket in the first part of a path that begins with it, whatever its form; blank is null."""
+    parts = F.split(F.regexp_replace(col(path), "/", r"\\\\"), r"\\\\")
+    starts = lambda part, x: F.startswith(F.upper(part), F.upper(x))
+    rest = lambda part: F.get(F.transform(F.filter(variants, lambda x: starts(part, x)), lambda x: F.trim(F.substr(part, F.length(x) + 1))), F.lit(0))
+    return clean(F.get(F.transform(F.filter(parts, lambda part: F.exists(variants, lambda x: starts(part, x))), rest), F.lit(0)))
+
+
+def blob_parts(path: Text) -> Column:
+    """(container, name, key) of a path in a store: the first part, the rest, and both joined as the ledger holds them."""
+    tidy = F.trim(col(path), F.lit("/"))
+    box, name = F.substring_index(tidy, "/", 1), F.regexp_replace(tidy, "^[^/]*/?", "")
+    return F.struct(box.alias("container"), name.alias("name"), F.concat(box, F.lit("/"), name).alias("key"))
+
+
+def native_enough(text: Text, pages: Text, least: int = 20) -> Column:
+    """Whether a file's own text has at least ``least`` characters a page."""
+    return F.coalesce(F.try_divide(F.length(F.trim(col(text))), col(pages)) >= least, F.lit(False))

@@ -13,11 +13,11 @@ LIMIT, MOST = 50, 500
 
 
 def condition(column: Column, kind: str, value: object) -> Column:
-    """``eq`` (case doesn't matter for text), ``like`` (anywhere, wildcards taken literally), ``gte`` or ``lte``."""
+    """``eq`` (case doesn't matter for text), ``like`` (anywhere; ``%`` and ``_`` are wildcards), ``gte`` or ``lte``."""
     if kind == "eq":
         return F.lower(column) == value.lower() if isinstance(value, str) else column == value
     if kind == "like":
-        return F.contains(F.lower(column), F.lit(str(value).lower()))
+        return F.lower(column.cast("string")).like("%" + str(value).lower().replace("\\", "\\\\") + "%")
     return column >= value if kind == "gte" else column <= value
 
 

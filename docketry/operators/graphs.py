@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.scalars import lookup
+from docketry.operators.staging import settle
 from docketry.sources.vocabulary import LEVELS, TREATMENT_LEVELS
 
 
@@ -47,17 +48,20 @@ def joined(rows: DataFrame, key: str, value: str, separator: str = ";") -> DataF
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), separator).alias(value))
 
 
-def tree(nodes: DataFrame, key: str, parent: str, depth: int = 32) -> DataFrame:
-    """(key, root, level, path): every node under its root; nodes whose parent is missing are roots. Levels are joined
-    one by one, at most ``depth``."""
+def tree(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, level, path): every node under its root; nodes whose parent is missing are roots. Each round joins every
+    node with what its ancestor knows, so depth doubles and a tree of any depth takes a few rounds. Nodes that lead into
+    a circle have no root: their root, level and path are null."""
     known = nodes.select(F.col(key).alias("__p"))
-    roots = nodes.join(known, F.col(parent) == F.col("__p"), "left_anti")
-    level = roots.select(key, F.col(key).alias("root"), F.lit(0).alias("level"), F.col(key).cast("string").alias("path"))
-    out = level
-    for k in range(1, depth):
-        up = level.select(F.col(key).alias("__up"), "root", "path")
-        level = nodes.join(up, F.col(parent) == F.col("__up")).select(key, "root", F.lit(k).alias("level"), F.concat_ws("/", "path", F.col(key).cast("string")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    linked = nodes.select(key, F.col(parent).alias("__up")).join(known, F.col("__up") == F.col("__p"), "left")
+    name = F.col(key).cast("string")
+    state = settle(linked.select(key, F.coalesce("__p", key).alias("at"), F.when(F.col("__p").isNull(), 0).otherwise(1).alias("level"), F.when(F.col("__p").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), name)).alias("path"), F.col("__p").isNull().alias("done")))
+    rounds, most = 0, max(1, state.count()).bit_length() + 1
+    while rounds < most and not state.where("NOT done").isEmpty():
+        above = state.select(F.col(key).alias("at"), F.col("at").alias("to"), F.col("level").alias("more"), F.col("path").alias("front"), F.col("done").alias("ends"))
+        far = state.where("NOT done").join(above, "at")
+        moved = far.select(key, F.col("to").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.concat("front", "path").alias("path"), F.col("ends").alias("done"))
+        state = settle(state.where("done").unionByName(moved))
+        rounds += 1
+    found = lambda c: F.when(F.col("done"), c)
+    return state.select(key, found(F.col("at")).alias("root"), found(F.col("level")).alias("level"), found(F.concat(F.col("at").cast("string"), "path")).alias("path"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +40,29 @@ def fold_axes(rows: DataFrame, state: DataFrame, closed: str = "Masterfile") ->
     """(entry_id, row_number, accepted, reason): tag rows (entry_id, row_number, axis2, codes) judged in order.
 
     A row that sets axis 2 to ``closed`` is rejected while the entry has codes; a row that adds codes is rejected while
-    the entry is closed, unless it opens it itself. ``state`` (entry_id, closed, coded) is what is known before. An
-    entry's rows are few, and go to one task in order.
+    the entry is closed, unless it opens it itself. ``state`` (entry_id, closed, coded) is what is known before. Rows
+    stream by entry in order, so however many an entry has, two flags are held.
     """
-    seeded = rows.join(state.select("entry_id", F.col("closed").alias("is_closed"), F.col("coded").alias("has_codes")), "entry_id", "left")
-
-    def judge(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("row_number")
-        shut, coded = bool(own["is_closed"].iloc[0] or False), bool(own["has_codes"].iloc[0] or False)
-        out = []
-        for r in own.itertuples():
-            adds = r.codes is not None and len(r.codes) > 0
-            opens = r.axis2 is not None and r.axis2 != closed
-            reason = "has codes" if r.axis2 == closed and coded else "closed" if adds and shut and not opens else None
-            if reason is None:
-                shut = True if r.axis2 == closed else False if opens else shut
-                coded = coded or adds
-            out.append((r.entry_id, r.row_number, reason is None, reason))
-        return pd.DataFrame(out, columns=["entry_id", "row_number", "accepted", "reason"])
-
-    filled = seeded.fillna(False, ["is_closed", "has_codes"])
-    return filled.groupBy("entry_id").applyInPandas(judge, "entry_id bigint, row_number bigint, accepted boolean, reason string")
+    known = state.select("entry_id", F.col("closed").alias("is_closed"), F.col("coded").alias("has_codes"))
+    adds = F.coalesce(F.size("codes") > 0, F.lit(False))
+    seeded = rows.join(known, "entry_id", "left").select("entry_id", "row_number", F.coalesce(F.col("axis2") == closed, F.lit(False)).alias("shuts"), F.coalesce(F.col("axis2") != closed, F.lit(False)).alias("opens"), adds.alias("adds"), F.coalesce("is_closed", F.lit(False)).alias("shut"), F.coalesce("has_codes", F.lit(False)).alias("coded"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, shut, coded = None, False, False  # of the entry whose rows come now
+        for batch in batches:
+            reasons = []
+            for e, shuts, opens, adds, was_shut, was_coded in zip(*(batch[k].to_pylist() for k in (0, 2, 3, 4, 5, 6)), strict=True):
+                if e != entry:
+                    entry, shut, coded = e, was_shut, was_coded
+                reasons.append("has codes" if shuts and coded else "closed" if adds and shut and not opens else None)
+                if reasons[-1] is None:
+                    shut = shuts or (shut and not opens)
+                    coded = coded or adds
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], names=["entry_id", "row_number", "accepted", "reason"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in seeded.schema}
+    ordered = seeded.repartition("entry_id").sortWithinPartitions("entry_id", "row_number")
+    return ordered.mapInArrow(judge, f"entry_id {kinds['entry_id']}, row_number {kinds['row_number']}, accepted boolean, reason string")
 
 
 def first_error(df: DataFrame, checks: Sequence[tuple[str, Column, str]], row_number: str = "row_number") -> tuple[DataFrame, DataFrame]:

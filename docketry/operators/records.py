@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,10 +59,16 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce(key, "__k").alias(key), change.alias("change"), "old", "new")
 
 
+def picked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """The first or last row of each key by ``order``, by partial aggregation."""
+    choose = F.max_by if last else F.min_by
+    whole = choose(F.struct(*rows.columns), F.struct(*order)).alias("__row")
+    return rows.groupBy(*keys).agg(whole).select("__row.*")
+
+
 def snapshot(rows: DataFrame, key: str, position: str) -> DataFrame:
     """The last row of each key by ``position``."""
-    window = Window.partitionBy(key).orderBy(F.col(position).desc())
-    return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+    return picked(rows, [key], [position], True)
 
 
 def change_details(changes: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,8 +88,7 @@ def revalidate(documents: DataFrame, changes: DataFrame, key: str, status: str =
 
 def first_by_digest(rows: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:
     """The first row of each digest."""
-    window = Window.partitionBy(digest).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+    return picked(rows, [digest], order, False)
 
 
 def stubs(events: DataFrame, matters: DataFrame, key: str = "docket_id") -> DataFrame:
@@ -96,7 +101,6 @@ def unprocessed(files: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> Dat
     return files.join(ledger.where("status = 'succeeded'").select(*keys), list(keys), "left_anti")
 
 
-def latest(entries: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+def latest(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last entry of each key."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return entries.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+    return picked(entries, keys, order, True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.staging import settle
+
 STOP_WORDS = ["the", "of", "and", "a", "an", "in", "on", "to", "for", "or"]  # fixed values
 
 
@@ -17,9 +21,11 @@ def tokens(text: str | Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def term_index(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf): how often each record holds each token."""
-    words = F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+def term_index(df: DataFrame, key: str, text: str, prefixes: Sequence[str] = ()) -> DataFrame:
+    """(token, key, tf): how often each record holds each token, of those that begin with one of ``prefixes`` if given.
+    Others go before anything is exploded."""
+    begins = lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in prefixes], F.lit(not prefixes))
+    words = F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & begins(t)))
     return df.select(key, words.alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))
 
 
@@ -34,9 +40,9 @@ def prefix_search(df: DataFrame, key: str, text: str, query: str, k: int = 50) -
     terms = query_terms(query)
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
-    index = term_index(df, key, text)
+    index = term_index(df, key, text, terms)
     which = F.explode(F.filter(F.array(*[F.when(F.startswith("token", F.lit(t)), t) for t in terms]), lambda t: t.isNotNull()))
-    hits = index.select("token", key, "tf", which.alias("term"))
+    hits = settle(index.select("token", key, "tf", which.alias("term")))
     seen = hits.groupBy("token").agg(F.countDistinct(key).alias("df"))
     total = F.broadcast(df.agg(F.count("*").alias("n_all")))
     weighed = hits.join(seen, "token").crossJoin(total).withColumn("w", F.col("tf") * F.log(1 + F.col("n_all") / F.col("df")))
@@ -61,15 +67,38 @@ def top_across(scopes: Sequence[DataFrame], k: int) -> DataFrame:
     return all_parts.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "scope", "id").limit(k)
 
 
+QUERY_ROWS, VECTOR_ROWS = 1024, 4096  # vectors in a block
+
+
+def blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
+    """(name_ids, name_vectors): arrays of about ``rows`` rows each."""
+    many = max(1, -(-df.count() // rows))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("r")).select(F.col("r.id").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_vectors"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """(query, key, score, position): the ``k`` nearest by cosine of every query, exactly. Queries are few and fixed in
-    number; each task keeps the best ``k`` of its rows before anything is shuffled."""
+    """(query, key, score, position): the ``k`` nearest by cosine of every query, exactly; ties by key. Blocks of queries
+    meet blocks of vectors, each pair in a task as one matrix product that keeps the best ``k`` of its vectors for each
+    query; those are all that is shuffled. Vectors without length score null, which comes last."""
     k = min(50, max(1, k))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__n")))
-    both = vectors.select(key, vector, norm(F.col(vector)).alias("__m")).crossJoin(q)
-    scored = both.select("query", key, F.round(F.try_divide(dot(F.col(vector), F.col("__q")), F.col("__m") * F.col("__n")), 6).alias("score"))
+    pairs = blocks(vectors, key, vector, VECTOR_ROWS, "v").crossJoin(blocks(queries, key, vector, QUERY_ROWS, "q"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                own, asked = np.stack(row.v_vectors), np.stack(row.q_vectors)
+                length = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(length > 0, asked @ own.T / length, np.nan)
+                score = np.round(score, 6)
+                ids = np.asarray(row.v_ids)
+                order = np.lexsort(np.broadcast_arrays(ids[None, :], -np.nan_to_num(score, nan=-2.0)), axis=1)[:, :k]
+                at = np.repeat(np.arange(len(asked)), order.shape[1])
+                found = score[at, order.ravel()]
+                yield pd.DataFrame({"query": np.asarray(row.q_ids)[at], key: ids[order.ravel()], "score": pd.array(found, dtype="Float64")})
+
+    scored = pairs.mapInPandas(best, f"query {kind}, {key} {kind}, score double")
     window = Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), key)
     return scored.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
 

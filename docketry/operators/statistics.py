@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.scalars import percent
+from docketry.functions.scalars import half_up, percent
 
 UNDECIDED = ("Pending", "Unknown", "Withdrawn")
 
@@ -78,3 +78,16 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     return counts.crossJoin(F.broadcast(top)).select(column, "n", F.bround(F.col("n") / F.col("top"), 4).alias("share_of_largest"))
+
+
+def digest(events: DataFrame, day: str, section: str, filed: Sequence[str], issued: Sequence[str]) -> DataFrame:
+    """(day, filed, issued): events of a report day by what their sections stand for."""
+    return events.groupBy(day).agg(count_where(F.col(section).isin(list(filed))).alias("filed"), count_where(F.col(section).isin(list(issued))).alias("issued"))
+
+
+def breakdown(groups: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` largest groups (total, approved, denied) in whole percents, halves up; the rest of 100 is withdrawn."""
+    share = lambda c: half_up(100.0 * F.col(c) / F.col("total"))
+    shares = groups.select(key, "total", share("approved").alias("grant_pct"), share("denied").alias("deny_pct"))
+    rest = F.greatest(F.lit(0).cast("long"), 100 - F.col("grant_pct") - F.col("deny_pct"))
+    return shares.withColumn("withdrawn_pct", rest).orderBy(F.desc("total"), key).limit(k)

@@ -1,34 +1,17 @@
-"""Names of the queries, each with its DuckDB equivalent where SQL can express it."""
+"""Queries on statistics, filters, joins, search, versions and rules, each with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import dockets, reports, texts
 from docketry.functions import scalars as s
 from docketry.operators import filters, graphs, matching, records, search, statistics
-from docketry.plans.carriers import CITATIONS, EVENTS, FILINGS, MATTERS, SERVICES, SNAPSHOTS, Carriers
+from docketry.plans.carriers import CITATIONS, EVENTS, FILINGS, MATTERS, SERVICES, SNAPSHOTS
+from docketry.plans.registry import ORACLES, QUERIES, query
 from docketry.sources import readers, vocabulary
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of the carriers under its name, with its SQL."""
-
-    def register(f: Callable[[Carriers], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Carriers(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 RATE = "CASE WHEN {1} = 0 THEN 0.0 ELSE CAST(round_even(100.0 * {0} / {1}, 1) AS DOUBLE) END"
 GROUPED = "count(*) AS total, count(*) FILTER (final_outcome = 'Approved') AS approved, count(*) FILTER (final_outcome = 'Denied') AS denied"
 
@@ -142,8 +125,9 @@ def matters_filtered_page(t):
 
 @query(f"WITH {MATTERS}, {SERVICES} SELECT docket_id, county, final_outcome FROM matters m WHERE EXISTS (SELECT 1 FROM services s WHERE s.docket_id = m.docket_id AND lower(s.service_type) = (SELECT lower(min(p_type)) FROM part))")
 def matters_exists_service(t):
-    first = t.table("part").agg(F.min("p_type")).first()[0]
-    return filters.having_child(t.matters, t.services, "docket_id", "service_type", first).select("docket_id", "county", "final_outcome")
+    least = F.broadcast(t.table("part").agg(F.lower(F.min("p_type")).alias("least")))
+    chosen = t.services.join(least, F.lower("service_type") == F.col("least"))
+    return t.matters.join(chosen.select("docket_id"), "docket_id", "left_semi").select("docket_id", "county", "final_outcome")
 
 
 @query(f"WITH {MATTERS} SELECT docket_id, applicant, county FROM matters WHERE contains(lower(applicant), '00012') OR contains(lower(county), 'an')")
@@ -247,9 +231,9 @@ def table_of_authorities(t):
     return joined.select("cite_id", F.coalesce("entry", "statute", F.concat(F.lit("external "), "cite")).alias("authority"))
 
 
-@query("SELECT l_suppkey AS source, l_partkey AS target FROM lineitem WHERE l_suppkey < 20 UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey < 20")
+@query("SELECT l_suppkey AS source, l_partkey AS target FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem")
 def statute_xrefs_union(t):
-    return graphs.both_ways(t.table("lineitem").where("l_suppkey < 20"), "l_suppkey", "l_partkey")
+    return graphs.both_ways(t.table("lineitem"), "l_suppkey", "l_partkey")
 
 
 @query(f"WITH {CITATIONS} SELECT cited, arg_min(cite, cite_id) AS cite FROM citations GROUP BY 1")
@@ -287,10 +271,10 @@ def case_reader(t):
     return lists.select("conv_id", F.size("p").cast("long").alias("turns"), F.array_join(F.col("p.role"), ">").alias("roles"), F.sha2(F.array_join(F.col("p.text"), "\n"), 256).alias("text_sha256"))
 
 
-@query(f"WITH {EVENTS} SELECT docket_id, event_id, report_date, section, row_number() OVER (PARTITION BY docket_id ORDER BY report_date DESC, event_id DESC) AS position FROM evs WHERE docket_id <= 50")
+@query(f"WITH {EVENTS} SELECT docket_id, event_id, report_date, section, row_number() OVER (PARTITION BY docket_id ORDER BY report_date DESC, event_id DESC) AS position FROM evs")
 def docket_history(t):
     order = Window.partitionBy("docket_id").orderBy(F.desc("report_date"), F.desc("event_id"))
-    return t.events.where("docket_id <= 50").select("docket_id", "event_id", "report_date", "section", F.row_number().over(order).cast("long").alias("position"))
+    return t.events.select("docket_id", "event_id", "report_date", "section", F.row_number().over(order).cast("long").alias("position"))
 
 
 # Views and search
@@ -404,9 +388,9 @@ def merge_direct_cols(t):
     return records.merge(t.table("customer"), incoming(t), ["c_custkey"], direct=["c_mktsegment"])
 
 
-@query(f"WITH {SERVICES} SELECT docket_id, service_type FROM services WHERE docket_id % 2 = 0 UNION SELECT docket_id, service_type FROM services WHERE docket_id % 3 = 0")
+@query(f"WITH {SERVICES} SELECT docket_id, service_type FROM services")
 def bridge_insert_missing(t):
-    return records.insert_missing(t.services.where("docket_id % 2 = 0"), t.services.where("docket_id % 3 = 0"), ["docket_id", "service_type"])
+    return records.insert_missing(t.services.where("docket_id % 2 = 0"), t.services.where("docket_id % 2 != 0 OR docket_id % 3 = 0"), ["docket_id", "service_type"])
 
 
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS sort_order, text FROM conversations WHERE conv_id % 3 != 0 UNION ALL SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT), upper(role) FROM conversations WHERE conv_id % 3 = 0 AND conv_id % 2 = 0")
@@ -443,7 +427,7 @@ def ledger_skip(t):
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def ledger_latest(t):
-    return records.latest(t.table("events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
+    return records.latest(t.table("events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT sha256(text) AS text_sha256, min(doc_id) AS canonical, count(*) - 1 AS surplus FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -472,9 +456,9 @@ def deadlines_join(t):
     return due.select("docket_id", "rule_id", F.date_add("filed", F.col("offset_days")).alias("due_date"), "basis_statute")
 
 
-@query(f"WITH {MATTERS}, e AS (SELECT docket_id, date_diff('day', filed, DATE '2001-08-01') AS elapsed FROM matters WHERE filed >= DATE '2000-06-01') SELECT docket_id, elapsed, CASE WHEN elapsed < 120 THEN 1 WHEN elapsed < 150 THEN 2 WHEN elapsed < 240 THEN 3 ELSE 4 END AS stage FROM e")
+@query(f"WITH {MATTERS}, e AS (SELECT docket_id, date_diff('day', filed, DATE '2001-08-01') AS elapsed FROM matters) SELECT docket_id, elapsed, CASE WHEN elapsed < 120 THEN 1 WHEN elapsed < 150 THEN 2 WHEN elapsed < 240 THEN 3 ELSE 4 END AS stage FROM e")
 def proceeding_stage_calc(t):
-    rows = t.matters.where(F.col("filed") >= F.lit("2000-06-01").cast("date")).select("docket_id", F.date_diff(F.lit("2001-08-01").cast("date"), "filed").cast("long").alias("elapsed"))
+    rows = t.matters.select("docket_id", F.date_diff(F.lit("2001-08-01").cast("date"), "filed").cast("long").alias("elapsed"))
     return rows.withColumn("stage", s.elapsed_stage("elapsed"))
 
 
@@ -552,11 +536,15 @@ def html_text(t):
     return t.table("pages").select("page_id", texts.html_text("html").alias("text"))
 
 
-@query()
+@query(
+    """SELECT o_orderkey, ['CON-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0'), 'DET-EQT-2024-' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), 'FULTON-12'] AS dockets,
+ ['CON', 'DET', 'COUNTY'] AS kinds, ['CON-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0'), 'CON' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')] AS variants, 'CON-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS docket FROM orders"""
+)
 def docket_extract(t):
-    key = F.col("o_orderkey").cast("string")
-    text = F.concat(F.lit("See CON"), F.lpad(key, 7, "0"), F.lit(" and det-eqt2024-"), F.lpad(key, 3, "0"), F.lit(", also Fulton-12."))
-    return t.table("orders").select("o_orderkey", dockets.extract_dockets(text).alias("dockets"))
+    key = F.lpad(F.col("o_orderkey").cast("string"), 7, "0")
+    text = F.concat(F.lit("See CON"), key, F.lit(" and det-eqt2024-"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(", also Fulton-12."))
+    found = t.table("orders").select("o_orderkey", dockets.extract_dockets(text).alias("d"), dockets.normalize_docket(F.concat(F.lit("Docket No. con "), key)).alias("docket"))
+    return found.select("o_orderkey", F.col("d.canonical").alias("dockets"), F.col("d.kind").alias("kinds"), F.col("d")[0]["variants"].alias("variants"), "docket")
 
 
 @query()
@@ -576,9 +564,21 @@ def axis_fold(t):
     return matching.fold_axes(rows, state)
 
 
-@query()
+@query(
+    f"""WITH {MATTERS} SELECT docket_id AS report_id, CASE final_outcome WHEN 'Approved' THEN 'APPROVED' WHEN 'Denied' THEN 'DENIED' ELSE 'PENDING_APPLICATION' END AS section,
+ 'CON-2001' || lpad(CAST(docket_id % 1000 AS VARCHAR), 3, '0') AS docket, applicant, 'Fulton' AS county, 'Renovation.' AS project_description, CAST(docket_id * 1000 AS DECIMAL(18, 2)) AS cost, filed AS filing_date, filed + 5 AS decision_date FROM matters"""
+)
 def weekly_report_parse(t):
-    """Each matter as one entry of a report on its year."""
-    sections = F.element_at(F.create_map(*[F.lit(x) for x in ("Approved", "Recently Approved Projects", "Denied", "Recently Denied Applications", "Pending", "Pending Review Applications")]), F.col("final_outcome"))
-    entry = F.concat_ws("\n", sections, F.concat(F.lit("2001-"), F.lpad((F.col("docket_id") % 1000).cast("string"), 3, "0"), F.lit(" "), F.col("applicant"), F.lit(" (Fulton County)")), F.concat(F.lit("Project Description: Renovation. Cost: $"), F.col("docket_id").cast("string"), F.lit(",000 Date Filed: "), F.date_format("filed", "M/d/yyyy")))
-    return reports.report_events(t.matters.select("docket_id", entry.alias("text")).withColumnRenamed("docket_id", "report_id"), "report_id", "text")
+    """Each matter as one entry of a report."""
+    sections = F.element_at(F.create_map(*[F.lit(x) for x in ("Approved", "Recently Approved Projects", "Denied", "Recently DeniedApplications", "Pending", "Pending Review Applications")]), F.col("final_outcome"))
+    lead = F.concat(F.lit("2001-"), F.lpad((F.col("docket_id") % 1000).cast("string"), 3, "0"), F.lit(" "), F.col("applicant"), F.lit(" (Fulton County)"))
+    body = F.concat(F.lit("Project Description: Renovation. Cost: $"), F.col("docket_id").cast("string"), F.lit(",000 DateFiled: "), F.date_format("filed", "M/d/yyyy"))
+    judged = F.concat(F.lit("Determination: Approved, "), F.date_format(F.date_add("filed", 5), "MMMM d, yyyy"), F.lit(" 30thDay Deadline: none"))
+    found = reports.report_events(t.matters.select(F.col("docket_id").alias("report_id"), F.concat_ws("\n", sections, lead, body, judged).alias("text")), "report_id", "text")
+    return found.select("report_id", "section", F.col("docket_id").alias("docket"), "applicant", "county", "project_description", "cost", "filing_date", "decision_date")
+
+
+
+from docketry.plans import intake, reading  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "intake", "reading"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -42,8 +46,11 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected lines) of text intake; ``has_paragraphs`` tells a missing key from an empty list."""
+    """(records, rejected lines) of text intake; ``has_paragraphs`` tells a missing key from an empty list. A folder
+    without files raises ``ValueError``."""
     lines = parsed_lines(spark, path, TEXT_INTAKE)
+    if not lines.inputFiles():
+        raise ValueError(f"{path} holds no files")
     keyed = F.col("line").rlike(r'"paragraphs"\s*:')
     good = F.col("r.entry_id").isNotNull()
     return lines.where(good).select("r.*", keyed.alias("has_paragraphs")), lines.where(~good | F.col("r").isNull()).select("file", "line")
@@ -55,6 +62,48 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.pdf", pruned: s
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(~F.lower("path").rlike(rf"/([0-9a-z](\.\d+)*(\s|%20)+)?{pruned.replace(' ', '(%20| )')}/"))
 
 
+# Headings of an index workbook's first sheet by column.
+WORKBOOK = {"Path": "path", "Name": "name", "Type": "type", "Entry ID": "entry_id", "Page Count": "pages"}
+
+
+def sheet_rows(content: bytes) -> Iterator[dict[str, str]]:
+    """Rows of a workbook's first sheet as texts by the headings of its first row."""
+    tag = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = set(book.namelist())
+        shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        heads: dict[str, str] = {}
+        with book.open(min(n for n in names if n.startswith("xl/worksheets/sheet"))) as sheet:
+            for _, row in ElementTree.iterparse(sheet):
+                if tag(row) != "row":
+                    continue
+                cells = {}
+                for cell in row:
+                    value = next((v.text or "" for v in cell if tag(v) == "v"), text(cell))
+                    cells[cell.get("r", "").rstrip("0123456789")] = shared[int(value)] if cell.get("t") == "s" and value else value
+                row.clear()
+                if not heads:
+                    heads = cells
+                else:
+                    yield {heads[c]: v for c, v in cells.items() if c in heads}
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, type, entry_id, pages) of the index rows in XLSX files, one task a file; rows without an entry id or a
+    path are left out, and pages are null where they aren't a number."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                found = [{new: row.get(old) for old, new in WORKBOOK.items()} for row in sheet_rows(content)]
+                yield pd.DataFrame(found, columns=list(WORKBOOK.values())).astype(object)
+
+    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "path string, name string, type string, entry_id string, pages string")
+    number = lambda c: F.expr(f"try_cast(try_cast({c} AS DOUBLE) AS BIGINT)")
+    return read.select("path", "name", "type", number("entry_id").alias("entry_id"), number("pages").cast("int").alias("pages")).where("entry_id IS NOT NULL AND trim(path) != ''")
+
+
 def date_dimension(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row a day with the usual parts of a date."""
     days = spark.sql("SELECT explode(sequence(to_date(:a), to_date(:b), interval 1 day)) AS date", args={"a": first, "b": last})

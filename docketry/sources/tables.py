@@ -7,36 +7,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class VersionedTable:
-    """Versions ``v=N`` of one table in a folder; the pointer is the newest version with a finished write."""
+    """Whole versions ``v=N`` and additions ``a=N`` of one table in a folder. What is read is the last finished version
+    and the finished additions after it. A number is claimed by making a file, which one writer alone can do, and is never
+    used again; of two writers at once both results stay, and the later number holds."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
+    def _path(self, *names: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
+
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        path, fs = self._fs()
-        if not fs.exists(path):
+    def _numbers(self, kind: str, finished: bool = True) -> list[int]:
+        fs = self._fs()
+        if not fs.exists(self._path()):
             return []
-        marked = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName()[2:]) for p in marked if fs.exists(done(p, "_SUCCESS")))
+        named = [s.getPath().getName() for s in fs.listStatus(self._path()) if s.getPath().getName().startswith(f"{kind}=")]
+        return sorted(int(n[2:]) for n in named if not finished or fs.exists(self._path(n, "_SUCCESS")))
+
+    def versions(self) -> list[int]:
+        return self._numbers("v")
 
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={known[-1] if version is None else version}")
+        if version is not None:
+            return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
+        parts = [f"{self.folder}/v={known[-1]}"] if known else []
+        parts += [f"{self.folder}/a={n}" for n in self._numbers("a") if not known or n > known[-1]]
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+
+    def _put(self, df: DataFrame, kind: str) -> int:
+        number = max([-1, *self._numbers("v", False), *self._numbers("a", False), *self._numbers("c", False)]) + 1
+        while not self._fs().createNewFile(self._path(f"c={number}")):
+            number += 1
+        df.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.folder}/{kind}={number}")
+        return number
 
     def write(self, df: DataFrame) -> int:
-        """Next version; its number. A number is never used twice."""
-        known = self.versions()
-        number = known[-1] + 1 if known else 0
-        names = self.spark.createDataFrame([], self.schema).columns
-        df.select(*names).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
-        return number
+        """Next whole version; its number."""
+        return self._put(df, "v")
+
+    def append(self, df: DataFrame) -> int:
+        """Rows beside those that are there, which aren't read or written; the number of the addition."""
+        return self._put(df, "a")
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

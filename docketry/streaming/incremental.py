@@ -14,33 +14,41 @@ from docketry.sources.tables import VersionedTable
 LEDGER = "batch_id BIGINT, status STRING, rows BIGINT, message STRING"
 
 
-def load_files(spark: SparkSession, folder: str, schema: str, checkpoint: str, ledger: VersionedTable, load: Callable[[DataFrame, int], int], files_at_once: int = 100) -> StreamingQuery:
-    """Loads every new JSON file of a folder once: ``load(batch, batch_id)`` returns the rows it took. Each batch leaves
-    a ledger entry; one that is already there as succeeded is skipped, a failure is recorded and raised again, and
-    the checkpoint brings it back. Ends when no file is left."""
+PLACE = "__place"
+
+
+def load_files(spark: SparkSession, folder: str, schema: str, checkpoint: str, ledger: VersionedTable, load: Callable[[DataFrame, int], int], files_at_once: int = 100, stop: bool = True) -> StreamingQuery:
+    """Loads every new JSON file of a folder once: ``load(batch, batch_id)`` returns the rows it took; the batch has the
+    rows' files and places in them as ``PLACE``. Each batch adds a ledger entry; one that is already there as succeeded is
+    skipped. A failure is recorded and raised again, and the checkpoint brings the batch back; without ``stop`` the
+    batches after it go on. Ends when no file is left."""
+
+    def entry(*values: object) -> None:
+        ledger.append(spark.createDataFrame([values], LEDGER))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = ledger.read()
-        if not known.where((F.col("batch_id") == batch_id) & (F.col("status") == "succeeded")).isEmpty():
+        if not ledger.read().where((F.col("batch_id") == batch_id) & (F.col("status") == "succeeded")).isEmpty():
             return
         try:
-            entry = (batch_id, "succeeded", load(batch, batch_id), None)
+            entry(batch_id, "succeeded", load(batch, batch_id), None)
         except Exception as e:
-            ledger.write(known.where(F.col("batch_id") != batch_id).unionByName(spark.createDataFrame([(batch_id, "failed", 0, str(e)[:500])], LEDGER)))
-            raise
-        ledger.write(known.where(F.col("batch_id") != batch_id).unionByName(spark.createDataFrame([entry], LEDGER)))
+            entry(batch_id, "failed", 0, str(e)[:500])
+            if stop:
+                raise
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(folder)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    placed = stream.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias(PLACE))
+    return placed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_into(table: VersionedTable, keys: list[str]) -> Callable[[DataFrame, int], int]:
-    """A loader that folds a batch by key and merges it into a table's next version."""
+    """A loader that folds a batch by key and merges it into a table's next version. Of several rows of a key the later one
+    by file name and line holds."""
 
     def load(batch: DataFrame, batch_id: int) -> int:
-        numbered = batch.withColumn("__n", F.monotonically_increasing_id())
-        folded = records.fold(numbered, keys, "__n")
-        table.write(records.merge(table.read(), folded, keys))
+        place = F.struct(PLACE, F.monotonically_increasing_id()) if PLACE in batch.columns else F.monotonically_increasing_id()
+        numbered = batch.withColumn("__n", place).drop(PLACE)
+        table.write(records.merge(table.read(), records.fold(numbered, keys, "__n"), keys))
         return batch.count()
 
     return load
@@ -56,15 +64,24 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day"
     return events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def next_snapshot(snapshots: VersionedTable, log: VersionedTable, rows: DataFrame, key: str, position: str) -> int:
+def next_snapshot(snapshots: VersionedTable, log: VersionedTable, rows: DataFrame, key: str, position: str, name: str | None = None, names: VersionedTable | None = None) -> int:
     """Takes a snapshot in: the first is the baseline, a later one is compared with the last and its changes are
-    appended to the log. Returns the snapshot's version."""
+    added to the log. Returns the snapshot's version. With ``names`` (name, version) the snapshot's name is registered, and one
+    with the name of the last is not taken in again."""
+    known = snapshots.versions()
+    if names is not None and known:
+        last = names.read().where(F.col("version") == known[-1]).select("name").first()
+        if last and last["name"] == name:
+            return known[-1]
     current = records.snapshot(rows, key, position)
-    if snapshots.versions():
+    if known:
         columns = [c for c in snapshots.read().columns if c != key]
         changes = records.change_details(records.diff(snapshots.read(), current.select(key, *columns), key), columns)
-        log.write(log.read().unionByName(changes.withColumn("version", F.lit(len(snapshots.versions())).cast("bigint"))))
-    return snapshots.write(current)
+        log.append(changes.withColumn("version", F.lit(len(known)).cast("bigint")))
+    version = snapshots.write(current)
+    if names is not None:
+        names.append(names.spark.createDataFrame([(name, version)], "name string, version bigint"))
+    return version
 
 
 def changed_since(df: DataFrame, column: str, mark: object) -> tuple[DataFrame, object]:

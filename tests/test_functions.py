@@ -62,9 +62,8 @@ Replace an imaging unit
 Cost: $4.5 million Date Filed: 1/5/2026
 1
 DET-EQT2024-073 Second Clinic
-Project: New scanner
+Project: New scanner - OPPOSITION FILED
 County: DeKalb
-OPPOSITION FILED
 Recently Denied Applications
 none
 """
