@@ -276,7 +276,7 @@ def is_stub(flags: Text) -> Column:
 
 def time_ago(c: Text, now: Column) -> Column:
     """``just now``, ``5m ago``, ``3h ago`` or ``2d ago``; null is empty."""
-    minutes = F.floor((F.unix_micros(now) - F.unix_micros(col(c))) / 60_000_000)
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(col(c).cast("timestamp"))) / 60_000_000)
     said = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
     label = F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(minutes < 1440, said(minutes / 60, "h")).otherwise(said(minutes / 1440, "d"))
     return F.when(col(c).isNull(), "").otherwise(label)
@@ -316,7 +316,7 @@ def half_up(c: Column) -> Column:
 
 def applicant_in_path(path: Text, variants: Column) -> Column:
     """What follows a docket in the first part of a path that begins with it, whatever its form; blank is null."""
-    parts = F.split(F.regexp_replace(col(path), "/", r"\\\\"), r"\\\\")
+    parts = F.split(F.translate(col(path), "\\", "/"), "/")
     starts = lambda part, x: F.startswith(F.upper(part), F.upper(x))
     rest = lambda part: F.get(F.transform(F.filter(variants, lambda x: starts(part, x)), lambda x: F.trim(F.substr(part, F.length(x) + 1))), F.lit(0))
     return clean(F.get(F.transform(F.filter(parts, lambda part: F.exists(variants, lambda x: starts(part, x))), rest), F.lit(0)))
@@ -324,7 +324,7 @@ def applicant_in_path(path: Text, variants: Column) -> Column:
 
 def blob_parts(path: Text) -> Column:
     """(container, name, key) of a path in a store: the first part, the rest, and both joined as the ledger holds them."""
-    tidy = F.trim(col(path), F.lit("/"))
+    tidy = F.ltrim(col(path), F.lit("/"))
     box, name = F.substring_index(tidy, "/", 1), F.regexp_replace(tidy, "^[^/]*/?", "")
     return F.struct(box.alias("container"), name.alias("name"), F.concat(box, F.lit("/"), name).alias("key"))
 
