@@ -3,11 +3,10 @@
 A line is normalised to its words of letters and digits, A-Z in lower case, joined by a blank. Lines of equal normal
 form are one line from the start. A line's features are its distinct words and the joints between them (three characters
 on either side), of which one edit changes two or three; normal forms of at most ``SHORT`` bytes also have character
-3-grams. Lines meet under ``BANDS`` keys of two least features each, for either kind of features, and under blocks of
-their 64-bit SimHashes (no pair within ``NEAR`` bits is missed there). Those that meet and whose SimHashes differ in at
-most ``BITS`` bits are candidates, and link where the edit distance of the normal forms is at most a fifth of the longer
-one. Changed words and blocks are found up to that fifth; of lines with single characters changed all over, a part isn't
-(README). Of each group of linked lines the first occurrence (by id, nulls last, then text digest and line number) stays.
+3-grams. Lines meet under blocks of their 64-bit SimHashes (pigeonhole: no pair within ``NEAR`` bits is missed there)
+and, since few edits change more bits than that, under ``BANDS`` keys of ``TAKEN`` least features each, for either kind
+of features. Those that meet and whose SimHashes differ in at most ``BITS`` bits are candidates, and link where the edit
+distance of the normal forms is at most a fifth of the longer one. What part of such pairs is found: README. Of each group of linked lines the first occurrence (by id, nulls last, then text digest and line number) stays.
 
 As copies come in thousands, each line is first verified against one near leader it shares a key with; pairs are
 then sought between different components alone, in blocks of large keys.
@@ -33,10 +32,10 @@ from docketry.llm.common import block_tasks, components, cut, groups, kind_of, m
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
 BITS, SIMILARITY = 22, 0.8
-NEAR, BLOCKS, BANDS, SHORT = 3, 5, 12, 40
+NEAR, BLOCKS, BANDS, TAKEN, SHORT = 1, 2, 10, 3, 100
 SIG, LONG_WORD, LONG_JOINT = 12 + 4 * BANDS, 6, 10
 LENGTHS = 65  # percent; bytes of forms that are similar in characters differ by more where scripts mix
-ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63, 2 * BANDS)]
+ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63, TAKEN * BANDS)]
 BLOCK_ROWS, LINES_SENT = 1024, 2_000_000
 MARKS = np.zeros(256, bool)
 MARKS[:128] = True
@@ -124,17 +123,19 @@ def summed(line: np.ndarray, value: np.ndarray, _: np.ndarray, out: np.ndarray)
 
 
 def minima(line: np.ndarray, value: np.ndarray, telling: np.ndarray, salt: int, lines: int) -> np.ndarray:
-    """``BANDS`` keys of each line with features: each a digest of the least telling feature under two seeded orders."""
+    """``BANDS`` keys of each line with features: each a digest of the least telling features under seeded orders."""
     if len(line):
         kept = telling | (np.bincount(line, telling, lines) == 0)[line]  # some lines have short words alone
         line, value = line[kept], value[kept]
     out = np.zeros((lines, BANDS), np.uint64)
     if not len(line):
         return out
-    edges = edges_of(line)
+    edges, own = edges_of(line), value ^ (value >> np.uint64(29))
     for k in range(BANDS):
-        least = [np.minimum.reduceat((value ^ (value >> np.uint64(29))) * np.uint64(ODD[2 * k + j]), edges) for j in range(2)]
-        out[line[edges], k] = mix(least[0] ^ mix(least[1] + np.uint64(salt * BANDS + k)))
+        key = np.full(len(edges), salt * BANDS + k, np.uint64)
+        for odd in ODD[TAKEN * k : TAKEN * (k + 1)]:
+            key = mix(key + np.minimum.reduceat(own * np.uint64(odd), edges))
+        out[line[edges], k] = key
     return out
 
 
@@ -273,6 +274,10 @@ def shared_keys(bits: int):
             given = held is not None and held[4]
             if given:
                 keep[0] = False
+            two = np.flatnonzero((size[:-1] == 2) & ((np.arange(len(begin) - 1) > 0) | (held is None)))  # done with: two lines, which aren't near
+            x, y = begin[two], begin[two] + 1
+            far = (np.bitwise_count((sim[x] ^ sim[y]).view(np.uint64)) > reach(key[x], bits)) | ~alike(size_of[x], size_of[y])
+            keep[x[far]] = keep[y[far]] = False
             rows = np.flatnonzero(keep)
             apart = np.bitwise_count((sim[rows] ^ sim[lead[rows]]).view(np.uint64)).astype(np.int32)
             apart[(apart > reach(key[rows], bits)) | ~alike(size_of[rows], size_of[lead[rows]])] = 65
@@ -320,17 +325,16 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = [], []
-            for text, lines in zip(batch[0], batch[1], strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                bounds, _ = line_offsets(data, np.array([0, len(data)]))
-                for line in lines.as_py():
-                    a, b = bounds[line["line"]], bounds[line["line"] + 1]
-                    own = Words(data[a:b], np.array([0, b - a]), LOWER, MARKS)
-                    low = LOWER[data[a:b]]
-                    ids.append(line["id"])
-                    texts.append(b" ".join(low[x:y].tobytes() for x, y in zip(own.starts.tolist(), own.ends.tolist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "form"])
+            for row, data, offsets in chunks(batch[0]):
+                many = len(offsets) - 1
+                bounds, first = line_offsets(data, offsets)
+                words, low = Words(data, bounds, LOWER, MARKS), LOWER[data].tobytes()
+                lists = batch[1].slice(row, many)
+                parts = lists.flatten()
+                line = parts.field(0).to_numpy() + first[np.repeat(np.arange(many), lists.value_lengths().to_numpy())]
+                starts, ends = words.starts.tolist(), words.ends.tolist()
+                texts = [b" ".join([low[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)]) for a, b in zip(words.first[line].tolist(), words.first[line + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([parts.field(1), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "form"])
 
     return both.select("text", "lines").mapInArrow(run, "id bigint, form string").dropDuplicates(["id"])
 
@@ -371,10 +375,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose normal forms are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    forms = cut(line_texts(docs, known.join(wanted, "id").select("id", "place")))
+def verified(forms: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose normal forms (id, form) are similar enough."""
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,12 +399,13 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     keyed = known.select("id", "sig").mapInArrow(keyed_rows(block_masks(min(NEAR, bits), blocks)), "key bigint, id bigint, sim bigint, size int")
     cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys(bits), "key bigint, id bigint, sim bigint, size int, leader bigint, apart int"))
     likely = cells.where((F.col("apart") <= bits) & (F.col("id") != F.col("leader"))).groupBy("id").agg(F.min_by("leader", "apart").alias("leader"))
-    links = cut(verified(docs, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), known, similarity))
+    forms = cut(line_texts(docs, known.join(cells.select("id").distinct(), "id").select("id", "place")))
+    links = cut(verified(forms, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), similarity))
     comps = components(links)
     placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size")
     more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
-    joined = components(links.unionByName(verified(docs, more, known, similarity)))
+    joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     first = classed.groupBy("comp").agg(F.min("place").alias("stays"))
     stays = classed.join(first, "comp").select("hi", "lo", "stays")
