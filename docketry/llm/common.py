@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,32 +19,52 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a folder. Batches for Python hold at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, so a task
-    holds little however long the texts are."""
+    """One table of a folder. It also sets how large Spark makes the batches that Python gets in this session, which is
+    read when a job runs: ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at most, so a task holds little however long the
+    texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+_scopes: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables; a temporary one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """The cluster's folder for intermediate tables. Where none is set, a temporary folder serves a session on one
+    machine alone; on a cluster it would be another folder on each machine, so that raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="docketry-"))
+    return _local[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder as a table, so that no later job computes it again or sees another
-    order, and a lost executor loses none of it. ``clear`` removes the tables of an application."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4()}"
+    order, and a lost executor loses none of it. Within ``temporary_tables`` the table goes at its end."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{_scopes[-1] if _scopes else 'kept'}/{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes the tables that ``cut`` has written; results that still read them must be stored before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``cut`` writes inside; what reads them must be stored before the end."""
+    _scopes.append(str(uuid.uuid4()))
+    try:
+        yield
+    finally:
+        remove(spark, f"{shared_folder(spark)}/tables/{_scopes.pop()}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -50,9 +72,9 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast where it has few rows. It is counted first, so it should be cut."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def mark(text: Column) -> Column:
@@ -87,38 +109,6 @@ def components(links: DataFrame) -> DataFrame:
     return cut(found)
 
 
-def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id, ...) sorted by key and id: those of keys with several ids, each with the key's least id as
-    ``leader``. Streams: however many rows a key has, one is held back."""
-    held, last_key, last_id, leader = None, None, None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = [*batch.schema.names, "leader"]
-        key, own = batch[0].to_numpy(), batch[1].to_numpy()
-        first, again = np.ones(len(key), bool), np.zeros(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        again[1:] = ~first[1:] & (own[1:] == own[:-1])
-        first[0], again[0] = key[0] != last_key, key[0] == last_key and own[0] == last_id
-        starts = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-        lead = np.where(starts >= 0, own[np.maximum(starts, 0)], leader if leader is not None else 0)
-        keep = ~first & ~again
-        others = np.add.reduceat(keep, np.flatnonzero(first)) if first.any() else np.zeros(0, int)
-        keep[np.flatnonzero(first)[others > 0]] = True
-        open_run = bool((keep & (starts < 0)).any())
-        if held is not None and open_run:
-            yield held
-        if held is not None and (open_run or first.any()):
-            held = None
-        whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64())], names=names)
-        if keep.any():
-            yield whole.filter(pa.array(keep))
-        if first.any():
-            k = int(np.flatnonzero(first)[-1])
-            held = None if keep[k] else whole.slice(k, 1)
-        last_key, last_id, leader = key[-1], own[-1], lead[-1]
-
-
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.Array]]:
     """Columns of each run of rows that are equal in the first ``n_keys`` columns (integers, sorted)."""
     rest = None
@@ -141,7 +131,8 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.A
 def block_tasks(placed: DataFrame, block_rows: int, *columns: str) -> DataFrame:
     """Of cells (key, id, comp, ...) with several components: rows (key, i, j, block, id, comp, *columns). A cell is
     cut into blocks of about ``block_rows`` rows, and each pair of blocks i <= j is a task of its own."""
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("key", "rows")
+    counts = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"))
+    mixed = cut(counts.where("low != high").select("key", "rows"))  # a table of its own, so that Spark can split a large key
     blocks = F.ceil(F.col("rows") / block_rows).cast("int")
     at = placed.join(mixed, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     other = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import block_tasks, components, cut, kind_of, leaders, mark, small
+from docketry.llm.common import block_tasks, components, cut, kind_of, mark, small
 from docketry.llm.word_hash import LOWER, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -373,24 +373,23 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     quarters = np.rint(4 * np.log2(np.maximum(counts / max(counts.mean(), 1), 1)))
     common = docs.sparkSession.sparkContext.broadcast(quarters.astype(np.int64))
     feats = cut(features(docs, common, n, percent))
-    full = feats.where("n > 0")
-    chosen = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(chosen.withColumn("id", F.monotonically_increasing_id()))
-    named = sets.select("id", F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("doc_id").alias("d"))
-    reps = full.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "doc_id", "mark", "n", "keys", "heads", "vec")
-
-    keyed = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
-    cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(leaders, "key bigint, id bigint, n int, pos int, leader bigint"))
-    wanted = cut(reps.join(cells.select("id").distinct(), "id").select("id", "doc_id", "mark", "heads", "vec").dropDuplicates(["id"]))
-
-    hashed = F.xxhash64("id", F.lit(0))
-    first = cells.groupBy("key").agg(F.min_by("id", hashed).alias("leader"))
-    shared = cells.drop("leader").join(first, "key").where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    likely = shared.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
+    full = feats.where("n > 0").withColumn("row", F.xxhash64("doc_id", "mark"))
+    sets = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")).withColumn("id", F.monotonically_increasing_id()))
+    named = sets.select("id", F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("row").alias("r"))
+    met = full.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("row") == F.col("r")))
+    reps = cut(met.dropDuplicates(["hi", "lo", "row"]).select("id", "doc_id", "mark", F.col("n").cast("int").alias("n"), "keys", "heads", "vec"))
+
+    shared = cut(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    cells = cut(reps.select("id", "n", F.posexplode("keys").alias("pos", "key")).join(shared, "key").select("key", "id", "n", "pos"))
+    wanted = cut(reps.join(cells.select("id").distinct(), "id").select("id", "doc_id", "mark", "heads", "vec"))
+
+    first = cut(cells.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("leader")))
+    near = cells.join(first, "key").where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    likely = near.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
     links = cut(verified(docs, cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b"))), wanted, common, n, percent))
     comps = components(links)
 
-    few = cut(first_of_equal(cells.drop("leader")))
+    few = cut(first_of_equal(cells))
     for dense in (DENSE, None):
         placed = few.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         points = wanted.select("id", "heads", "vec")
