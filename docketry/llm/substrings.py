@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     crowded = met.where(F.col("many") > group).select("core").distinct()
     calm, hot = texts.join(crowded, "core", "left_anti"), texts.join(crowded, "core", "left_semi")
     found = in_subtrees(calm, window).unionByName(grouped(hot, group, window, prefix, part_sizes(window, prefix)[1:]))
-    verdicts = found.groupBy(F.col("first").alias("core"), "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
+    verdicts = cut(found.groupBy(F.col("first").alias("core"), "stretch").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets")))  # a table, so that Spark can split a stretch of many copies
     judged = met.join(verdicts, ["core", "stretch"], "left").where("number > low OR offsets IS NOT NULL")
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("count") + (window - 1)).alias("stop")))
     single = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + window).alias("stop")))
