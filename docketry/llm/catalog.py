@@ -1,7 +1,5 @@
 """The numbered queries: each applies one operator to its whole table."""
 
-import public_tokenizers
-
 from docketry.llm import bpe, decontaminate, licenses, lines, media, ngram_join, secrets, shards, substrings, toxicity
 from docketry.llm.common import table
 
@@ -43,6 +41,8 @@ def op9_ngram_join(spark, sf_dir):
 
 
 def op10_forced_boundary_bpe(spark, sf_dir):
+    import public_tokenizers  # needed here alone
+
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

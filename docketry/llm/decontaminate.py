@@ -2,8 +2,8 @@
 
 Texts are lower-cased over A-Z only and cut into words; a window is ``WINDOW`` consecutive words, and an item
 with fewer words (but not none) is one window. Window hashes of the benchmark go out as a broadcast hash set when
-their count is within ``broadcast_windows`` (counted first; beyond it Spark joins them by shuffle). Each hit is
-verified word by word before it counts.
+their words take up to ``broadcast_bytes`` (summed first; beyond it Spark joins them by shuffle). Each hit is
+verified word by word before it counts. Contaminated documents go, or hit words alone (``without_hits``).
 
 Edge cases: null and empty texts have no words and no hits; null ids of documents keep their rows; null item texts
 are no items; items that share a window all count; repeated rows each get a row; other columns are ignored.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GIVEN_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
 
 
 def words(text: Column) -> Column:
@@ -43,12 +44,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("length", cases.alias("h"), "item_id", "tokens").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = 500_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (positions of hit words)."""
     grams = benchmark_windows(benchmark, window)
-    stats = grams.agg(F.collect_set("length").alias("lengths"), F.count("*").alias("n")).first()
+    stats = grams.agg(F.collect_set("length").alias("lengths"), F.coalesce(F.sum(F.length(F.array_join("tokens", " ")) + 64), F.lit(0)).alias("size")).first()
     keys = grams.groupBy("length", "h").agg(F.collect_set(F.struct("item_id", "tokens")).alias("items"))
-    if stats["n"] <= broadcast_windows:
+    if stats["size"] <= broadcast_bytes:
         keys = F.broadcast(keys)
     mark = F.md5(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select("doc_id", "text", mark.alias("mark"))
@@ -104,6 +105,19 @@ def contamination_marks(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     return bad.select(F.col("doc_id.id").alias("__bad_doc"), F.col("doc_id.mark").alias("__bad_mark")).distinct()
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the hit words cut out of every text; what stood between words stays."""
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark")).alias("doc_id"), "text")
+    found = contamination(keyed, benchmark, window).where("n_hit > 0").select(F.col("doc_id.id").alias("__bad_doc"), F.col("doc_id.mark").alias("__bad_mark"), F.col("hits").alias("__hits")).dropDuplicates(["__bad_doc", "__bad_mark"])
+    named = docs.withColumn("__mark", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    both = named.join(found, F.col("doc_id").eqNullSafe(F.col("__bad_doc")) & (F.col("__mark") == F.col("__bad_mark")), "left")
+    pieces = F.regexp_extract_all("text", F.lit(GIVEN_SEPARATORS.replace("[", "([^") + "|" + GIVEN_SEPARATORS + ")"), 1)
+    begin = F.when(F.regexp_extract("text", f"^{GIVEN_SEPARATORS}", 0) == "", 0).otherwise(1)
+    is_hit = lambda k: ((k - begin) % 2 == 0) & (k >= begin) & F.array_contains("__hits", F.floor((k - begin) / 2).cast("int"))
+    kept = F.array_join(F.filter(pieces, lambda _, k: ~is_hit(k)), "")
+    return both.withColumn("text", F.when(F.col("__hits").isNotNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark),

@@ -33,6 +33,7 @@ SIGNATURES = [
     ("image/gif", b"GIF89a", 0),
     ("image/jpeg", b"\xff\xd8\xff", 0),
     ("image/png", b"\x89PNG\r\n\x1a\n", 0),
+    ("image/webp", b"WEBP", 8),
     ("video/mp4", b"ftyp", 4),
 ]
 
@@ -93,6 +94,13 @@ def _riff(b: bytes, at: int) -> int:
     return end - at if pos == end else 0
 
 
+def _webp(b: bytes, at: int) -> int:
+    if b[at : at + 4] != b"RIFF" or at + 16 > len(b) or b[at + 12 : at + 15] != b"VP8":
+        return 0
+    size = struct.unpack_from("<I", b, at + 4)[0] + 8
+    return size if size <= len(b) - at else 0
+
+
 def _bmp(b: bytes, at: int) -> int:
     if at + 26 > len(b):
         return 0
@@ -101,7 +109,9 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
+    """Up to the last end mark before the next file, so that later revisions belong to it."""
+    after = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, after if after > 0 else len(b))
     return end + 5 - at if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else 0
 
 
@@ -114,20 +124,32 @@ def _zip(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
-    reader = zlib.decompressobj(31)
+    """Inflated piece by piece, and nothing of it is kept."""
+    reader, pos, view = zlib.decompressobj(31), at, memoryview(b)
     try:
-        reader.decompress(b[at:])
+        while not reader.eof and (pos < len(b) or reader.unconsumed_tail):
+            piece = reader.unconsumed_tail or view[pos : pos + 65536]
+            pos += 0 if reader.unconsumed_tail else len(piece)
+            reader.decompress(piece, 1 << 20)
     except zlib.error:
         return 0
-    return len(b) - at - len(reader.unused_data) if reader.eof else 0
+    return pos - at - len(reader.unused_data) if reader.eof else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    if at + 27 > len(b) or b[at + 4] or b[at + 5] > 7:
+    """Pages of the first one's stream, up to the one that ends it; other streams' pages may stand between."""
+    if at + 27 > len(b) or not b[at + 5] & 2:
         return 0
-    table = at + 27 + b[at + 26]
-    end = table + sum(b[at + 27 : table])
-    return end - at if end <= len(b) else 0
+    serial, pos = b[at + 14 : at + 18], at
+    while pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS" and not b[pos + 4] and b[pos + 5] <= 7:
+        table = pos + 27 + b[pos + 26]
+        end = table + sum(b[pos + 27 : table])
+        if end > len(b):
+            return 0
+        if b[pos + 14 : pos + 18] == serial and b[pos + 5] & 4:
+            return end - at
+        pos = end
+    return 0
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -136,9 +158,14 @@ def _flac(b: bytes, at: int) -> int:
 
 
 def _mp4(b: bytes, at: int) -> int:
+    """Boxes one after another, with lengths of 32 or 64 bits; one of length 0 reaches to the end."""
     pos = at
     while pos + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, pos)
+        if size == 1 and pos + 16 <= len(b):
+            size = struct.unpack_from(">Q", b, pos + 8)[0]
+        if size == 0 and kind.isalnum():
+            return len(b) - at
         if size < 8 or pos + size > len(b) or not kind.isalnum():
             break
         pos += size
@@ -156,6 +183,7 @@ VALIDATORS = {
     "image/gif": _gif,
     "image/jpeg": _jpeg,
     "image/png": _png,
+    "image/webp": _webp,
     "video/mp4": _mp4,
 }
 

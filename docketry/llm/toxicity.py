@@ -3,10 +3,11 @@
 A word counts in itself and through its first letters (toxic stems take many endings), so n-grams and skip-grams are
 over both forms. Features are hashed to ``2**bits`` coordinates, each with its own learning rate; the L1 term leaves
 few weights, which are broadcast. Training takes at most ``max_rows`` labelled rows (a bounded sample by hash of the
-id), whose sparse rows are computed by many tasks and learnt in one.
+id, each with one text of that id), whose sparse rows are computed by many tasks and learnt in one.
 
 Edge cases: null and empty texts score the bias; labels that are null, and label rows without a document, teach
-nothing; several labels of one id all count; without labels every score is 0; other columns are ignored.
+nothing; of several labels of one id toxic counts, of several texts the one of least digest; without labels every score is
+next to 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import kind_of, mark
 from docketry.llm.word_hash import BASE, RUN, Words, chunks, mix, runs
 
 BITS, MAX_ROWS, EPOCHS = 20, 10_000, 5
@@ -90,8 +92,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias): the non-zero ones, at most one for each coordinate."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)  # a heap of max_rows on each task
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    judged = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # a heap of max_rows on each task
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = met.groupBy("doc_id").agg(F.min_by("text", mark(F.col("text"))).alias("text"), F.max("toxic").alias("toxic"))  # one text for each id
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         kept = np.flatnonzero(w)
         return pd.DataFrame({"at": kept, "w": w[kept]})
 
-    sparse = rows.mapInArrow(vectors, "doc_id bigint, toxic int, row array<int>")
+    sparse = rows.mapInArrow(vectors, f"doc_id {kind_of(docs, 'doc_id')}, toxic int, row array<int>")
     found = sparse.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "at bigint, w double").toPandas()
     at, w = found["at"].to_numpy(np.int64), found["w"].to_numpy(np.float64)
     bias = w[at == 1 << bits]

@@ -81,6 +81,12 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.data, self.offsets = data, offsets
 
+    def part(self, start: int, stop: int) -> Words:
+        """The words start:stop as those of one document."""
+        out = Words.__new__(Words)
+        out.hash, out.first = self.hash[start:stop], np.array([0, stop - start])
+        return out
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 

@@ -2,6 +2,7 @@
 rows and columns whose names clash."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -227,12 +228,48 @@ def test_shards_are_even_and_gapless(docs, pairs, empty):
     assert shards.hilbert_shards(empty).isEmpty()
 
 
+def test_shards_follow_the_curve_and_prune(spark, docs, pairs, tmp_path):
+    found = sorted(shards.hilbert_shards(docs).collect(), key=lambda r: (r.shard, r.slot))
+    assert all(a.hilbert <= b.hilbert for a, b in zip(found, found[1:], strict=False))
+    random.seed(31)
+    many = spark.createDataFrame([(k, "x" * random.choice([1, 40, 900]), f"l{random.randrange(4)}", f"s{random.randrange(6)}", 3) for k in range(4800)], "doc_id long, text string, lang string, source string, shard int")
+    shards.write_shards(many.unionByName(many.where("doc_id < 5")), f"{tmp_path}/shards")
+    written = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(written.columns) == sorted(many.columns) and sorted(r[0] for r in written.select("doc_id").collect()) == sorted([*range(4800), *range(5)])
+    for column in ("lang", "source"):  # a value is in few shards, where rows by id have it in all
+        met = written.groupBy(column).agg(F.countDistinct("shard").alias("n")).agg(F.avg("n")).first()[0]
+        assert met <= 14 and written.groupBy(column, (F.col("doc_id") % 24).alias("s")).count().count() / written.select(column).distinct().count() == 24
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     order = cells[np.argsort(shards.hilbert_index(cells, 3))]
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_ftrl_follows_its_formula():
+    """Against one update at a time over plain dictionaries."""
+    random.seed(51)
+    given = [(np.array(sorted(random.sample(range(30), random.randrange(1, 6)))), random.randrange(2)) for _ in range(400)]
+    model, z, n = toxicity.FTRL(5), Counter(), Counter()
+    for row, label in given:
+        model.learn(row, label)
+        at = [*row.tolist(), 32]
+        w = {i: 0.0 if abs(z[i]) <= model.l1 else -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + n[i] ** 0.5) / model.alpha) for i in at}
+        slope = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at:
+            z[i] += slope - ((n[i] + slope**2) ** 0.5 - n[i] ** 0.5) / model.alpha * w[i]
+            n[i] += slope**2
+    assert np.allclose(model.z, [z[i] for i in range(33)]) and np.allclose(model.n, [n[i] for i in range(33)])
+
+
+def test_toxicity_takes_one_text_of_each_id(spark):
+    docs = table(spark, [(1, "aa bb")] * 50 + [(1, "cc dd"), (2, "ee ff"), (3, "x" * 100_000)])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == 53 and len({r.score for r in found if r.doc_id == 1}) <= 2
+
+
 def test_toxicity_learns_words(spark, empty):
     random.seed(4)
     texts = [" ".join(random.choices(["tree", "river", "stone", "cloud", "leaf"], k=30) + (["vileword"] if k % 3 == 0 else [])) for k in range(600)]
@@ -249,7 +286,22 @@ def test_toxicity_learns_words(spark, empty):
     assert toxicity.toxicity(empty, labels).isEmpty()
 
 
-@pytest.mark.parametrize("group", [200, 1])
+def test_suffix_trees_have_common_lengths():
+    random.seed(41)
+    for _ in range(30):
+        parts = [[random.randrange(2 + random.randrange(3)) for _ in range(random.randrange(1, 40))] for _ in range(4)]
+        values = np.array([v for p in parts for v in p])
+        ends = np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
+        order, common = substrings.suffix_tree(values, ends, 10)
+        suffix = lambda i: values[i : ends[i]].tolist()[:31]  # noqa: B023, E731
+        for a, b, n in zip(order[:-1].tolist(), order[1:].tolist(), common[1:].tolist(), strict=True):
+            x, y = suffix(a), suffix(b)
+            assert n == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        prefixes = [tuple(suffix(i)[:10]) for i in order.tolist() if len(suffix(i)) >= 10]
+        assert sum(p != q for p, q in zip(prefixes[1:], prefixes, strict=False)) == max(0, len(set(prefixes)) - 1)  # equal ones stand together
+
+
+@pytest.mark.parametrize("group", [500, 2, 0])
 def test_substrings_leave_first_documents(docs, pairs, empty, group):
     texts = {p: WORD.findall(p[1] or "") for p in pairs}
     number = lambda d: substrings.LAST if d is None else d
@@ -287,6 +339,43 @@ def test_media_is_stored_and_read_back(docs, pairs, empty):
     assert media.payload_features(empty).isEmpty()
 
 
+def test_validators_tell_whole_files(spark):
+    """Files of each format, alone and within other bytes, whole and cut off."""
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0\xff\xda\0\x08\1\1\0\0\x3f\0abc\xff\xd9"
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\nmore\nstartxref\n20\n%%EOF"
+    page = lambda flags, n, body: b"OggS\0" + bytes([flags]) + bytes(8) + b"SERI" + struct.pack("<I", n) + bytes(4) + bytes([1, len(body)]) + body
+    ogg = page(2, 0, b"head") + page(0, 1, b"abc") + page(4, 2, b"end")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hello" * 10)
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    mp4 = box(b"ftyp", b"isom\0\0\0\0") + struct.pack(">I4sQ", 1, b"mdat", 20) + b"data"
+    webp = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8 " + struct.pack("<I", 4) + b"abcd"
+    gif = b"GIF89a\1\0\1\0\x80\0\0" + bytes(6) + b"\x2c\0\0\0\0\1\0\1\0\0\2\2\x44\1\0\x3b"
+    bmp = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    files = {"image/png": png, "image/jpeg": jpeg, "application/pdf": pdf, "application/ogg": ogg, "application/zip": out.getvalue(), "video/mp4": mp4, "image/webp": webp, "image/gif": gif, "image/bmp": bmp, "application/gzip": gzip.compress(b"x" * 3_000_000), "audio/wav": media.to_wave(b"12345678")}
+    machine = media.automaton()
+    for kind, content in files.items():
+        assert (0, len(content), kind) in media.find_media(content, machine), kind
+        inside = media.find_media(b"text before " + content + b" and after", machine)
+        if kind != "application/pdf":
+            assert (12, len(content), kind) in inside, kind
+        if kind not in ("video/mp4", "application/pdf"):  # what is left of these is a shorter file
+            assert not any(t == kind and a == 0 for a, _, t in media.find_media(content[:-3], machine)), kind
+    given = [(1, png, "image/jpeg"), (2, b"some words", "text/plain"), (3, b"note " + png + b" - " + ogg, "text/plain"), (4, None, None), (5, b"", "image/png"), (6, webp, "image/webp")]
+    found = {r.doc_id: r for r in media.sniff(spark.createDataFrame(given, "doc_id long, body binary, said string"), "doc_id", "body", "said").collect()}
+    assert (found[1].type, found[1].corrected) == ("image/png", True) and (found[6].type, found[6].corrected) == ("image/webp", False)
+    assert [(m.offset, m.length, m.type) for m in found[3].media] == [(5, len(png), "image/png"), (8 + len(png), len(ogg), "application/ogg")]
+    assert found[2].type == found[4].type == found[5].type == media.UNKNOWN and not found[4].corrected
+
+
 def test_media_inside_other_bytes():
     wave = media.to_wave(b"12345678")
     found = media.find_media(b"..RIFFxx BM" + wave + b"tail", media.automaton())
@@ -315,6 +404,16 @@ def test_contamination_by_windows(spark, docs, pairs, empty):
         expected[d, len(own), len(hit), len(named), sha(",".join(sorted(map(str, named)))), bool(hit) and 20 * len(hit) >= len(own)] += 1
     out = decontaminate.contamination(docs, benchmark)
     assert rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
+    shuffled = decontaminate.contamination(docs, benchmark, broadcast_bytes=0)
+    assert rows(shuffled, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
+    cleaned = {(r.doc_id, r.text) for r in decontaminate.without_hits(docs, benchmark).collect()}
+    for d, t in pairs:
+        spans, at = [m.span() for m in word.finditer((t or "").translate(LOW))], set()
+        own = [t[a:b].translate(LOW) for a, b in spans]
+        for n in {len(g) for g in grams}:
+            at |= {w for k in range(len(own) - n + 1) if tuple(own[k : k + n]) in grams for w in range(k, k + n)}
+        gone = {c for w in at for c in range(*spans[w])}
+        assert (d, t and "".join(c for k, c in enumerate(t) if k not in gone)) in cleaned
     assert decontaminate.decontaminate(docs, benchmark).count() == sum(n for k, n in expected.items() if not k[-1])
     assert decontaminate.contamination(empty, benchmark).isEmpty()
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
@@ -375,9 +474,11 @@ def test_cells_lose_no_pair():
     assert len(near) > 60 and near <= found["leaf"] and near <= found["tree"]
 
 
-@pytest.mark.parametrize("dense", [0, 4])
-def test_dense_families_are_joined(spark, monkeypatch, dense):
-    """Families of near copies around the threshold, in cells of several blocks, whichever cells count as dense."""
+@pytest.mark.parametrize(("dense", "sent"), [(0, 0), (4, 1_000_000)])
+def test_dense_families_are_joined(spark, monkeypatch, dense, sent):
+    """Families of near copies around the threshold, in cells of several blocks, whichever cells count as dense, with
+    the candidates' places broadcast or not."""
+    monkeypatch.setattr(common, "SMALL_ROWS", sent)
     monkeypatch.setattr(ngram_join, "DENSE", dense)
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
     random.seed(16)
@@ -461,6 +562,34 @@ def test_near_lines_are_found_by_edit_similarity(spark):
     assert len(near) > 500 and len(near - removed) <= len(near) // 100 and removed <= near
 
 
+def test_lines_against_all_pairs_of_a_corpus(spark):
+    """Recall over lines of the smallest tables, judged by edit similarity of all pairs alone."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").collect()]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    forms = list(dict.fromkeys(" ".join(word.findall(line.translate(LOW))) for t in texts if t for line in t.split("\n")))
+    forms = [f for f in forms if f][:2500]
+    letters = np.array([np.bincount([ord(c) % 64 for c in f], minlength=64) for f in forms], np.int32)
+    long = letters.sum(axis=1)
+    near, any_near = set(), set()
+    for b in range(1, len(forms)):
+        most = (0.2 * np.maximum(long[:b], long[b]) + 1e-9).astype(int)
+        apart = np.abs(letters[:b] - letters[b]).sum(axis=1)
+        for a in np.flatnonzero(((apart + np.abs(long[:b] - long[b])) // 2 <= most)).tolist():
+            if lines.edit_distance(forms[a], forms[b], int(most[a])) <= most[a]:
+                near.add(b)
+                any_near |= {a, b}
+    removed = {r.doc_id for r in lines.line_digests(table(spark, list(enumerate(forms)))).collect() if r.n_removed}
+    assert removed <= any_near
+    assert len(near & removed) >= 0.9 * len(near), (len(near), len(near & removed))
+
+
+@pytest.mark.parametrize("sent", [0, 10**9])
+def test_lines_by_broadcast_and_by_shuffle(spark, docs, monkeypatch, sent):
+    expected = rows(lines.line_digests(docs), "doc_id", "n_removed", "kept_sha256")
+    monkeypatch.setattr(lines, "LINES_SENT", sent)
+    assert rows(lines.line_digests(docs), "doc_id", "n_removed", "kept_sha256") == expected
+
+
 def test_wrapped_licenses_are_found(spark, pairs):
     notices = {
         "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use.',
@@ -479,6 +608,30 @@ def test_wrapped_licenses_are_found(spark, pairs):
         assert (r.families, r.spans) == expected.get(r.doc_id, ("", "")), r
 
 
+def test_license_families_are_told_apart():
+    """Names that hold other names, versions, denials and mentions; trained without any corpus."""
+    random.seed(21)
+    prose = [" ".join(random.choices("the town has many old houses and a river that people like to visit in summer with friends".split(), k=12)) for _ in range(600)]
+    model = licenses.Classifier(*licenses.training_rows(prose))
+    cases = {
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl",
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "This text is published under the MIT License by its authors.": "mit",
+        "It is not licensed under the MIT License.": None,
+        "We never released it under the GNU General Public License.": None,
+        "the old town has many houses": None,
+    }
+    for text, family in cases.items():
+        words = licenses.packed([text])
+        _, p = model.probabilities(words)
+        best = licenses.FAMILIES[p[0].argmax()] if len(p) and p[0].max() >= licenses.LEAST else "unknown"
+        assert (best if best in licenses.confirmed(words.hash) else None) == family, (text, best, licenses.confirmed(words.hash))
+
+
 def test_pipeline_joins_at_five_words_and_four_fifths(spark):
     import corpus_pipeline
 
