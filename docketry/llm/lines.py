@@ -32,6 +32,7 @@ from docketry.llm.common import block_tasks, components, cut, groups, kind_of, m
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
 BITS, SIMILARITY = 22, 0.8
+FEW, FEWER_BITS = 24, 4  # lines of more bytes have more features, so their SimHashes vary less: that many bits fewer
 NEAR, BLOCKS, BANDS, TAKEN, SHORT = 1, 2, 10, 3, 100
 SIG, LONG_WORD, LONG_JOINT = 12 + 4 * BANDS, 6, 10
 LENGTHS = 65  # percent; bytes of forms that are similar in characters differ by more where scripts mix
@@ -212,9 +213,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b).astype(np.int64) >= LENGTHS * np.maximum(a, b)
 
 
-def reach(key: np.ndarray, bits: int) -> np.ndarray:
-    """Bits in which SimHashes may differ: ``NEAR`` where blocks of them are the key, which agree in lines of no likeness too."""
-    return np.where(key & 1, min(NEAR, bits), bits)
+def reach(key: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """Bits in which SimHashes may differ: ``NEAR`` where blocks of them are the key, which agree in lines of no likeness
+    too; else ``bits``, and fewer for lines of more than ``FEW`` bytes."""
+    return np.where(key & 1, min(NEAR, bits), np.where(size <= FEW, bits, max(bits - FEWER_BITS, 0)))
 
 
 def simhashes(words: Words) -> np.ndarray:
@@ -276,11 +278,11 @@ def shared_keys(bits: int):
                 keep[0] = False
             two = np.flatnonzero((size[:-1] == 2) & ((np.arange(len(begin) - 1) > 0) | (held is None)))  # done with: two lines, which aren't near
             x, y = begin[two], begin[two] + 1
-            far = (np.bitwise_count((sim[x] ^ sim[y]).view(np.uint64)) > reach(key[x], bits)) | ~alike(size_of[x], size_of[y])
+            far = (np.bitwise_count((sim[x] ^ sim[y]).view(np.uint64)) > reach(key[x], size_of[x], bits)) | ~alike(size_of[x], size_of[y])
             keep[x[far]] = keep[y[far]] = False
             rows = np.flatnonzero(keep)
             apart = np.bitwise_count((sim[rows] ^ sim[lead[rows]]).view(np.uint64)).astype(np.int32)
-            apart[(apart > reach(key[rows], bits)) | ~alike(size_of[rows], size_of[lead[rows]])] = 65
+            apart[(apart > reach(key[rows], size_of[rows], bits)) | ~alike(size_of[rows], size_of[lead[rows]])] = 65
             yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(own[rows]), pa.array(sim[rows]), pa.array(size_of[rows]), pa.array(own[lead[rows]]), pa.array(apart)], names=names)
             k = begin[-1]
             held = (key[k], own[k], sim[k], size_of[k], bool(size[-1] > 1) or (given and k == 0))
@@ -294,6 +296,7 @@ def near_pairs(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
 
         def made() -> pa.RecordBatch:
             a, b = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(2))
@@ -304,13 +307,15 @@ def near_pairs(bits: int):
             block, own, comp, sim, size = (c.to_numpy() for c in columns[3:8])
             i, j = columns[1][0].as_py(), columns[2][0].as_py()
             left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(own)),) * 2
-            near = (np.bitwise_count((sim[left][:, None] ^ sim[right][None, :]).view(np.uint64)) <= reach(columns[0][0].as_py(), bits)) & (comp[left][:, None] != comp[right][None, :]) & alike(size[left][:, None], size[right][None, :])
+            near = (np.bitwise_count((sim[left][:, None] ^ sim[right][None, :]).view(np.uint64)) <= reach(np.int64(columns[0][0].as_py()), size[left][:, None], bits)) & (comp[left][:, None] != comp[right][None, :]) & alike(size[left][:, None], size[right][None, :])
             x, y = np.nonzero(near)
             if len(x):
                 held.append((own[left[x]], own[right[y]]))
-            if len(held) > 4096:
+                many += len(x)
+            if many > 500_000:
                 yield made()
                 held.clear()
+                many = 0
         yield made()
 
     return run
@@ -349,8 +354,8 @@ def common_length(a: str, b: str) -> int:
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or some number over ``most``. All cells of a column are bits of one number, so long lines take
-    one pass."""
+    """Edit distance of two texts outside Spark, or some number over ``most``. All cells of a column are bits of one
+    number, so long texts take one pass."""
     k = common_length(a, b)
     a, b = a[k:], b[k:]
     k = common_length(a[::-1], b[::-1])
@@ -378,16 +383,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
 def verified(forms: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose normal forms (id, form) are similar enough."""
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    most = f"cast(floor((1 - {similarity}D) * greatest(length(x), length(y)) + 1e-9D) AS int)"
+    return both.where(f"abs(length(x) - length(y)) <= {most} AND levenshtein(x, y, {most}) >= 0").select("a", "b")
 
 
 def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
