@@ -310,8 +310,8 @@ ORACLE = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
 windows AS (SELECT r, doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM words, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS k)),
 first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
-gone AS (SELECT r, list(k) AS at FROM windows JOIN first USING (h) WHERE coalesce(least < doc_id, least IS NOT NULL) GROUP BY r),
-covered AS (SELECT DISTINCT r, k + o AS place FROM (SELECT r, unnest(at) AS k FROM gone), (SELECT unnest(generate_series(0, 49)) AS o)),
+gone AS (SELECT r, list(k) AS spots FROM windows JOIN first USING (h) WHERE coalesce(least < doc_id, least IS NOT NULL) GROUP BY r),
+covered AS (SELECT DISTINCT r, k + o AS place FROM (SELECT r, unnest(spots) AS k FROM gone), (SELECT unnest(generate_series(0, 49)) AS o)),
 removed AS (SELECT r, list(place) AS places FROM covered GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(places, []), k)), ' ')) AS kept_sha256
