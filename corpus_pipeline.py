@@ -21,12 +21,17 @@ from docketry.llm import bpe, decontaminate, lines, ngram_join, toxicity
 from docketry.llm.common import remove, shared_folder, table, temporary_tables
 
 
+# Of lines that go for good, edit similarity is 0.9 here, and SimHashes are sought within 18 bits (14 in lines of over 24
+# bytes), which such lines keep to. At 0.8 lines that merely hold one passage meet in pairs, and their number grows with its square.
+BITS, SIMILARITY = 18, 0.9
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.deduplicated(docs, drop_emptied=True)
+    kept = lines.deduplicated(docs, drop_emptied=True, bits=BITS, similarity=SIMILARITY)
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else kept
 
 
