@@ -1,6 +1,6 @@
 """The numbered queries: each applies one operator to its whole table."""
 
-from docketry.llm import bpe, decontaminate, licenses, lines, media, ngram_join, secrets, shards, substrings, toxicity
+from docketry.llm import bpe, decontaminate, infill, licenses, lines, media, ngram_join, quality, secrets, shards, substrings, toxicity, whitening
 from docketry.llm.common import table
 
 
@@ -46,5 +46,38 @@ def op10_forced_boundary_bpe(spark, sf_dir):
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grammar_secrets, op2_fuzzy_lines, op3_hilbert_shards, op4_toxicity, op5_substring_dedup, op6_license_scan, op7_signature_sniffing, op8_decontamination, op9_ngram_join, op10_forced_boundary_bpe)}
-ORACLES = {"op5_substring_dedup": substrings.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.output_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_repeats")
+
+
+OPERATORS = [
+    op1_grammar_secrets,
+    op2_fuzzy_lines,
+    op3_hilbert_shards,
+    op4_toxicity,
+    op5_substring_dedup,
+    op6_license_scan,
+    op7_signature_sniffing,
+    op8_decontamination,
+    op9_ngram_join,
+    op10_forced_boundary_bpe,
+    op11_embedding_whitening,
+    op12_fill_in_middle,
+    op13_quality_rules,
+]
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLES = {
+    "op5_substring_dedup": substrings.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
+    "op13_quality_rules": quality.ORACLE,
+}
