@@ -178,13 +178,14 @@ def merge_texts(held: DataFrame, coming: DataFrame) -> DataFrame:
 
 def set_axes(held: DataFrame, rows: DataFrame, position: str = "row_number") -> DataFrame:
     """Next version of (entry_id, axis1, axis2, codes): of each entry the last row's axes overwrite, its codes of all
-    rows join those that are there, in order."""
-    last = rows.groupBy("entry_id").agg(F.max_by("axis1", position).alias("n1"), F.max_by("axis2", position).alias("n2"), F.array_distinct(F.flatten(F.collect_list("codes"))).alias("more"))
-    both = held.join(last, "entry_id", "full_outer")
+    rows join those that are there, in order. Rows at one position count in order of their axes, so the last is always the same."""
+    last = rows.groupBy("entry_id").agg(F.max(F.struct(position, "axis1", "axis2")).alias("last"))
+    more = rows.select("entry_id", F.explode("codes").alias("code")).distinct().groupBy("entry_id").agg(F.collect_list("code").alias("more"))
+    both = held.join(last, "entry_id", "full_outer").join(more, "entry_id", "left")
     none = F.array().cast("array<string>")
-    there = F.col("more").isNotNull()
-    pick = lambda new, old: F.when(there, F.col(new)).otherwise(F.col(old))
-    return both.select("entry_id", pick("n1", "axis1").alias("axis1"), pick("n2", "axis2").alias("axis2"), F.array_sort(F.array_union(F.coalesce("codes", none), F.coalesce("more", none))).alias("codes"))
+    there = F.col("last").isNotNull()
+    pick = lambda c: F.when(there, F.col(f"last.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("entry_id", pick("axis1"), pick("axis2"), F.array_sort(F.array_union(F.coalesce("codes", none), F.coalesce("more", none))).alias("codes"))
 
 
 def route(kind: Column, doc_type: Column, text: Column, pages: Column, ocr_types: Sequence[str]) -> Column:

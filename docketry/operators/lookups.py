@@ -114,9 +114,9 @@ def changes(log: DataFrame, since: object = None, change: str | None = None, sco
     return log.where(reduce(and_, terms)) if terms else log
 
 
-def watched(events: DataFrame, watchlist: DataFrame) -> DataFrame:
+def meetings(events: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Events joined with the active watches (watch_id, docket_id, entry_id, path_prefix, active) that they meet: same docket,
-    same entry, or a path that begins with the prefix. Works on a stream of events too, as the watchlist is the static side."""
+    same entry, or a path that begins with the prefix; once for each way they meet. The watchlist is the static side of a stream."""
     live = active_only(watchlist)
     one = lambda c: events.join(live.where(F.col(c).isNotNull()).select("watch_id", c), c).select(*events.columns, "watch_id")
     out = one("docket_id").unionByName(one("entry_id"))
@@ -127,7 +127,12 @@ def watched(events: DataFrame, watchlist: DataFrame) -> DataFrame:
         named = events.withColumn("__prefix", F.explode(F.array_distinct(prefixes)))
         own = live.where(F.col("path_prefix").isNotNull()).select("watch_id", F.rtrim(F.col("path_prefix"), F.lit("/")).alias("__prefix"))
         out = out.unionByName(named.join(own, "__prefix").select(*events.columns, "watch_id"))
-    return out.dropDuplicates([*[c for c in ("event_id",) if c in events.columns], "watch_id"])
+    return out
+
+
+def watched(events: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Events with each of the watches that they meet, once. For a stream there is ``streaming.incremental.alerts``."""
+    return meetings(events, watchlist).dropDuplicates([*[c for c in ("event_id",) if c in events.columns], "watch_id"])
 
 
 def matching_topics(topics: DataFrame, text: str, key: str = "topic_key", title: str = "title", children: str = "children") -> DataFrame:

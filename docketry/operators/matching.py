@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.texts import ratio
+from docketry.operators.staging import settle
 
 # How sure a match must be.
 THRESHOLD, MARGIN, PAGE_BONUS, CANDIDATES = 0.55, 0.08, 0.15, 5
@@ -36,35 +38,109 @@ def resolve_files(files: DataFrame, index: DataFrame, block: str = "docket_id")
     return files.select("file_id").join(found, "file_id", "left").select("file_id", F.when(sure, F.col("best")).alias("entry_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("confidence"), "candidates")
 
 
+#: What a row does: shuts (4), opens (2), adds codes (1). An entry's state: closed (2), has codes (1).
+REASONS = [None, "has codes", "closed"]
+
+
+def _step(kind: int, state: int) -> tuple[int, int]:
+    """(state after a row, number of the reason it is rejected for)."""
+    shuts, opens, adds, shut, coded = kind & 4, kind & 2, kind & 1, state & 2, state & 1
+    if shuts and coded:
+        return state, 1
+    if adds and shut and not opens:
+        return state, 2
+    return (2 if shuts or (shut and not opens) else 0) | (1 if coded or adds else 0), 0
+
+
+STEPS = [[_step(kind, state) for state in range(4)] for kind in range(8)]
+
+
+def _judged_rows(rows: DataFrame, state: DataFrame, closed: str) -> DataFrame:
+    """(entry_id, row_number, kind, state) by ranges of entry and row number, in order; the last is the entry's state before."""
+    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    known = state.select("entry_id", (flag(F.col("closed"), 2) + flag(F.col("coded"), 1)).alias("state"))
+    kind = flag(F.col("axis2") == closed, 4) + flag(F.col("axis2") != closed, 2) + flag(F.size("codes") > 0, 1)
+    seeded = rows.join(known, "entry_id", "left").select("entry_id", "row_number", kind.alias("kind"), F.coalesce("state", F.lit(0)).alias("state"))
+    return settle(seeded.repartitionByRange("entry_id", "row_number").sortWithinPartitions("entry_id", "row_number"))
+
+
+def _composed(ordered: DataFrame) -> DataFrame:
+    """(part, entry_id, state, maps, edge): of each entry in each partition the state after its rows there, for every state
+    before, two bits each; ``edge`` entries may go on in another partition."""
+    start = sum(k << 2 * k for k in range(4))
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, entry, was, maps = TaskContext.get().partitionId(), True, None, 0, None
+
+        def row(edge: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([entry], kind_of_entry), pa.array([was], pa.int32()), pa.array([maps], pa.int32()), pa.array([edge])], names=["part", "entry_id", "state", "maps", "edge"])
+
+        for batch in batches:
+            kind_of_entry, done = batch[0].type, []
+            for e, kind, state in zip(*(batch[k].to_pylist() for k in (0, 2, 3)), strict=True):
+                if maps is None or e != entry:
+                    if maps is not None:
+                        done.append(row(first))
+                        first = False
+                    entry, was, maps = e, state, start
+                maps = sum(STEPS[kind][maps >> 2 * k & 3][0] << 2 * k for k in range(4))
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if maps is not None:
+            yield row(True)
+
+    kind = {f.name: f.dataType.simpleString() for f in ordered.schema}["entry_id"]
+    return ordered.mapInArrow(compose, f"part int, entry_id {kind}, state int, maps int, edge boolean")
+
+
 def fold_axes(rows: DataFrame, state: DataFrame, closed: str = "Masterfile") -> DataFrame:
     """(entry_id, row_number, accepted, reason): tag rows (entry_id, row_number, axis2, codes) judged in order.
 
     A row that sets axis 2 to ``closed`` is rejected while the entry has codes; a row that adds codes is rejected while
-    the entry is closed, unless it opens it itself. ``state`` (entry_id, closed, coded) is what is known before. Rows
-    stream by entry in order, so however many an entry has, two flags are held.
+    the entry is closed, unless it opens it itself. ``state`` (entry_id, closed, coded) is what is known before.
+
+    Two flags make four states and a row maps each to one, so rows compose: an entry's rows lie in ranges of row
+    numbers, each range gives its composed map, and each is judged from the state that the maps before it lead to. An entry of any
+    number of rows is many tasks. The driver gets two maps a partition.
     """
-    known = state.select("entry_id", F.col("closed").alias("is_closed"), F.col("coded").alias("has_codes"))
-    adds = F.coalesce(F.size("codes") > 0, F.lit(False))
-    seeded = rows.join(known, "entry_id", "left").select("entry_id", "row_number", F.coalesce(F.col("axis2") == closed, F.lit(False)).alias("shuts"), F.coalesce(F.col("axis2") != closed, F.lit(False)).alias("opens"), adds.alias("adds"), F.coalesce("is_closed", F.lit(False)).alias("shut"), F.coalesce("has_codes", F.lit(False)).alias("coded"))
+    ordered = _judged_rows(rows, state, closed)
+    edges: dict[int, list] = {}
+    for r in _composed(ordered).where("edge").toLocalIterator():
+        edges.setdefault(r.part, []).append((r.entry_id, r.maps))
+    same, last = sum(k << 2 * k for k in range(4)), None
+    carried: dict[int, int] = {}
+    for part in sorted(edges):
+        own = edges[part]
+        before = last[1] if last and last[0] == own[0][0] else same
+        carried[part] = before
+        through = sum((own[0][1] >> 2 * (before >> 2 * k & 3) & 3) << 2 * k for k in range(4))
+        last = (own[0][0], through) if len(own) == 1 else own[-1]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, shut, coded = None, False, False  # of the entry whose rows come now
+        first, entry, now = True, None, 0
+        maps = carried.get(TaskContext.get().partitionId(), same)
         for batch in batches:
             reasons = []
-            for e, shuts, opens, adds, was_shut, was_coded in zip(*(batch[k].to_pylist() for k in (0, 2, 3, 4, 5, 6)), strict=True):
-                if e != entry:
-                    entry, shut, coded = e, was_shut, was_coded
-                reasons.append("has codes" if shuts and coded else "closed" if adds and shut and not opens else None)
-                if reasons[-1] is None:
-                    shut = shuts or (shut and not opens)
-                    coded = coded or adds
+            for e, kind, was in zip(*(batch[k].to_pylist() for k in (0, 2, 3)), strict=True):
+                if first or e != entry:
+                    entry, now = e, maps >> 2 * was & 3 if first else was
+                    first = False
+                now, reason = STEPS[kind][now]
+                reasons.append(REASONS[reason])
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], names=["entry_id", "row_number", "accepted", "reason"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in seeded.schema}
-    ordered = seeded.repartition("entry_id").sortWithinPartitions("entry_id", "row_number")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
     return ordered.mapInArrow(judge, f"entry_id {kinds['entry_id']}, row_number {kinds['row_number']}, accepted boolean, reason string")
 
 
+def folded_state(rows: DataFrame, state: DataFrame, closed: str = "Masterfile") -> DataFrame:
+    """(entry_id, closed, coded) after the rows, for the next batch; entries without rows stay as they were."""
+    maps = _composed(_judged_rows(rows, state, closed)).groupBy("entry_id", "state").agg(F.array_sort(F.collect_list(F.struct("part", "maps"))).alias("m"))
+    after = maps.select("entry_id", F.expr("aggregate(m, state, (s, x) -> shiftright(x.maps, 2 * s) & 3)").alias("s"))
+    new = after.select("entry_id", (F.col("s") >= 2).alias("closed"), (F.col("s") % 2 == 1).alias("coded"))
+    return new.unionByName(state.select("entry_id", F.coalesce("closed", F.lit(False)).alias("closed"), F.coalesce("coded", F.lit(False)).alias("coded")).join(new.select("entry_id"), "entry_id", "left_anti"))
+
+
 def first_error(df: DataFrame, checks: Sequence[tuple[str, Column, str]], row_number: str = "row_number") -> tuple[DataFrame, DataFrame]:
     """(good rows, rejects): checks (field, is wrong, message) are tried in order, and a row is rejected with the first
     that holds. Rejects: row_number, field, message, raw_value."""

@@ -579,6 +579,6 @@ def weekly_report_parse(t):
 
 
 
-from docketry.plans import intake, reading  # noqa: E402
+from docketry.plans import indexes, intake, reading, windows  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "intake", "reading"]
+__all__ = ["ORACLES", "QUERIES", "indexes", "intake", "reading", "windows"]

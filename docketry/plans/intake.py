@@ -114,7 +114,7 @@ def sweep_counts(t):
     return intake.sweep_counts(t.table("events").select(named.alias("status")))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS entry_id, arg_max(l_returnflag, l_linenumber * 1000000 + l_partkey) AS a1, list_sort(list_distinct(list('c' || (l_linenumber % 3)))) AS codes FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1),
+@query("""WITH l AS (SELECT l_orderkey AS entry_id, max({'p': l_linenumber * 1000000 + l_partkey, 'a': l_returnflag}).a AS a1, list_sort(list_distinct(list('c' || (l_linenumber % 3)))) AS codes FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1),
  h AS (SELECT o_orderkey AS entry_id FROM orders WHERE o_orderkey % 2 = 0)
  SELECT entry_id, CASE WHEN l.codes IS NULL THEN 'old' ELSE a1 END AS axis1, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN h.entry_id IS NOT NULL THEN ['b9'] ELSE [] END, coalesce(l.codes, [])))), ';') AS codes FROM h FULL JOIN l USING (entry_id)""")
 def axis_assignment(t):

@@ -108,7 +108,7 @@ def stages_to_rows(t):
     return proceedings.stage_rows(proceedings.synthesized(proceeding_matters(t), DAY("2000-01-01"))).select("docket_id", "stage_num", "title", "stage_date", "is_current", "sort_order")
 
 
-@query("SELECT l_orderkey AS docket_id, coalesce(arg_max(l_returnflag, l_linenumber * 1000000 + l_partkey) FILTER (l_linestatus = 'F'), arg_max(l_returnflag, l_linenumber * 1000000 + l_partkey)) AS outcome FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS docket_id, coalesce((max({'p': l_linenumber * 1000000 + l_partkey, 'a': l_returnflag}) FILTER (l_linestatus = 'F')).a, max({'p': l_linenumber * 1000000 + l_partkey, 'a': l_returnflag}).a) AS outcome FROM lineitem GROUP BY 1")
 def last_decided_stage(t):
     own = F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("n"), F.col("l_returnflag").alias("outcome"), F.when(F.col("l_linestatus") == "F", "green").otherwise("gray").alias("color"))))
     return proceedings.last_decided(t.table("lineitem").groupBy(F.col("l_orderkey").alias("docket_id")).agg(own.alias("stages")))

@@ -215,20 +215,44 @@ def test_tables_have_additions(spark, tmp_path):
     assert rows(table.read()) == [(2,), (3,), (4,)] and rows(table.read(1)) == [(2,)] and table.versions() == [1]
 
 
-def test_failed_batches_and_names(spark, tmp_path):
+def test_failed_files_come_again(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for k in range(3):
-        (folder / f"{k}.json").write_text(json.dumps({"k": k, "v": "x"}) + "\n")
+    for k in range(5):
+        (folder / f"{k}.json").write_text("".join(json.dumps({"k": k, "v": v}) + "\n" for v in "xy"))
     ledger = tables.VersionedTable(spark, str(tmp_path / "l"), incremental.LEDGER)
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), "k bigint, v string")
+    bad = {1, 3}
 
     def load(batch, batch_id):
-        if batch.where("k = 1").count():
+        if batch.where(F.col("k").isin(*bad, -1)).count():
             raise RuntimeError("bad file")
+        table.append(batch.drop(incremental.PLACE))
         return batch.count()
 
-    incremental.load_files(spark, str(folder), "k bigint, v string", str(tmp_path / "c"), ledger, load, 1, stop=False).awaitTermination()
-    assert sorted(r.status for r in ledger.read().collect()) == ["failed", "succeeded", "succeeded"]
+    def run(**more):
+        incremental.load_files(spark, str(folder), "k bigint, v string", str(tmp_path / "c"), ledger, load, 2, **more).awaitTermination()
+        return sorted((r.file[-6:-5], r.status, r.attempt, r.rows) for r in incremental.file_states(ledger).collect())
+
+    fine = lambda k, n=1: (str(k), "succeeded", n, 2)
+    assert run(stop=False) == [fine(0), ("1", "failed", 1, 0), fine(2), ("3", "failed", 1, 0), fine(4)]  # beside a bad file all load at once
+    (folder / "5.json").write_text(json.dumps({"k": 5, "v": "x"}) + "\n" + json.dumps({"k": 5, "v": "y"}) + "\n")
+    bad.discard(3)
+    assert run(stop=False) == [fine(0), ("1", "failed", 2, 0), fine(2), fine(3, 2), fine(4), fine(5)]
+    assert intake.sweep_counts(incremental.file_states(ledger).replace("succeeded", "processed", "status")).first() == (5, 1, 0)
+    assert run(stop=False, attempts=2)[1] == ("1", "failed", 2, 0)  # no tries left
+    bad.clear()
+    assert run()[1] == fine(1, 3) and run()[1] == fine(1, 3)
+    assert rows(table.read()) == sorted((k, v) for k in range(6) for v in "xy")  # each once
+    with pytest.raises(Exception, match="1 files failed"):
+        bad.add(7)
+        (folder / "7.json").write_text(json.dumps({"k": 7, "v": "x"}) + "\n")
+        run()
+    bad.clear()
+    assert run()[-1] == ("7", "succeeded", 2, 1)
+
+
+def test_snapshots_have_names(spark, tmp_path):
     snapshots, log, names = (tables.VersionedTable(spark, str(tmp_path / x), schema) for x, schema in (("s", "id bigint, v string, n bigint"), ("g", "id bigint, change string, details string, version bigint"), ("n", "name string, version bigint")))
     first, second = (spark.createDataFrame([(1, v, 1)], "id bigint, v string, n bigint") for v in "ab")
     taken = [incremental.next_snapshot(snapshots, log, df, "id", "n", name, names) for df, name in ((first, "one"), (second, "one"), (second, "two"))]
