@@ -1,11 +1,14 @@
 """Hashes of words and word runs of a whole Arrow batch at once, with numpy over the UTF-8 bytes.
 
-Words are runs of bytes that aren't separators. A word's hash is a polynomial over its bytes, taken from prefix sums
-modulo 2**64 and then mixed; runs of words are hashed from the words' hashes in the same way.
+Words are runs of bytes that aren't separators. A word's hash is a polynomial over its bytes modulo the prime 2**61 - 1, taken
+from prefix sums and then mixed; runs of words are hashed from the words' hashes in the same way. In a field two
+different runs of n values meet for at most n of its 2**61 bases, so no text collides for every base, as some do modulo
+a power of two. Words of ``LONG_WORD`` bytes or more are hashed by blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,29 +41,50 @@ class Known(dict):
 
 
 _powers = Known()
+PRIME, LOW31, LOW30, LOW29, LOW32 = (np.uint64((1 << k) - 1) for k in (61, 31, 30, 29, 32))
+LONG_WORD = 1 << 20
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves."""
+    au, ad, bu, bd = a >> np.uint64(31), a & LOW31, b >> np.uint64(31), b & LOW31
+    mid = ad * bu + au * bd
+    return reduced(((au * bu) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & LOW30) << np.uint64(31)) + ad * bd)
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k below n."""
+    """base**k and base**-k modulo the prime for k below n (at least)."""
     known = _powers.get(int(base))
     if known is None or len(known[0]) < n:
-        size = max(n, CHUNK + 4096)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        size, prime = max(n, CHUNK + 4096), int(PRIME)
         both = []
-        for b in (base, inverse):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
+        for b in (int(base) % prime, pow(int(base) % prime, -1, prime)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, times(out, np.uint64(pow(b, len(out), prime)))])
+            both.append(out[:size])
         known = _powers[int(base)] = (both[0], both[1])
     return known
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Mixed polynomial hash of values[start:end] for each pair."""
+    """Mixed polynomial hash of values[start:end] for each pair. Prefix sums are of halves, whose differences fit in 64 bits
+    up to 2**32 values a run."""
     up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    terms = times(reduced(values), up[: len(values)])
+    parts = []
+    for half in (terms >> np.uint64(32), terms & LOW32):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(half, out=sums[1:])
+        parts.append(sums[ends] - sums[starts])
+    high = reduced(parts[0])  # times 2**32: what passes bit 61 comes in again at bit 0
+    total = reduced((high >> np.uint64(29)) + ((high & LOW29) << np.uint64(32)) + reduced(parts[1]))
+    return mix(times(total, down[starts]))
 
 
 class Words:
@@ -78,6 +102,9 @@ class Words:
         stops[back] = inside[back]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         self.hash = runs((fold[data] if fold is not SAME else data).astype(np.uint64) + np.uint64(1), self.starts, self.ends, BASE)
+        for k in np.flatnonzero(self.ends - self.starts >= LONG_WORD):
+            word = (fold[data[self.starts[k] : self.ends[k]]]).tobytes()
+            self.hash[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
         self.first = np.searchsorted(self.starts, offsets)
         self.data, self.offsets = data, offsets
 

@@ -8,11 +8,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("docketry.llm")
 
-from docketry.llm import infill, quality, whitening  # noqa: E402
+from docketry.llm import infill, ngram_join, quality, substrings, whitening  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, key string, n long, form string, kept boolean, output string, n_words long"
 VECTORS = "vec_id long, embedding array<float>, label int, key string, x long, n long, dims int, whitened double"
@@ -200,3 +201,54 @@ def test_quality_of_long_texts(spark):
     assert quality.numbered(long.encode()).tolist() == [*range(200_000), *range(10, 40), *range(200_000, 399_970)]
     one = quality.numbered(b"a" * (3 * quality.PIECE))
     assert one.tolist() == [0]
+
+
+def twins(a, b, size):
+    """Two sequences whose polynomial hashes are equal modulo a power of two for every odd base."""
+    bits = [bin(k).count("1") & 1 for k in range(size)]
+    return [(a, b)[k] for k in bits], [(b, a)[k] for k in bits]
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_no_text_collides_for_every_base(spark, kind):
+    shared = [f"w{k}" for k in range(30)]
+    if kind == "bytes":
+        one, two = ("".join(t) for t in twins("a", "b", 2048))
+        texts = [" ".join([*shared, x, *reversed(shared)]) for x in (one, two)]
+        short = [one, two]
+    else:
+        one, two = twins("left", "right", 2048)
+        texts = [" ".join(x) for x in (one, two)]
+        short = texts
+    rows = documents(spark, list(enumerate(texts)))
+    removed = {r.doc_id: r.n_removed for r in substrings.kept_digests(rows).collect()}
+    words = [t.split() for t in texts]
+    windows = [[tuple(w[k : k + 50]) for k in range(len(w) - 49)] for w in words]
+    again = {k + o for k, x in enumerate(windows[1]) if x in set(windows[0]) for o in range(50)}
+    assert removed == {0: 0, 1: len(again)} and (kind == "words" or not again)
+    components = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(spark, list(enumerate(short)))).collect()}
+    grams = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} or {tuple(w)} for w in (s.split() for s in short)]
+    linked = 100 * len(grams[0] & grams[1]) >= 85 * len(grams[0] | grams[1])
+    assert components == {0: 0, 1: 0 if linked else 1} and (kind == "words" or not linked)
+
+
+def test_hashes_of_runs():
+    from docketry.llm import word_hash as wh
+
+    rng = random.Random(8)
+    p = (1 << 61) - 1
+    a = [rng.randrange(p) for _ in range(200)] + [0, 1, p - 1]
+    b = [rng.randrange(p) for _ in range(200)] + [p - 1, p - 1, p - 1]
+    assert wh.times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b, strict=True)]
+    values = np.array([rng.randrange(1 << 64) for _ in range(300)], np.uint64)
+    base = int(wh.RUN) % p
+    starts, ends = np.array([0, 0, 5, 299, 7, 100]), np.array([0, 300, 9, 300, 290, 230])
+    plain = [sum(int(v) * pow(base, k, p) for k, v in enumerate(values[s:e])) % p for s, e in zip(starts, ends, strict=True)]
+    assert wh.runs(values, starts, ends, wh.RUN).tolist() == wh.mix(np.array(plain, np.uint64)).tolist()
+    for left, right in (twins(1, 2, 1024), twins(3, 9, 4096)):
+        x = np.array([*left, *right], np.uint64)
+        h = wh.runs(x, np.array([0, len(left)]), np.array([len(left), len(x)]), wh.BASE)
+        assert h[0] != h[1]
+    long = ["x" * wh.LONG_WORD + c for c in "aba"]
+    (found,) = [wh.Words(d, o).hash for _, d, o in wh.chunks(pa.array([" ".join(long)]), 1 << 23)]
+    assert found[0] == found[2] != found[1]
