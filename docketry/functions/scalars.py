@@ -332,3 +332,12 @@ def blob_parts(path: Text) -> Column:
 def native_enough(text: Text, pages: Text, least: int = 20) -> Column:
     """Whether a file's own text has at least ``least`` characters a page."""
     return F.coalesce(F.try_divide(F.length(F.trim(col(text))), col(pages)) >= least, F.lit(False))
+
+
+#: Keys are compared without regard to case and to blanks at the end, as the records' own database does.
+KEY_COLLATION = "UTF8_LCASE_RTRIM"
+
+
+def collated(df, *keys: str):
+    """A DataFrame whose key columns compare so in whatever follows: joins, groups, distinct rows, merges."""
+    return df.withColumns({k: F.collate(F.col(k).cast("string"), KEY_COLLATION) for k in keys})

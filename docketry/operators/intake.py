@@ -164,6 +164,15 @@ def run_statistics(good: DataFrame, rejects: DataFrame, key: str, batch: int = 5
     return counts.select((F.col("upserted") + F.col("rejected")).alias("read"), "upserted", "keys", "rejected", F.ceil(F.col("upserted") / batch).alias("commits"))
 
 
+def write_judged(good: DataFrame, rejects: DataFrame, path: str) -> dict[str, int]:
+    """Writes rows as ``status=good`` and ``status=rejected`` below a path, in one job that counts them on the way (``upserted``,
+    ``rejected``)."""
+    from docketry.sources.tables import write_counted
+
+    both = good.withColumn("status", F.lit("good")).unionByName(rejects.withColumn("status", F.lit("rejected")), allowMissingColumns=True)
+    return write_counted(both, path, "status", upserted=F.count_if(F.col("status") == "good"), rejected=F.count_if(F.col("status") == "rejected"))
+
+
 def sweep_counts(entries: DataFrame, status: str = "status") -> DataFrame:
     """One row: files processed, failed and skipped."""
     return entries.agg(*[F.count_if(F.col(status) == x).alias(x) for x in ("processed", "failed", "skipped")])

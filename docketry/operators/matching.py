@@ -16,16 +16,56 @@ from docketry.operators.staging import settle
 THRESHOLD, MARGIN, PAGE_BONUS, CANDIDATES = 0.55, 0.08, 0.15, 5
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _counts(c: Column) -> Column:
+    """How often a text holds each of ``LETTERS``, and any other character."""
+    own = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
+    known = F.translate(c, LETTERS, "")
+    return F.array(*own, F.length(known))
+
+
+def bounded_pairs(files: DataFrame, index: DataFrame, block: str = "docket_id") -> DataFrame:
+    """(file_id, block, entry_id, a, b, bonus, bound) of files and index rows of one block: the texts to compare, and what
+    their score is at most. Twice the characters that two texts share, over the sum of their lengths, is no less than their ratio.
+    Characters are counted once for each record."""
+    strip = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lower(F.col(block).cast("string")), F.lit(" ")), r"\s+", " "))
+
+    def sides(df: DataFrame, text: str, name: str) -> DataFrame:
+        whole, short = F.lower(F.coalesce(F.col(text), F.lit(""))), F.coalesce(strip(F.col(text)), F.lit(""))
+        one = lambda c: F.struct(c.alias("t"), F.length(c).alias("n"), _counts(c).alias("c"))
+        return df.withColumns({f"{name}_short": one(short), f"{name}_whole": one(whole)}).drop(text)
+
+    left = sides(files.select("file_id", block, "stem", "pages"), "stem", "f")
+    right = sides(index.select(block, "entry_id", "name", F.col("pages").alias("row_pages")), "name", "r")
+    both = left.join(right, block)
+    bare = (F.col("f_short.n") == 0) | (F.col("r_short.n") == 0)
+    x, y = (F.when(bare, F.col(f"{side}_whole")).otherwise(F.col(f"{side}_short")) for side in "fr")
+    pairs = both.withColumns({"x": x, "y": y, "bonus": F.when(F.col("pages") == F.col("row_pages"), PAGE_BONUS).otherwise(0.0)})
+    shared = F.aggregate(F.zip_with("x.c", "y.c", lambda m, n: F.least(m, n)), F.lit(0), lambda t, n: t + n)
+    total = F.col("x.n") + F.col("y.n")
+    bound = F.when(total == 0, 1.0).otherwise(2.0 * shared / total) + F.col("bonus")
+    return pairs.select("file_id", block, "entry_id", F.col("x.t").alias("a"), F.col("y.t").alias("b"), "bonus", bound.alias("bound"))
+
+
+def worth_verifying(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of the best bounds with their score, other pairs whose bound reaches the last of a file's best scores)."""
+    rank = Window.partitionBy("file_id").orderBy(F.desc("bound"), "entry_id")
+    ranked = settle(pairs.withColumn("n", F.row_number().over(rank)))
+    first = settle(ranked.where(F.col("n") <= CANDIDATES).withColumn("score", ratio("a", "b") + F.col("bonus")))
+    least = first.groupBy("file_id").agg(F.min("score").alias("least"), F.count("*").alias("many")).where(F.col("many") == CANDIDATES).select("file_id", "least")
+    rest = ranked.where(F.col("n") > CANDIDATES).join(least, "file_id").where(F.col("bound") >= F.col("least") - 1e-9).drop("least")
+    return first, rest
+
+
 def resolve_files(files: DataFrame, index: DataFrame, block: str = "docket_id") -> DataFrame:
     """Per file (file_id, block, stem, pages): the index row (entry_id, block, name, pages) it matches best within its
     block, its score, and the best few candidates. No match below the threshold or when the next one is too near.
-    Files and rows meet by an equi-join on the block alone, whose skew Spark splits."""
-    strip = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lower(F.col(block).cast("string")), F.lit(" ")), r"\s+", " "))
-    rows = index.select(F.col(block), "entry_id", "name", F.col("pages").alias("row_pages"))
-    both = files.join(rows, block).withColumns({"a": strip(F.col("stem")), "b": strip(F.col("name"))})
-    whole = (F.col("a") == "") | (F.col("b") == "")
-    likeness = ratio(F.when(whole, F.lower("stem")).otherwise(F.col("a")), F.when(whole, F.lower("name")).otherwise(F.col("b")))
-    scored = both.withColumn("score", likeness + F.when(F.col("pages") == F.col("row_pages"), PAGE_BONUS).otherwise(0.0))
+    Files and rows meet by an equi-join on the block alone, whose skew Spark splits. Only pairs whose bound could bring them among the
+    best are compared: those of the best bounds first, then what reaches the last of these scores, which loses none."""
+    first, rest = worth_verifying(bounded_pairs(files, index, block))
+    scored = first.unionByName(rest.withColumn("score", ratio("a", "b") + F.col("bonus")))
     best = Window.partitionBy("file_id").orderBy(F.desc("score"), "entry_id")
     top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= CANDIDATES)
     found = top.groupBy("file_id", block).agg(

@@ -1,10 +1,15 @@
-"""Event-time windows and interval joins, in batch on the given tables."""
+"""Event-time windows, interval joins, bucketed merges and collated keys on the given tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docketry.plans.catalog import query
+from docketry.functions.scalars import collated
+from docketry.operators.staging import shared_folder
+from docketry.plans.catalog import ORACLES, incoming, query
+from docketry.sources.tables import BucketedTable
 from docketry.streaming import incremental
 
 
@@ -30,3 +35,27 @@ def clicks_before_purchases(t):
     bought = events(t).where("event_type = 'purchase'").select("event_id", "docket_id", "ts")
     clicks = events(t).where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "docket_id", F.col("ts").alias("click_ts"))
     return incremental.joined_within(bought, clicks, "docket_id", "ts", "click_ts", "2 DAYS").select("event_id", "click_id")
+
+
+@query(ORACLES["merge_coalesce"])
+def merge_bucketed(t):
+    table = BucketedTable(t.spark, f"{shared_folder(t.spark)}/tables/{uuid.uuid4()}", "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", ["c_custkey"], 16)
+    table.merge(t.table("customer"))
+    table.merge(incoming(t))
+    return table.read()
+
+
+SPELT = "CASE doc_id % 3 WHEN 0 THEN upper(source) WHEN 1 THEN source || '  ' ELSE source END"
+
+
+@query(f"WITH d AS (SELECT rtrim(lower({SPELT})) AS k, doc_id, n_chars FROM documents) SELECT k AS source, count(*) AS documents, sum(n_chars)::BIGINT AS n_chars FROM d GROUP BY 1")
+def collated_groups(t):
+    docs = collated(t.table("documents").withColumn("source", F.expr(SPELT)), "source")
+    return docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("n_chars")).select(F.rtrim(F.lower(F.collate("source", "UTF8_BINARY"))).alias("source"), "documents", "n_chars")
+
+
+@query(f"WITH d AS (SELECT rtrim(lower({SPELT})) AS k, doc_id FROM documents), s AS (SELECT DISTINCT lower(source) AS k FROM documents WHERE source < 'src3') SELECT doc_id FROM d JOIN s USING (k)")
+def collated_join(t):
+    docs = collated(t.table("documents").withColumn("source", F.expr(SPELT)), "source")
+    known = collated(t.table("documents").where("source < 'src3'").select(F.upper("source").alias("source")), "source").distinct()
+    return docs.join(known, "source").select("doc_id")

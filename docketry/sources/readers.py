@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from docketry.sources.tables import write_counted
+
 SNAPSHOT = "id BIGINT, name STRING, ext STRING, path STRING, pages INT"
 TEXT_INTAKE = "entry_id BIGINT, full_text STRING, text_source STRING, di_model STRING, di_confidence DOUBLE, paragraphs ARRAY<STRUCT<num: STRING, text: STRING>>"
 
@@ -38,13 +40,26 @@ def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.withColumn("r", F.when(F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull(), typed))
 
 
+def _snapshot_lines(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    lines = parsed_lines(spark, path, SNAPSHOT).withColumn("whole", F.get_json_object("line", "$.id").rlike(r"^-?\d+$"))
+    return lines, F.col("r.id").isNotNull() & F.coalesce("whole", F.lit(False))
+
+
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines) of an index snapshot; a record needs an integer id."""
-    lines = parsed_lines(spark, path, SNAPSHOT).withColumn("whole", F.get_json_object("line", "$.id").rlike(r"^-?\d+$"))
-    good = F.col("r.id").isNotNull() & F.coalesce("whole", F.lit(False))
+    lines, good = _snapshot_lines(spark, path)
     return lines.where(good).select("r.*"), lines.where(~good).select("file", "line")
 
 
+def load_snapshot(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
+    """Writes an index snapshot's records and malformed lines below a folder, as ``kind=record`` and ``kind=malformed``, in one pass over
+    its files that also counts ``lines``, ``records`` and ``malformed``."""
+    lines, good = _snapshot_lines(spark, path)
+    both = lines.select(F.when(good, "record").otherwise("malformed").alias("kind"), "r.*", "file", F.when(~good, F.col("line")).alias("line"))
+    kind = F.col("kind")
+    return write_counted(both, folder, "kind", lines=F.count("*"), records=F.count_if(kind == "record"), malformed=F.count_if(kind == "malformed"))
+
+
 def read_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected lines) of text intake; ``has_paragraphs`` tells a missing key from an empty list. A folder
     without files raises ``ValueError``."""

@@ -3,7 +3,12 @@ and a lost writer leaves the old one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.operators import records
 
 
 class VersionedTable:
@@ -54,5 +59,45 @@ class VersionedTable:
         return self._put(df, "a")
 
 
+class BucketedTable:
+    """One table in partitions by hash of its key. A merge reads and overwrites the partitions that incoming keys fall in, by
+    Spark's dynamic partition overwrite, and leaves the files of all others alone. Writers come one at a time; a merge that is lost on
+    the way has replaced some partitions and not others, and gives the same table when it runs again."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], buckets: int = 64):
+        self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder.rstrip("/"), schema, keys, buckets
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        schema = f"{self.schema}, bucket int"
+        return self.spark.read.schema(schema).parquet(self.folder) if there else self.spark.createDataFrame([], schema)
+
+    def _overwrite(self, placed: DataFrame) -> None:
+        placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def merge(self, source: DataFrame, direct: Sequence[str] = ()) -> int:
+        """``records.merge`` of rows with unique keys into the table; how many partitions they touched."""
+        touched = [r.bucket for r in self._placed(source).select("bucket").distinct().collect()]  # at most ``buckets``
+        if touched:
+            held = self._stored().where(F.col("bucket").isin(touched)).drop("bucket")
+            self._overwrite(self._placed(records.merge(held, source, self.keys, direct)))
+        return len(touched)
+
+
 def write_rejects(rejects: DataFrame, path: str) -> None:
     rejects.write.mode("overwrite").csv(path, header=True)
+
+
+def write_counted(df: DataFrame, path: str, partition: str | None = None, **counts: Column) -> dict[str, int]:
+    """Writes ``df`` and gives counts over its rows that the writing job takes on the way; no row is read for them again."""
+    seen = Observation()
+    writer = df.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return seen.get

@@ -4,14 +4,17 @@ import json
 import os
 import random
 import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.operators import matching, search
+from docketry.functions import scalars
+from docketry.operators import intake, matching, records, search
 from docketry.operators.text_index import TextIndex
 from docketry.operators.vector_index import Codebook, VectorIndex, recall
+from docketry.sources import readers, tables
 from docketry.streaming import incremental
 
 SF = "/root/testdata/sf0.1"
@@ -167,3 +170,65 @@ def test_sessions_and_joins_of_streams_with_late_rows(spark, tmp_path):
     right = source(spark, other, "k string, ts timestamp")
     join = steps(spark, tmp_path, lambda: incremental.joined_within(read(), right().withColumnRenamed("ts", "r"), "k", "ts", "r", "1 HOUR", "2 days").select("k", F.date_format("ts", "dd HH:mm").alias("t")), "joins")
     assert join() == [("a", "01 00:20"), ("a", "01 00:40"), ("c", "05 00:00"), ("c", "05 00:05"), ("c", "05 00:10")]
+
+
+def test_bucketed_merge_leaves_other_files_alone(spark, tmp_path):
+    table = tables.BucketedTable(spark, str(tmp_path / "t"), "k bigint, v string, w string", ["k"], 16)
+    every = spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit("w").alias("w"))
+    assert table.read().count() == 0 and table.merge(every.limit(0)) == 0 and table.merge(every) == 16
+    files = lambda: {str(p.relative_to(tmp_path)) for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    before = files()
+    coming = spark.createDataFrame([(7, "new", None), (999, "first", "x")], "k bigint, v string, w string")
+    touched = table.merge(coming)
+    assert touched <= 2 and len(before - files()) == len({f.split("/")[1] for f in before - files()}) <= touched
+    assert rows(table.read()) == rows(records.merge(every, coming, ["k"])) and table.read().count() == 201
+    assert table.merge(coming, direct=["w"]) == touched and rows(table.read().where("k = 7")) == [(7, "new", None)]
+
+
+def test_crosswalk_compares_few_pairs(spark):
+    rng = random.Random(3)
+    words = ["letter", "of", "intent", "appeal", "hearing", "order", "final", "agency", "exhibit", "review"]
+    name = lambda: " ".join(rng.choices(words, k=rng.randint(1, 5)))
+    index = [(rng.randrange(3), k, name(), rng.choice([None, 1, 2])) for k in range(150)] + [(0, 500, "", 1), (1, 501, None, None)]
+    files = [(k, d, f"{d} {n}x" if k % 4 else n.upper(), p) for k, (d, _, n, p) in enumerate(index[:90]) if n is not None] + [(900, 0, "0", 1), (901, 7, "alone", 1), (902, 1, None, 2)]
+    left = spark.createDataFrame(files, "file_id int, docket_id int, stem string, pages int")
+    right = spark.createDataFrame(index, "docket_id int, entry_id int, name string, pages int")
+    strip = lambda t, d: re.sub(r"\s+", " ", (t or "").lower().replace(str(d), " ")).strip()
+    wanted = {}
+    for f, d, stem, pages in files:
+        scores = []
+        for block, entry, text, row_pages in index:
+            if block == d:
+                a, b = strip(stem, d), strip(text, d)
+                a, b = (a, b) if a and b else ((stem or "").lower(), (text or "").lower())
+                scores.append((-(SequenceMatcher(None, a, b).ratio() + (0.15 if pages is not None and pages == row_pages else 0.0)), entry))
+        best = sorted(scores)[:5]
+        sure = best and -best[0][0] >= 0.55 and (len(best) < 2 or best[1][0] - best[0][0] >= 0.08)
+        wanted[f] = (best[0][1] if sure else None, [e for _, e in best])
+    found = {r.file_id: (r.entry_id, [c.entry_id for c in r.candidates or []]) for r in matching.resolve_files(left, right).collect()}
+    assert found == wanted
+    pairs = matching.bounded_pairs(left, right)
+    first, rest = matching.worth_verifying(pairs)
+    assert first.count() + rest.count() < 0.5 * pairs.count()
+
+
+def test_counts_come_with_the_writing_job(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"id": 1, "name": "a"}\n\n{"id": "x"}\nnot json\n{"id": 2}\n')
+    counts = readers.load_snapshot(spark, str(tmp_path / "s.jsonl"), str(tmp_path / "out"))
+    assert counts == {"lines": 4, "records": 2, "malformed": 2}
+    good, bad = readers.read_snapshot(spark, str(tmp_path / "s.jsonl"))
+    assert rows(spark.read.parquet(str(tmp_path / "out/kind=record")).select(*good.columns)) == rows(good) and spark.read.parquet(str(tmp_path / "out/kind=malformed")).count() == bad.count()
+    raw = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "row_number int, v string")
+    kept, rejects = matching.first_error(raw, [("v", F.col("v").isNull(), "missing")])
+    assert intake.write_judged(kept, rejects, str(tmp_path / "judged")) == {"upserted": 2, "rejected": 1}
+    assert rows(spark.read.parquet(str(tmp_path / "judged/status=rejected")).select("row_number", "message")) == [(2, "missing")]
+
+
+def test_collated_keys_are_one(spark):
+    own = scalars.collated(spark.createDataFrame([("CON-1", "a", None), ("DET-2", "b", None)], "docket string, v string, w string"), "docket")
+    coming = scalars.collated(spark.createDataFrame([("con-1  ", None, "new"), ("det-3", "c", None)], "docket string, v string, w string"), "docket")
+    merged = records.merge(own, coming, ["docket"])
+    assert sorted((r.docket.lower().strip(), r.v, r.w) for r in merged.collect()) == [("con-1", "a", "new"), ("det-2", "b", None), ("det-3", "c", None)]
+    assert own.unionByName(coming).select("docket").distinct().count() == 3 and own.join(coming, "docket").count() == 1
+    assert records.unprocessed(coming, own.withColumn("status", F.lit("succeeded")), ["docket"]).count() == 1
+    assert own.unionByName(coming).groupBy("docket").count().where("count = 2").count() == 1
