@@ -43,6 +43,7 @@ class Known(dict):
 _powers = Known()
 PRIME, LOW31, LOW30, LOW29, LOW32 = (np.uint64((1 << k) - 1) for k in (61, 31, 30, 29, 32))
 LONG_WORD = 1 << 20
+SMALL, SMALL_RUN = 1 << 10, 1 << 21  # with powers' halves of 32 bits, sums stay under 2**63
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -76,9 +77,13 @@ def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint
     """Mixed polynomial hash of values[start:end] for each pair. Prefix sums are of halves, whose differences fit in 64 bits
     up to 2**32 values a run."""
     up, down = powers(base, len(values) + 1)
-    terms = times(reduced(values), up[: len(values)])
-    parts = []
-    for half in (terms >> np.uint64(32), terms & LOW32):
+    up, parts = up[: len(values)], []
+    if values.max(initial=0) < SMALL and (ends - starts).max(initial=0) < SMALL_RUN:  # bytes: their products fit as they are
+        halves = (values * (up >> np.uint64(32)), values * (up & LOW32))
+    else:
+        terms = times(reduced(values), up)
+        halves = (terms >> np.uint64(32), terms & LOW32)
+    for half in halves:
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(half, out=sums[1:])
         parts.append(sums[ends] - sums[starts])

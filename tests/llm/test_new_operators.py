@@ -245,6 +245,9 @@ def test_hashes_of_runs():
     starts, ends = np.array([0, 0, 5, 299, 7, 100]), np.array([0, 300, 9, 300, 290, 230])
     plain = [sum(int(v) * pow(base, k, p) for k, v in enumerate(values[s:e])) % p for s, e in zip(starts, ends, strict=True)]
     assert wh.runs(values, starts, ends, wh.RUN).tolist() == wh.mix(np.array(plain, np.uint64)).tolist()
+    few = np.array([rng.randrange(257) for _ in range(300)], np.uint64)  # as bytes are, which take a shorter way
+    plain = [sum(int(v) * pow(base, k, p) for k, v in enumerate(few[s:e])) % p for s, e in zip(starts, ends, strict=True)]
+    assert wh.runs(few, starts, ends, wh.RUN).tolist() == wh.mix(np.array(plain, np.uint64)).tolist()
     for left, right in (twins(1, 2, 1024), twins(3, 9, 4096)):
         x = np.array([*left, *right], np.uint64)
         h = wh.runs(x, np.array([0, len(left)]), np.array([len(left), len(x)]), wh.BASE)
