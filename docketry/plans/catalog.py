@@ -116,9 +116,9 @@ MATTER_FILTERS = {"county": ("county", "eq"), "applicant": ("applicant", "like")
 MATTER_SORTS = {"year_filed": "year_filed", "cost": "cost", "applicant": "applicant"}
 
 
-@query(f"WITH {MATTERS} SELECT docket_id, county, year_filed, final_outcome FROM matters WHERE lower(county) = 'france' AND year_filed >= 1996 AND year_filed <= 2000 AND final_outcome = 'Approved' ORDER BY year_filed DESC NULLS LAST, docket_id LIMIT 50 OFFSET 10")
+@query(f"WITH {MATTERS} SELECT docket_id, county, year_filed, final_outcome FROM matters WHERE lower(county) = 'nation_11' AND lower(applicant) LIKE '%customer%' AND year_filed >= 1996 AND year_filed <= 2000 AND final_outcome = 'Approved' AND cost >= 20000 ORDER BY year_filed DESC NULLS LAST, docket_id LIMIT 50 OFFSET 10")
 def matters_filtered_page(t):
-    wanted = {"county": "FRANCE", "year_from": 1996, "year_to": 2000, "outcome": "Approved", "applicant": None}
+    wanted = {"county": "Nation_11", "applicant": "CUSTOMER", "year_from": 1996, "year_to": 2000, "outcome": "Approved", "cost_from": 20000.0}
     rows = filters.where_all(t.matters, MATTER_FILTERS, wanted).select("docket_id", "county", "year_filed", "final_outcome")
     return filters.page(filters.order(rows, MATTER_SORTS, "-year_filed", ["docket_id"]), 50, 10)
 
@@ -468,29 +468,64 @@ def precedent_seed_bucket(t):
     return t.table("customer").select("c_custkey", s.seed_of("c_name").alias("seed"))
 
 
-FAMILY_SAMPLES = ["CON", "DET-EQT2024-", "det asc2025-", "LNR-ASC", "LNR.2026", "DETROIT ", "GA-20", "lnr_eqt_"]
+FAMILIES = {"CON": "CON", "DET": "DET", "LNR": "DET", "DET-EQT": "DET-EQT", "DET-ASC": "DET-ASC", "LNR-ASC": "LNR-ASC", "LNR-EQT": "LNR-EQT", "DETROIT": "CON", "GA": "CON", "LNREQT": "LNR-EQT", "DETASC": "DET-ASC"}
+SEPARATORS = ["-", " ", "_", ".", "–", " - "]
 
 
-@query("""SELECT p_partkey, CASE WHEN k IN (1) THEN 'DET-EQT' WHEN k = 2 THEN 'DET-ASC' WHEN k = 3 THEN 'LNR-ASC' WHEN k = 7 THEN 'LNR-EQT' WHEN k = 4 THEN 'DET' ELSE 'CON' END AS family FROM (SELECT p_partkey, p_partkey % 8 AS k FROM part)""")
+def picked(values, at):
+    return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+
+def literal(values) -> str:
+    return "[" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+@query(f"SELECT p_partkey, {literal(FAMILIES.values())}[p_partkey % {len(FAMILIES)} + 1] AS family FROM part")
 def family_classify(t):
-    raw = F.concat(F.element_at(F.array(*map(F.lit, FAMILY_SAMPLES)), (F.col("p_partkey") % 8 + 1).cast("int")), F.col("p_partkey").cast("string"))
-    return t.table("part").select("p_partkey", s.classify_family(raw).alias("family"))
+    """Each prefix with each separator, in either case, before a year and a number."""
+    key = F.col("p_partkey")
+    parted = F.replace(picked(list(FAMILIES), key), F.lit("-"), picked(SEPARATORS, F.floor(key / 11)))
+    raw = F.concat(parted, picked(SEPARATORS, F.floor(key / 66)), F.lit("2024"), key.cast("string"))
+    return t.table("part").select("p_partkey", s.classify_family(F.when(key % 2 == 0, raw).otherwise(F.lower(raw))).alias("family"))
 
 
-@query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 1000000 + 500000 WHEN 1 THEN o_orderkey * 1000 + 0.25 WHEN 2 THEN o_orderkey END AS DECIMAL(18, 2)) AS amount FROM orders")
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 10 WHEN 0 THEN o_orderkey * 1000000 + 500000 WHEN 1 THEN o_orderkey * 1000 + 0.25 WHEN 2 THEN o_orderkey WHEN 4 THEN o_orderkey * 1000 WHEN 5 THEN o_orderkey * 1000000 + 125000
+ WHEN 6 THEN o_orderkey WHEN 7 THEN o_orderkey * 1000000 WHEN 8 THEN o_orderkey + 0.1 WHEN 9 THEN o_orderkey * 1000000000 + 500000000 END AS DECIMAL(18, 2)) AS amount FROM orders""")
 def money_parse(t):
+    """Scaled, after a dollar sign and bare amounts, halves to even, and texts that hold none."""
+    shapes = ["about ${}.5 million", "${},000.25", "{}", None, "$ {} thousand", "{}.125M in all", "Cost: ${}.005", "$7 now, {} Million later", " {}.10 ", "{}.5B"]
     key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
-    raw = F.when(key % 4 == 0, F.concat(F.lit("about $"), text, F.lit(".5 million"))).when(key % 4 == 1, F.concat(F.lit("$"), text, F.lit(",000.25"))).when(key % 4 == 2, text).otherwise("n/a")
+    none = F.when(key % 20 < 10, F.lit("n/a")).otherwise(F.concat(text, F.lit(" miles")))
+    raw = F.coalesce(F.replace(picked(shapes, key), F.lit("{}"), text), none)
     return t.table("orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", s.money("raw").alias("amount"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Ambulatory surgery — single-specialty' WHEN 1 THEN 'NICU/perinatal' END AS service, CASE o_orderkey % 2 WHEN 0 THEN 'DeKalb' ELSE 'Ben Hill' END AS county FROM orders")
+def spelt(value: str) -> list[str]:
+    """Ways in which a code may be written, and one that is none."""
+    wide = "  ".join(value.split(" "))
+    return [value, f" {wide.upper()} ", wide.lower().replace("/", " / "), value.replace("—", "-").replace("–", "—"), value + "x"]
+
+
+WAYS = 5
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % {WAYS} < 4 THEN {literal(vocabulary.SERVICE_TYPES)}[(o_orderkey // {WAYS}) % {len(vocabulary.SERVICE_TYPES)} + 1] END AS service,
+ CASE WHEN o_orderkey % {WAYS} < 4 THEN {literal(vocabulary.COUNTIES)}[(o_orderkey // {WAYS}) % {len(vocabulary.COUNTIES)} + 1] END AS county FROM orders""")
 def vocab_match(t):
+    """Every service type and county, each in five spellings, one of them wrong."""
     key = F.col("o_orderkey")
-    raw = t.table("orders").select("o_orderkey", F.when(key % 3 == 0, "  ambulatory  SURGERY - single-specialty ").when(key % 3 == 1, "nicu / Perinatal").otherwise("nicu perinatal").alias("s"), F.when(key % 2 == 0, "DE KALB county").otherwise("ben-hill").alias("c"))
+    at, way = F.floor(key / WAYS), key % WAYS
+    services = F.get(picked_list([spelt(x) for x in vocabulary.SERVICE_TYPES], at), way.cast("int"))
+    name = picked(vocabulary.COUNTIES, at)
+    county = F.when(way == 0, name).when(way == 1, F.concat(F.upper(name), F.lit(" COUNTY "))).when(way == 2, F.replace(F.lower(name), F.lit(" "), F.lit("-"))).when(way == 3, F.replace(name, F.lit(" "), F.lit(""))).otherwise(F.concat(name, F.lit("x")))
+    raw = t.table("orders").select("o_orderkey", services.alias("s"), county.alias("c"))
     return raw.select("o_orderkey", s.match_vocabulary("s", vocabulary.SERVICE_TYPES).alias("service"), s.match_county("c").alias("county"))
 
 
+def picked_list(values, at):
+    return F.element_at(F.array(*[F.array(*map(F.lit, v)) for v in values]), (at % len(values) + 1).cast("int"))
+
+
 @query("SELECT o_orderkey AS row_number, CASE WHEN o_orderkey % 5 = 0 THEN 'year_filed' ELSE 'bed_count' END AS field, CASE WHEN o_orderkey % 5 = 0 THEN 'not a year' ELSE 'not a number' END AS message, 'x' || o_orderkey AS raw_value FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
 def reject_first_error(t):
     key = F.col("o_orderkey")
