@@ -65,6 +65,17 @@ def median_days(starts: DataFrame, ends: DataFrame, key: str, start: str, end: s
     return days.agg(F.median("d").alias("median_days"), F.count("*").alias("sample_size"))
 
 
+def median_by(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, median, sample_size) of a value, as of the days that stages of a proceeding take; null values don't count."""
+    return df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.median(value).alias("median"), F.count("*").alias("sample_size"))
+
+
+def change_activity(log: DataFrame, by: str = "detected_at") -> DataFrame:
+    """By day of the change log: changes, those of documents in scope, and those that put a document back to Unvalidated."""
+    flags = {"in_scope_changes": "in_scope", "revalidations": "revalidation_flagged"}
+    return log.groupBy(F.to_date(by).alias("day")).agg(F.count("*").alias("changes"), *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(n) for n, c in flags.items()])
+
+
 def audit(df: DataFrame, status: str, required: Sequence[str]) -> DataFrame:
     """One row: rows by validation status, and rows that lack a required column."""
     total = F.count("*").cast("long")

@@ -88,6 +88,20 @@ def bi_change_activity(t):
     return recent.groupBy("section", "report_date").agg(F.count("*").alias("n"), F.countDistinct("docket_id").alias("dockets"))
 
 
+@query(f"WITH {MATTERS} SELECT 'Stage ' || l_linenumber AS stage_label, county, median(date_diff('day', filed, CAST(l_shipdate AS DATE))) AS median, count(*) AS sample_size FROM lineitem JOIN matters ON l_orderkey = docket_id GROUP BY ALL")
+def stage_durations(t):
+    stages = t.table("lineitem").select(F.col("l_orderkey").alias("docket_id"), F.concat(F.lit("Stage "), F.col("l_linenumber").cast("string")).alias("stage_label"), F.to_date("l_shipdate").alias("at"))
+    taken = stages.join(t.matters, "docket_id").withColumn("duration_days", F.date_diff("at", "filed"))
+    return statistics.median_by(taken, ["stage_label", "county"], "duration_days")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS changes, count(*) FILTER (event_id % 3 = 0) AS in_scope_changes, count(*) FILTER (event_id % 3 = 0 AND event_type = 'error') AS revalidations FROM events GROUP BY 1")
+def change_activity(t):
+    scoped = F.when(F.col("event_id") % 3 == 0, True)
+    log = t.table("events").select(F.col("ts").alias("detected_at"), scoped.alias("in_scope"), (scoped & (F.col("event_type") == "error")).alias("revalidation_flagged"))
+    return statistics.change_activity(log)
+
+
 @query("SELECT count(*) AS documents, count(DISTINCT l.doc_id) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def coverage_counts(t):
     own = t.table("labels").withColumn("known", F.col("doc_id"))
