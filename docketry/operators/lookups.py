@@ -42,6 +42,26 @@ DOCUMENT_FILTERS = {
     "ocr_status": ("ocr_status", "eq"),
     "duplicate_of": ("duplicate_of", "eq"),
 }
+# Parameters of the matter list by (column, kind), those that ask a child table by its column, and sorted columns.
+MATTER_FILTERS = {
+    "docket_id": ("docket_id", "eq"),
+    "applicant": ("applicant", "like"),
+    "facility": ("facility", "like"),
+    "matter_type": ("matter_type", "eq"),
+    "action_type": ("action_type", "eq"),
+    "county": ("county", "eq"),
+    "service_area": ("service_area", "like"),
+    "bed_count_min": ("bed_count", "gte"),
+    "bed_count_max": ("bed_count", "lte"),
+    "year_filed": ("year_filed", "eq"),
+    "final_outcome": ("final_outcome", "eq"),
+    "final_decision_date_from": ("final_decision_date", "gte"),
+    "final_decision_date_to": ("final_decision_date", "lte"),
+    "highest_review_level": ("highest_review_level", "eq"),
+}
+MATTER_CHILDREN = {"service_type": "service_type", "phase": "phase", "docket_variant": "variant"}
+MATTER_SORTS = ["docket_id", "applicant", "facility", "matter_type", "action_type", "county", "bed_count", "year_filed", "final_outcome", "final_decision_date", "highest_review_level", "created_at", "updated_at"]
+MATTER_TEXTS = ["applicant", "facility", "service_area"]
 DOCUMENT_TEXTS = ["title", "file_name", "decision_maker"]
 # Docket types of a search scope; null is all.
 SCOPES = {"all": None, "CON": ["CON"], "DET": ["DET", "DET-EQT", "DET-ASC"], "equipment": ["DET-EQT", "LNR-EQT"], "asc": ["DET-ASC", "LNR-ASC"]}
@@ -49,6 +69,33 @@ SCOPES = {"all": None, "CON": ["CON"], "DET": ["DET", "DET-EQT", "DET-ASC"], "eq
 COURTS = {"Ga. Ct. App.": 1, "Ga. Sup. Ct.": 2, "Superior Court": 3, "OSAH": 4}
 
 
+def matters_wanted(matters: DataFrame, children: Mapping[str, DataFrame], wanted: Mapping[str, object]) -> DataFrame:
+    """Matters for which all wanted parameters hold. ``children`` has the table (docket_id, column) of each parameter of
+    ``MATTER_CHILDREN``; ``completeness_flag`` asks the JSON array ``completeness_flags``. Nulls ask nothing, unknown parameters
+    raise ``KeyError``."""
+    own = {k: v for k, v in wanted.items() if k not in MATTER_CHILDREN and k != "completeness_flag"}
+    rows = filters.where_all(matters, MATTER_FILTERS, own)
+    for name, column in MATTER_CHILDREN.items():
+        if wanted.get(name) is not None:
+            rows = filters.having_child(rows, children[name], "docket_id", column, wanted[name])
+    flag = wanted.get("completeness_flag")
+    return filters.with_flag(rows, "completeness_flags", flag) if flag is not None else rows
+
+
+def matters_page(matters: DataFrame, children: Mapping[str, DataFrame], wanted: Mapping[str, object], q: str | None = None, ranks: DataFrame | None = None, sort: str | None = None, limit: int = filters.LIMIT, offset: int = 0) -> DataFrame:
+    """One page of the matter list. A text query keeps the matters that ``ranks`` (docket_id, score) of a full-text search has, best
+    first unless ``sort`` says otherwise; without ranks those whose texts contain it."""
+    rows = matters_wanted(matters, children, wanted)
+    if q and q.strip() and ranks is None:
+        rows = filters.like_any(rows, [c for c in MATTER_TEXTS if c in matters.columns], q.strip())
+    elif q and q.strip():
+        rows = rows.join(ranks.select("docket_id", "score"), "docket_id")
+        if not sort:
+            return filters.page(rows.orderBy(F.desc("score"), "docket_id"), limit, offset)
+    sorts = {c: c for c in MATTER_SORTS if c in matters.columns}
+    return filters.page(filters.order(rows, sorts, sort or "docket_id", ["docket_id"]), limit, offset)
+
+
 def documents_page(documents: DataFrame, wanted: Mapping[str, object], q: str | None = None, sort: str = "entry_id", limit: int = filters.LIMIT, offset: int = 0) -> DataFrame:
     """One page of the documents for which all wanted parameters hold and, with ``q``, one of the texts contains it."""
     rows = filters.where_all(documents, DOCUMENT_FILTERS, wanted)

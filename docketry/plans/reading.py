@@ -22,6 +22,57 @@ def documents_filtered_page(t):
     return lookups.documents_page(rows, wanted, "ITEM 1", "-doc_date", 100, 20).select("entry_id", "docket_id", "doc_date", "page_count")
 
 
+MATTER_ROWS = f"""{MATTERS}, rows_ AS (SELECT *, 'Center ' || custkey AS facility, family AS matter_type, 'Type ' || docket_id % 3 AS action_type, county || ', ' || family AS service_area,
+ CAST(docket_id % 90 AS INT) AS bed_count, filed + 100 AS final_decision_date, CASE WHEN docket_id % 2 = 0 THEN 'stub' ELSE 'full' END AS flag FROM matters)"""
+
+
+def matter_rows(t):
+    key = F.col("docket_id")
+    flags = F.to_json(F.array(F.lit("x"), F.when(key % 2 == 0, "stub").otherwise("full")))
+    own = {"facility": F.concat(F.lit("Center "), F.col("custkey").cast("string")), "matter_type": F.col("family"), "action_type": F.concat(F.lit("Type "), (key % 3).cast("string")), "service_area": F.concat("county", F.lit(", "), "family")}
+    return t.matters.withColumns(own | {"bed_count": (key % 90).cast("int"), "final_decision_date": F.date_add("filed", 100), "completeness_flags": flags})
+
+
+def matter_children(t):
+    phases = t.filings.select("docket_id", F.concat(F.lit("Phase "), "doc_type").alias("phase"))
+    return {"service_type": t.services, "phase": phases, "docket_variant": t.matters.select("docket_id", F.concat(F.lit("con-"), (F.col("docket_id") % 50).cast("string")).alias("variant"))}
+
+
+@query(f"""WITH {MATTER_ROWS} SELECT docket_id, county, bed_count, final_decision_date FROM rows_ m WHERE lower(applicant) LIKE '%customer%' AND lower(facility) LIKE '%center 1%' AND lower(matter_type) = 'building' AND lower(action_type) = 'type 1'
+ AND lower(service_area) LIKE '%nation%' AND bed_count >= 5 AND bed_count <= 80 AND final_outcome = 'Approved' AND final_decision_date >= DATE '1996-01-01' AND final_decision_date <= DATE '2000-12-31' AND highest_review_level = 2
+ AND flag = 'full' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = docket_id AND l_returnflag = 'A') ORDER BY final_decision_date DESC NULLS LAST, docket_id LIMIT 500""")
+def matters_many_filters(t):
+    wanted = {"applicant": "customer", "facility": "CENTER 1", "matter_type": "building", "action_type": "type 1", "service_area": "Nation", "bed_count_min": 5, "bed_count_max": 80, "year_filed": None, "final_outcome": "approved", "final_decision_date_from": DAY("1996-01-01"), "final_decision_date_to": DAY("2000-12-31"), "highest_review_level": 2, "phase": "phase a", "completeness_flag": "full"}
+    return lookups.matters_page(matter_rows(t), matter_children(t), wanted, sort="-final_decision_date", limit=500).select("docket_id", "county", "bed_count", "final_decision_date")
+
+
+@query(f"""WITH {MATTER_ROWS}, p AS (SELECT docket_id, unnest(list_filter(regexp_split_to_array(lower(service_area), '[^a-z0-9]+'), lambda x: x != '')) AS token FROM rows_), tf AS (SELECT token, docket_id, count(*) AS tf FROM p WHERE starts_with(token, '1') OR starts_with(token, 'mach') GROUP BY ALL),
+ df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT docket_id, round(sum(tf * ln(1 + (SELECT count(*) FROM matters) / df)), 6) AS score FROM tf JOIN df USING (token) GROUP BY 1 HAVING count(DISTINCT substr(token, 1, 1)) = 2)
+ SELECT docket_id, county, score FROM rows_ JOIN r USING (docket_id) WHERE final_outcome = 'Denied' AND docket_id % 50 = 7 ORDER BY score DESC, docket_id LIMIT 100""")
+def matters_ranked(t):
+    """A full-text search's ranks joined back to the records, with filters."""
+    from docketry.operators import search
+
+    rows = matter_rows(t)
+    ranks = search.prefix_search(rows, "docket_id", "service_area", "1 mach", 1 << 30)
+    return lookups.matters_page(rows, matter_children(t), {"final_outcome": "Denied", "docket_variant": "CON-7"}, "1 mach", ranks, limit=100).select("docket_id", "county", "score")
+
+
+@query(f"WITH {FILINGS} SELECT entry_id FROM filings WHERE contains(lower('[\"Party ' || partkey || '\",\"State\"]'), 'party 12') ORDER BY entry_id LIMIT 500")
+def documents_by_party(t):
+    parties = F.to_json(F.array(F.concat(F.lit("Party "), F.col("partkey").cast("string")), F.lit("State")))
+    return lookups.documents_page(t.filings.withColumn("parties", parties), {"party": "Party 12"}, limit=500).select("entry_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{\"lang\":\"' || lang || '\"}' WHEN doc_id % 3 = 1 THEN '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' ELSE '{\"n\":' || n_chars || '}' END AS record FROM documents")
+def compact_records(t):
+    from docketry.sources import readers
+
+    key = F.col("doc_id")
+    record = F.struct(F.when(key % 3 != 2, F.col("lang")).alias("lang"), F.when(key % 3 != 0, F.col("n_chars")).alias("n"))
+    return t.table("documents").select("doc_id", readers.compact_json(record).alias("record"))
+
+
 @query(f"WITH {MATTERS}, {FILINGS} SELECT docket_id, applicant, count(entry_id) AS n, string_agg(CAST(entry_id AS VARCHAR), ';' ORDER BY doc_date DESC, entry_id) AS entries FROM matters LEFT JOIN filings USING (docket_id) GROUP BY 1, 2")
 def docket_documents(t):
     order = F.array_sort(F.collect_list(F.struct((-F.unix_date("doc_date")).alias("d"), "entry_id")))
