@@ -2,7 +2,7 @@
 
 A line is normalised to its words of letters and digits, A-Z in lower case, joined by a blank. Lines of equal normal
 form are one line from the start. A line's features are its distinct words and the joints between them (three characters
-on either side), of which one edit changes two or three; normal forms of at most ``SHORT`` bytes also have character
+on either side), of which one edit changes two or three; normal forms of at most ``SHORT`` code points also have character
 3-grams. Lines meet under blocks of their 64-bit SimHashes (pigeonhole: no pair within ``NEAR`` bits is missed there)
 and, since few edits change more bits than that, under ``BANDS`` keys of ``TAKEN`` least features each, for either kind
 of features. Those that meet and whose SimHashes differ in at most ``BITS`` bits are candidates, and link where the edit
@@ -32,10 +32,10 @@ from docketry.llm.common import block_tasks, components, cut, groups, kind_of, m
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
 BITS, SIMILARITY = 22, 0.8
-FEW, FEWER_BITS = 24, 4  # lines of more bytes have more features, so their SimHashes vary less: that many bits fewer
+FEW, FEWER_BITS = 24, 4  # longer lines have more features, so their SimHashes vary less: that many bits fewer
 NEAR, BLOCKS, BANDS, TAKEN, SHORT = 1, 2, 10, 3, 100
 SIG, LONG_WORD, LONG_JOINT = 12 + 4 * BANDS, 6, 10
-LENGTHS = 65  # percent; bytes of forms that are similar in characters differ by more where scripts mix
+LENGTHS = 80  # percent: an edit similarity is at most the shorter form's code points over the longer's
 ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63, TAKEN * BANDS)]
 BLOCK_ROWS, LINES_SENT = 1024, 2_000_000
 MARKS = np.zeros(256, bool)
@@ -141,8 +141,9 @@ def minima(line: np.ndarray, value: np.ndarray, telling: np.ndarray, salt: int,
 
 
 def form_lengths(words: Words) -> np.ndarray:
-    """Bytes of each line's normal form."""
-    total = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+    """Code points of each line's normal form."""
+    points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+    total = np.concatenate([[0], np.cumsum(points[words.ends] - points[words.starts] + 1)])
     return np.maximum(total[words.first[1:]] - total[words.first[:-1]] - 1, 0)
 
 
@@ -209,13 +210,13 @@ def keyed_rows(masks: list[int]):
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether lengths are near enough for the edit similarity, with some room for characters of several bytes."""
+    """Whether lengths are near enough for the edit similarity."""
     return 100 * np.minimum(a, b).astype(np.int64) >= LENGTHS * np.maximum(a, b)
 
 
 def reach(key: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
     """Bits in which SimHashes may differ: ``NEAR`` where blocks of them are the key, which agree in lines of no likeness
-    too; else ``bits``, and fewer for lines of more than ``FEW`` bytes."""
+    too; else ``bits``, and fewer for lines of more than ``FEW`` code points."""
     return np.where(key & 1, min(NEAR, bits), np.where(size <= FEW, bits, max(bits - FEWER_BITS, 0)))
 
 
@@ -397,6 +398,8 @@ def verified(forms: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 
 def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, mark, lines): numbers of the lines of a document that repeat an earlier occurrence."""
+    if 100 * similarity < LENGTHS:
+        raise ValueError(f"lines are sought by lengths that hold for a similarity of {LENGTHS} percent or more")
     rows = cut(scanned(docs))
     lines = rows.select("doc_id", "mark", F.explode(F.arrays_zip("line", "hi", "lo", "sig")).alias("l")).select("doc_id", "mark", "l.*")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark", "line")

@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("docketry.llm")
 
-from docketry.llm import infill, ngram_join, quality, substrings, whitening  # noqa: E402
+from docketry.llm import infill, lines, ngram_join, quality, substrings, whitening  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, key string, n long, form string, kept boolean, output string, n_words long"
 VECTORS = "vec_id long, embedding array<float>, label int, key string, x long, n long, dims int, whitened double"
@@ -255,3 +255,15 @@ def test_hashes_of_runs():
     long = ["x" * wh.LONG_WORD + c for c in "aba"]
     (found,) = [wh.Words(d, o).hash for _, d, o in wh.chunks(pa.array([" ".join(long)]), 1 << 23)]
     assert found[0] == found[2] != found[1]
+
+
+def test_lines_are_measured_in_code_points(spark):
+    from docketry.llm import word_hash as wh
+
+    texts = ["abcdefghij", "abcdefgh\U00010400\U00010401", "\U00010400\U00010401 é漢", "a--b", ""]
+    data = "".join(texts).encode()
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = lines.form_lengths(wh.Words(np.frombuffer(data, np.uint8), ends, wh.LOWER, lines.MARKS))
+    assert found.tolist() == [10, 10, 5, 3, 0] and lines.alike(found[:1], found[1:2]).all()
+    with pytest.raises(ValueError):
+        lines.line_digests(documents(spark, [(1, "x")]), similarity=0.7)
