@@ -267,3 +267,15 @@ def test_lines_are_measured_in_code_points(spark):
     assert found.tolist() == [10, 10, 5, 3, 0] and lines.alike(found[:1], found[1:2]).all()
     with pytest.raises(ValueError):
         lines.line_digests(documents(spark, [(1, "x")]), similarity=0.7)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from docketry.llm import catalog
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
+    rows = catalog.QUERIES["op4_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    area = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
+    caught = sum(r.predicted for r in rows if r.toxic)
+    assert area > 0.98 and caught / len(bad) > 0.9 and sum(r.predicted for r in rows) - caught <= 0.02 * caught
