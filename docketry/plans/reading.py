@@ -22,6 +22,47 @@ def documents_filtered_page(t):
     return lookups.documents_page(rows, wanted, "ITEM 1", "-doc_date", 100, 20).select("entry_id", "docket_id", "doc_date", "page_count")
 
 
+@query("""WITH d AS (SELECT o_orderkey AS entry_id, o_custkey AS docket_id, 'Case ' || o_orderkey AS title FROM orders),
+ c AS (SELECT l_orderkey * 10 + l_linenumber AS citation_id, l_orderkey AS citing, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS cited, CASE WHEN l_partkey % 3 = 1 THEN CAST(l_suppkey AS VARCHAR) END AS statute,
+  CASE WHEN l_partkey % 3 = 2 THEN 'Ext ' || l_partkey END AS ext, CASE l_returnflag WHEN 'A' THEN 'Followed' WHEN 'R' THEN 'Reversed' WHEN 'N' THEN 'Criticized' END AS treatment, CASE WHEN l_linenumber % 2 = 0 THEN 'at ' || l_linenumber END AS pinpoint, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey % 25 END AS topic FROM lineitem),
+ r AS (SELECT o_orderkey AS entry_id, o_orderkey || ' R. 1' AS cite FROM orders WHERE o_orderkey % 2 = 0),
+ f AS (SELECT cited, count(*) AS citing, count(*) FILTER (treatment = 'Followed') AS positive, count(*) FILTER (treatment = 'Criticized') AS caution, count(*) FILTER (treatment = 'Reversed') AS negative FROM c WHERE cited IS NOT NULL GROUP BY 1)
+ SELECT entry_id, 'flag' AS part, k AS position, ['Citing', 'Positive', 'Cautionary', 'Negative'][k + 1] AS label, coalesce([citing, positive, caution, negative][k + 1], 0) AS count, NULL AS kind, NULL AS target, NULL AS title, NULL AS cite, NULL AS pinpoint, NULL AS treatment, NULL AS level, NULL AS badge, NULL AS docket, NULL AS snippet, NULL AS key_number
+ FROM d LEFT JOIN f ON f.cited = d.entry_id, (SELECT unnest(range(4)) AS k)
+ UNION ALL SELECT c.cited, 'citing', citation_id, NULL, NULL, NULL, CAST(c.citing AS VARCHAR), e.title, r.cite, pinpoint, treatment, CASE treatment WHEN 'Followed' THEN 'positive' WHEN 'Criticized' THEN 'caution' WHEN 'Reversed' THEN 'negative' ELSE 'neutral' END, c_mktsegment,
+  CASE WHEN c.citing % 5 = 0 THEN 'S' || c.citing ELSE CAST(e.docket_id AS VARCHAR) END, 'held', n_name
+  FROM c JOIN d ON d.entry_id = c.cited JOIN d e ON e.entry_id = c.citing LEFT JOIN customer ON c_custkey = e.docket_id LEFT JOIN nation ON n_nationkey = topic LEFT JOIN r ON r.entry_id = c.citing
+ UNION ALL SELECT c.citing, 'authority', citation_id, NULL, NULL, CASE WHEN c.cited IS NOT NULL THEN 'case' WHEN statute IS NOT NULL THEN 'stat' ELSE 'external' END, coalesce(CAST(c.cited AS VARCHAR), statute),
+  CASE WHEN c.cited IS NOT NULL THEN d.title WHEN statute IS NOT NULL THEN 'Sec ' || s_suppkey || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' — ' || s_name END ELSE ext END,
+  CASE WHEN c.cited IS NOT NULL THEN r.cite WHEN statute IS NOT NULL THEN CASE WHEN s_nationkey % 2 = 0 THEN 'Ga. Code Ann.' ELSE 'Ga. Comp. R. & Regs.' END END, pinpoint, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM c LEFT JOIN d ON d.entry_id = c.cited LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = statute LEFT JOIN r ON r.entry_id = c.cited WHERE c.citing IN (SELECT entry_id FROM d)""")
+def citator_report(t):
+    orders, items, part, key = t.table("orders"), t.table("lineitem"), F.col("l_partkey"), F.col("o_orderkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    treatment = F.when(F.col("l_returnflag") == "A", "Followed").when(F.col("l_returnflag") == "R", "Reversed").when(F.col("l_returnflag") == "N", "Criticized")
+    citations = items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("citation_id"),
+        F.col("l_orderkey").alias("citing_entry_id"),
+        F.when(part % 3 == 0, part).alias("cited_entry_id"),
+        F.when(part % 3 == 1, F.col("l_suppkey").cast("string")).alias("cited_statute_id"),
+        F.when(part % 3 == 2, text("Ext ", "l_partkey")).alias("cited_external"),
+        treatment.alias("treatment"),
+        F.when(F.col("l_linenumber") % 2 == 0, text("at ", "l_linenumber")).alias("pinpoint"),
+        F.lit("held").alias("snippet"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey") % 25).alias("topic_id"),
+    )
+    suppliers = t.table("supplier")
+    return graphs.citator_report(
+        citations,
+        orders.select(key.alias("entry_id"), F.col("o_custkey").alias("docket_id"), text("Case ", "o_orderkey").alias("title")),
+        t.table("customer").select(F.col("c_custkey").alias("docket_id"), F.col("c_mktsegment").alias("docket_family")),
+        orders.where(key % 5 == 0).select(key.alias("entry_id"), text("S", "o_orderkey").alias("court_docket_no")),
+        t.table("nation").select(F.col("n_nationkey").alias("topic_id"), F.col("n_name").alias("key_number")),
+        suppliers.select(F.col("s_suppkey").cast("string").alias("statute_id"), F.when(F.col("s_nationkey") % 2 == 0, "OCGA").otherwise("RULE").alias("kind"), text("Sec ", "s_suppkey").alias("citation_label"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).alias("title")),
+        orders.where(key % 2 == 0).select(key.alias("entry_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("cite_id")).select("entry_id", "cite_id", F.concat(F.col("entry_id").cast("string"), F.lit(" R. "), F.col("cite_id").cast("string")).alias("citation")),
+    )
+
+
 MATTER_ROWS = f"""{MATTERS}, rows_ AS (SELECT *, 'Center ' || custkey AS facility, family AS matter_type, 'Type ' || docket_id % 3 AS action_type, county || ', ' || family AS service_area,
  CAST(docket_id % 90 AS INT) AS bed_count, filed + 100 AS final_decision_date, CASE WHEN docket_id % 2 = 0 THEN 'stub' ELSE 'full' END AS flag FROM matters)"""
 
