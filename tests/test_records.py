@@ -98,7 +98,7 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     run()
     run()
     assert rows(table.read()) == [(1, "a"), (2, "b"), (3, "c")]
-    assert rows(ledger.read().select("batch_id", "status", "rows")) == [(0, "succeeded", 2), (1, "succeeded", 2)]
+    assert rows(ledger.read().select(F.substring_index("file", "/", -1), "status", "attempt", "rows")) == [("a.json", "succeeded", 1, 2), ("b.json", "succeeded", 1, 2)]
 
 
 def test_snapshots_log_changes(spark, tmp_path):
