@@ -9,7 +9,9 @@ of features. Those that meet and whose SimHashes differ in at most ``BITS`` bits
 distance of the normal forms is at most a fifth of the longer one. What part of such pairs is found: README. Of each group of linked lines the first occurrence (by id, nulls last, then text digest and line number) stays.
 
 As copies come in thousands, each line is first verified against one near leader it shares a key with; pairs are
-then sought between different components alone, in blocks of large keys.
+then sought between different components alone, in blocks of large keys. There the lines' wide SimHashes (``WIDE`` words of
+64 bits) decide too: 64 bits alone can't tell lines that share half their features from lines that share four fifths, and
+the former, lines around one passage, come in pairs by the square.
 
 Edge cases: lines without letters and digits are never duplicates and stay; null texts have no lines and stay null;
 rows that repeat id and text are one document and get the same result; an empty table gives no rows; a document whose
@@ -37,7 +39,10 @@ NEAR, BLOCKS, BANDS, TAKEN, SHORT = 1, 2, 10, 3, 100
 SIG, LONG_WORD, LONG_JOINT = 12 + 4 * BANDS, 6, 10
 LENGTHS = 80  # percent: an edit similarity is at most the shorter form's code points over the longer's
 ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63, TAKEN * BANDS)]
-BLOCK_ROWS, LINES_SENT = 1024, 2_000_000
+WIDE, WIDE_BITS, WIDE_BITS_FEW = 4, 68, 88  # of 256: a share s of equal features differs in acos(s) / pi of the bits on average
+SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(31).integers(1, 1 << 63, WIDE)]
+WIDE_COLUMNS = [f"w{k}" for k in range(2 * WIDE)]  # by words and joints, then by 3-grams
+BLOCK_ROWS, PAIRS, LINES_SENT = 1024, 65_536, 2_000_000
 MARKS = np.zeros(256, bool)
 MARKS[:128] = True
 MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -167,6 +172,28 @@ def signatures(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return sims, shorts, minima(*own, 1, lines), minima(*grams, 2, lines)
 
 
+def wide_signatures(words: Words, wanted: np.ndarray) -> np.ndarray:
+    """Wide SimHashes of the ``wanted`` lines (distinct, ascending): ``WIDE`` columns by words and joints and as many by 3-grams, which are 0 in
+    lines over ``SHORT``."""
+    out = np.zeros((len(words.first) - 1, 2 * WIDE), np.uint64)
+    length = form_lengths(words)
+    some = np.zeros(len(out), bool)
+    some[wanted] = True
+    for kind, (line, value, telling) in enumerate((line_features(words), short_features(words, np.flatnonzero(some & (length > 0) & (length <= SHORT))))):
+        kept = some[line]
+        line, value = line[kept], value[kept]
+        for k, seed in enumerate(SEEDS):
+            summed(line, mix(value ^ seed), telling, out[:, kind * WIDE + k])
+    return out[wanted]
+
+
+def wide_near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether wide SimHashes (rows of ``a`` and ``b``) are near by words and joints, or by 3-grams where both lines have them."""
+    most = np.where(np.maximum(size_a, size_b) <= FEW, WIDE_BITS_FEW, WIDE_BITS)
+    apart = np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int32)
+    return (apart[:, :WIDE].sum(axis=1) <= most) | ((np.maximum(size_a, size_b) <= SHORT) & (apart[:, WIDE:].sum(axis=1) <= most))
+
+
 def packed(words: Words, kept: np.ndarray) -> pa.Array:
     """Signatures of the ``kept`` lines as bytes: SimHash, length and bands by words, and for short lines those by 3-grams."""
     sims, shorts, bands, short_bands = signatures(words)
@@ -292,8 +319,8 @@ def shared_keys(bits: int):
 
 
 def near_pairs(bits: int):
-    """mapInArrow function over rows (key, i, j, block, id, comp, sim, size) sorted by the first three: pairs of different
-    components whose SimHashes are near."""
+    """mapInArrow function over rows (key, i, j, block, id, comp, sim, size, wide columns) sorted by the first three: pairs of
+    different components whose SimHashes are near, the wide ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -310,8 +337,12 @@ def near_pairs(bits: int):
             left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(own)),) * 2
             near = (np.bitwise_count((sim[left][:, None] ^ sim[right][None, :]).view(np.uint64)) <= reach(np.int64(columns[0][0].as_py()), size[left][:, None], bits)) & (comp[left][:, None] != comp[right][None, :]) & alike(size[left][:, None], size[right][None, :])
             x, y = np.nonzero(near)
+            x, y = left[x], right[y]
+            wide = np.stack([c.to_numpy() for c in columns[8:]], axis=1)
+            close = np.concatenate([wide_near(wide[x[k : k + PAIRS]], wide[y[k : k + PAIRS]], size[x[k : k + PAIRS]], size[y[k : k + PAIRS]]) for k in range(0, max(len(x), 1), PAIRS)])
+            x, y = x[close], y[close]
             if len(x):
-                held.append((own[left[x]], own[right[y]]))
+                held.append((own[x], own[y]))
                 many += len(x)
             if many > 500_000:
                 yield made()
@@ -323,7 +354,7 @@ def near_pairs(bits: int):
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, normal form) of the lines in ``wanted`` (id, place struct<unknown, doc_id, mark, line>)."""
+    """(id, form: normal form, wide SimHashes) of the lines in ``wanted`` (id, place struct<unknown, doc_id, mark, line>)."""
     at = cut(wanted.groupBy(F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m")).agg(F.collect_list(F.struct("place.line", "id")).alias("lines")))
     sent = (at.agg(F.sum(F.size("lines"))).first()[0] or 0) <= LINES_SENT
     named = docs.select("doc_id", mark(F.col("text")).alias("mark"), "text")
@@ -340,9 +371,11 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 line = parts.field(0).to_numpy() + first[np.repeat(np.arange(many), lists.value_lengths().to_numpy())]
                 starts, ends = words.starts.tolist(), words.ends.tolist()
                 texts = [b" ".join([low[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)]) for a, b in zip(words.first[line].tolist(), words.first[line + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([parts.field(1), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "form"])
+                wanted, where = np.unique(line, return_inverse=True)
+                wide = wide_signatures(words, wanted)[where].view(np.int64)
+                yield pa.RecordBatch.from_arrays([parts.field(1), pa.array(texts, pa.binary()).cast(pa.string()), *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["id", "form", *WIDE_COLUMNS])
 
-    return both.select("text", "lines").mapInArrow(run, "id bigint, form string").dropDuplicates(["id"])
+    return both.select("text", "lines").mapInArrow(run, f"id bigint, form string, {', '.join(f'{w} bigint' for w in WIDE_COLUMNS)}").dropDuplicates(["id"])
 
 
 def common_length(a: str, b: str) -> int:
@@ -411,7 +444,8 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     links = cut(verified(forms, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), similarity))
     comps = components(links)
     placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size")
+    placed = placed.join(forms.select("id", *WIDE_COLUMNS), "id")
+    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", *WIDE_COLUMNS)
     more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
     joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
