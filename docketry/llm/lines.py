@@ -173,14 +173,14 @@ def signatures(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def wide_signatures(words: Words, wanted: np.ndarray) -> np.ndarray:
-    """Wide SimHashes of the ``wanted`` lines (distinct, ascending): ``WIDE`` columns by words and joints and as many by 3-grams, which are 0 in
-    lines over ``SHORT``."""
+    """Wide SimHashes of the ``wanted`` lines (distinct, ascending): ``WIDE`` columns by words and joints, 0 in lines whose partners all have
+    3-grams, and as many by 3-grams, 0 in lines over ``SHORT``."""
     out = np.zeros((len(words.first) - 1, 2 * WIDE), np.uint64)
     length = form_lengths(words)
-    some = np.zeros(len(out), bool)
+    some, worded = np.zeros(len(out), bool), 100 * length > LENGTHS * SHORT
     some[wanted] = True
     for kind, (line, value, telling) in enumerate((line_features(words), short_features(words, np.flatnonzero(some & (length > 0) & (length <= SHORT))))):
-        kept = some[line]
+        kept = some[line] & worded[line] if kind == 0 else some[line]
         line, value = line[kept], value[kept]
         for k, seed in enumerate(SEEDS):
             summed(line, mix(value ^ seed), telling, out[:, kind * WIDE + k])
@@ -188,10 +188,11 @@ def wide_signatures(words: Words, wanted: np.ndarray) -> np.ndarray:
 
 
 def wide_near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Whether wide SimHashes (rows of ``a`` and ``b``) are near by words and joints, or by 3-grams where both lines have them."""
-    most = np.where(np.maximum(size_a, size_b) <= FEW, WIDE_BITS_FEW, WIDE_BITS)
+    """Whether wide SimHashes (rows of ``a`` and ``b``) are near by 3-grams where both lines have them, or by words and joints where both have those."""
+    longer, shorter = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
+    most = np.where(longer <= FEW, WIDE_BITS_FEW, WIDE_BITS)
     apart = np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int32)
-    return (apart[:, :WIDE].sum(axis=1) <= most) | ((np.maximum(size_a, size_b) <= SHORT) & (apart[:, WIDE:].sum(axis=1) <= most))
+    return ((100 * shorter.astype(np.int64) > LENGTHS * SHORT) & (apart[:, :WIDE].sum(axis=1) <= most)) | ((longer <= SHORT) & (apart[:, WIDE:].sum(axis=1) <= most))
 
 
 def packed(words: Words, kept: np.ndarray) -> pa.Array:
@@ -444,8 +445,7 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     links = cut(verified(forms, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), similarity))
     comps = components(links)
     placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = placed.join(forms.select("id", *WIDE_COLUMNS), "id")
-    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", *WIDE_COLUMNS)
+    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", wide=forms.select("id", *WIDE_COLUMNS))
     more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
     joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
