@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import block_tasks, components, cut, kind_of, mark, small
-from docketry.llm.word_hash import LOWER, Words, chunks, mix
+from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, drawn, mix
 
 SHINGLE, PERCENT = 4, 85
 LEAF, BLOCK, DENSE = 48, 1024, 4
@@ -40,14 +40,14 @@ SKETCH_BITS, LEVELS = 16, 63
 PAIRS = 1 << 17  # compared at once
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame, bases: tuple = (BASE, RUN)) -> np.ndarray:
     """How often words of each of ``2**SKETCH_BITS`` hash classes occur in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch[0]):
-                counts += np.bincount(Words(data, offsets, LOWER).hash >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                counts += np.bincount(Words(data, offsets, LOWER, bases=bases).hash >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["at", "n"])
 
@@ -57,10 +57,10 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, n: int, bases: tuple = (BASE, RUN)) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of each distinct shingle, by document and then by the global order of shingles. A
     shingle's upper bits are its level, which grows with how common its words are."""
-    words = Words(data, offsets, LOWER)
+    words = Words(data, offsets, LOWER, bases=bases)
     doc = words.doc_of()
     starts = words.gram_starts(n)
     level = np.concatenate([[0], np.cumsum(common[words.hash >> np.uint64(64 - SKETCH_BITS)])])
@@ -111,14 +111,14 @@ def count_vectors(doc: np.ndarray, value: np.ndarray, size: np.ndarray, rows: in
     return out
 
 
-def features(docs: DataFrame, common, n: int, percent: int) -> DataFrame:
+def features(docs: DataFrame, common, n: int, percent: int, bases: tuple) -> DataFrame:
     """Per row: doc_id, mark, n, hi, lo (digest of the set), keys (first shingles), heads (their groups), vec (group counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch[2]):
                 many = len(offsets) - 1
-                doc, value = shingle_sets(data, offsets, common.value, n)
+                doc, value = shingle_sets(data, offsets, common.value, n, bases)
                 size = np.bincount(doc, minlength=many)
                 first = np.concatenate([[0], np.cumsum(size)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)))]) for salt in (0x51ED27, 0xB5297A4D)]
@@ -135,7 +135,7 @@ def features(docs: DataFrame, common, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, heads binary, vec binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int, bases: tuple) -> DataFrame:
     """(id, members) of the sets in ``wanted`` (id, doc_id, mark), members being sorted 64-bit shingles."""
     named = docs.select(F.col("doc_id").alias("d"), mark(F.col("text")).alias("m"), "text")
     found = named.join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
@@ -144,7 +144,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
         for batch in batches:
             for row, data, offsets in chunks(batch[1]):
                 many = len(offsets) - 1
-                doc, value = shingle_sets(data, offsets, common.value, n)
+                doc, value = shingle_sets(data, offsets, common.value, n, bases)
                 first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=many))]) * 8
                 members = pa.LargeBinaryArray.from_buffers(pa.large_binary(), many, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(value)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch[0].slice(row, many), members], names=["id", "members"])
@@ -152,10 +152,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
     return found.select("id", "text").mapInArrow(run, "id bigint, members binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, common, n: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, common, n: int, percent: int, bases: tuple) -> DataFrame:
     """Those ``pairs`` (a, b) whose whole sets are similar enough; only their documents are read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(whole_sets(docs, cut(known.join(wanted, "id").select("id", "doc_id", "mark")), common, n))
+    sets = cut(whole_sets(docs, cut(known.join(wanted, "id").select("id", "doc_id", "mark")), common, n, bases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,10 +369,11 @@ def first_of_equal(cells: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, mark, n_shingles, component_id (the smallest doc_id of those connected by links)."""
-    counts = word_counts(docs)
+    bases = drawn()
+    counts = word_counts(docs, bases)
     quarters = np.rint(4 * np.log2(np.maximum(counts / max(counts.mean(), 1), 1)))
     common = docs.sparkSession.sparkContext.broadcast(quarters.astype(np.int64))
-    feats = cut(features(docs, common, n, percent))
+    feats = cut(features(docs, common, n, percent, bases))
     full = feats.where("n > 0").withColumn("row", F.xxhash64("doc_id", "mark"))
     sets = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")).withColumn("id", F.monotonically_increasing_id()))
     named = sets.select("id", F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("row").alias("r"))
@@ -386,7 +387,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     first = cut(cells.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("leader")))
     near = cells.join(first, "key").where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     likely = near.where(200 * F.col("shared") >= (100 - percent) * F.col("n")).groupBy("id").agg(F.max_by("leader", "shared").alias("leader"))
-    links = cut(verified(docs, cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b"))), wanted, common, n, percent))
+    links = cut(verified(docs, cut(likely.select(F.col("id").alias("a"), F.col("leader").alias("b"))), wanted, common, n, percent, bases))
     comps = components(links)
 
     few = cut(first_of_equal(cells))
@@ -395,7 +396,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         points = wanted.select("id", "heads", "vec")
         tasks = block_tasks(placed, BLOCK, "n", "pos").join(points, "id").select("key", "i", "j", "block", "id", "comp", "n", "pos", F.expr("substring(heads, 1, 2 * pos)").alias("heads"), "vec")
         found = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cell_pairs(percent, dense), "a bigint, b bigint, open boolean").distinct())
-        links = links.unionByName(cut(verified(docs, found.where("NOT open").select("a", "b"), wanted, common, n, percent)))
+        links = links.unionByName(cut(verified(docs, found.where("NOT open").select("a", "b"), wanted, common, n, percent, bases)))
         comps = components(links)
         opened = found.where("open").select(F.col("a").alias("key"))
         if dense is None or opened.isEmpty():

@@ -3,12 +3,14 @@
 Words are runs of bytes that aren't separators. A word's hash is a polynomial over its bytes modulo the prime 2**61 - 1, taken
 from prefix sums and then mixed; runs of words are hashed from the words' hashes in the same way. In a field two
 different runs of n values meet for at most n of its 2**61 bases, so no text collides for every base, as some do modulo
-a power of two. Words of ``LONG_WORD`` bytes or more are hashed by blake2b.
+a power of two. For a base that is known, texts can be built that do; results that rest on equal hashes alone take
+``drawn`` bases, which a run draws for itself. Words of ``LONG_WORD`` bytes or more are hashed by blake2b.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +43,18 @@ class Known(dict):
 
 
 _powers = Known()
+KEPT = 4  # bases whose powers a process keeps
 PRIME, LOW31, LOW30, LOW29, LOW32 = (np.uint64((1 << k) - 1) for k in (61, 31, 30, 29, 32))
 LONG_WORD = 1 << 20
 SMALL, SMALL_RUN = 1 << 10, 1 << 21  # with powers' halves of 32 bits, sums stay under 2**63
 
 
+def drawn() -> tuple[np.uint64, np.uint64]:
+    """Two bases at random, for words and for runs. All tasks of one job must be given the same ones."""
+    word, run = (np.uint64((1 << 32) + secrets.randbelow(int(PRIME) - (1 << 33))) for _ in range(2))
+    return word, run
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
     x = (x >> np.uint64(61)) + (x & PRIME)
     return np.where(x >= PRIME, x - PRIME, x)
@@ -69,6 +78,8 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(out) < size:
                 out = np.concatenate([out, times(out, np.uint64(pow(b, len(out), prime)))])
             both.append(out[:size])
+        while len(_powers) >= KEPT and int(base) not in _powers:
+            _powers.pop(next(iter(_powers)))
         known = _powers[int(base)] = (both[0], both[1])
     return known
 
@@ -95,7 +106,7 @@ def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint
 class Words:
     """Words of the documents of one chunk: ``hash``, and ``first[d] : first[d + 1]`` are document d's."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = SAME, separators: np.ndarray = WHITE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = SAME, separators: np.ndarray = WHITE, bases: tuple[np.uint64, np.uint64] = (BASE, RUN)):
         inside = ~separators[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -106,17 +117,17 @@ class Words:
         back = edges[edges > 0] - 1
         stops[back] = inside[back]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        self.hash = runs((fold[data] if fold is not SAME else data).astype(np.uint64) + np.uint64(1), self.starts, self.ends, BASE)
+        self.hash = runs((fold[data] if fold is not SAME else data).astype(np.uint64) + np.uint64(1), self.starts, self.ends, bases[0])
         for k in np.flatnonzero(self.ends - self.starts >= LONG_WORD):
             word = (fold[data[self.starts[k] : self.ends[k]]]).tobytes()
             self.hash[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
         self.first = np.searchsorted(self.starts, offsets)
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.bases = data, offsets, bases
 
     def part(self, start: int, stop: int) -> Words:
         """The words start:stop as those of one document."""
         out = Words.__new__(Words)
-        out.hash, out.first = self.hash[start:stop], np.array([0, stop - start])
+        out.hash, out.first, out.bases = self.hash[start:stop], np.array([0, stop - start]), self.bases
         return out
 
     def doc_of(self) -> np.ndarray:
@@ -128,7 +139,7 @@ class Words:
         return np.flatnonzero(np.arange(len(self.hash)) <= last)
 
     def gram_hash(self, starts: np.ndarray, n: int) -> np.ndarray:
-        return runs(self.hash, starts, starts + n, RUN)
+        return runs(self.hash, starts, starts + n, self.bases[1])
 
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

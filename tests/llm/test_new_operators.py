@@ -279,3 +279,15 @@ def test_toxicity_on_held_out_labels(spark):
     area = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
     caught = sum(r.predicted for r in rows if r.toxic)
     assert area > 0.98 and caught / len(bad) > 0.9 and sum(r.predicted for r in rows) - caught <= 0.02 * caught
+
+
+def test_no_text_collides_for_the_bases_in_the_code(spark):
+    from docketry.llm import word_hash as wh
+
+    one, two = "kmjllnolnmlqkikl", "omqnnmkolnnipqpo"
+    (found,) = [wh.Words(d, o).hash for _, d, o in wh.chunks(pa.array([f"{one} {two}"]))]
+    assert found[0] == found[1]
+    shared = [f"w{k}" for k in range(30)]
+    rows = documents(spark, [(k, " ".join([*shared, x, *reversed(shared)])) for k, x in enumerate([one, two, one])])
+    assert {r.doc_id: r.n_removed for r in substrings.kept_digests(rows).collect()} == {0: 0, 1: 0, 2: 61}
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(spark, list(enumerate([one, two, one])))).collect()} == {0: 0, 1: 1, 2: 0}
