@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,10 @@ def citation_flags(citations: DataFrame, key: str) -> DataFrame:
     return counts.select(key, rows.alias("r")).select(key, "r.level", "r.n")
 
 
-def first_citation(citations: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The first value of each key by ``order``."""
-    return citations.groupBy(key).agg(F.min_by(value, order).alias(value))
+def first_citation(citations: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """The first value of each key by ``order``, of rows without nulls in the value or in what they are ordered by."""
+    known = reduce(and_, [F.col(c).isNotNull() for c in (value, *order)])
+    return citations.groupBy(key).agg(F.min_by(value, F.when(known, F.struct(*order))).alias(value))
 
 
 # How a statute's kind is cited, and labels of the counts in front of a citator report.

@@ -252,7 +252,7 @@ def statute_xrefs_union(t):
 
 @query(f"WITH {CITATIONS} SELECT cited, arg_min(cite, cite_id) AS cite FROM citations GROUP BY 1")
 def first_citation_per_doc(t):
-    return graphs.first_citation(t.citations, "cited", "cite", "cite_id")
+    return graphs.first_citation(t.placed_citations, "cited", "cite", "cite_id", "file", "place")
 
 
 @query(f"WITH {MATTERS}, {FILINGS} SELECT p_brand AS topic, f.entry_id, f.doc_date, m.county FROM filings f JOIN part ON p_partkey = f.partkey LEFT JOIN matters m USING (docket_id) WHERE p_brand = (SELECT min(p_brand) FROM part)")

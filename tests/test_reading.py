@@ -277,3 +277,15 @@ def test_streams_of_events(spark, tmp_path):
     assert [r[2] for r in run(met, "met", "append")] == [1]
     marked, top = incremental.changed_since(spark.createDataFrame([(1,), (5,)], "n int"), "n", 1)
     assert rows(marked) == [(5,)] and top == 5 and incremental.changed_since(marked, "n", 9)[1] == 9
+
+
+def test_watches_are_met_once_without_a_shuffle_of_pairs(spark):
+    rows = [(k % 97, k % 7, k % 11, f"a/{k % 5}/x") for k in range(100)] + [(None, 1, 1, "a/1/x"), (500, None, None, None)]
+    live = [(k % 37, k % 7 if k % 2 else None, k % 11 if k % 3 else None, f"a/{k % 5}/" if k % 4 else None, k % 9 != 0) for k in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, docket_id long, entry_id long, path string")
+    watches = spark.createDataFrame(live, "watch_id long, docket_id long, entry_id long, path_prefix string, active boolean")
+    found = lookups.watched(events, watches)
+    met = {(e, w) for e, d, n, p in rows for w, wd, wn, wp, on in live if on and ((wd is not None and d == wd) or (wn is not None and n == wn) or (wp is not None and p is not None and p.startswith(wp)))}
+    pairs = [(r.event_id, r.watch_id) for r in found.collect()]
+    assert len(pairs) == len(met) and set(pairs) == met
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
