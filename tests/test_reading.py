@@ -289,3 +289,14 @@ def test_watches_are_met_once_without_a_shuffle_of_pairs(spark):
     pairs = [(r.event_id, r.watch_id) for r in found.collect()]
     assert len(pairs) == len(met) and set(pairs) == met
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_first_citation_takes_the_first_row_of_a_repeated_id(spark, tmp_path):
+    from docketry.operators import graphs
+    from docketry.plans.carriers import Carriers
+
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp, l_quantity double"
+    rows = [(2, 1, 7, "A", "F", None, 4.0), (1, 1, 7, "A", "F", None, None), (1, 2, 7, "A", "F", None, 9.0), (1, 2, 7, "A", "F", None, 3.0), (5, 1, 8, "A", "F", None, None)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = graphs.first_citation(Carriers(spark, str(tmp_path)).placed_citations, "cited", "cite", "cite_id", "file", "place")
+    assert {r.cited: r.cite for r in found.collect()} == {7: "1 R. 9", 8: None}
