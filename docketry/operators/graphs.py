@@ -64,10 +64,13 @@ def citator_report(citations: DataFrame, documents: DataFrame, matters: DataFram
     named = named.join(opinions.withColumnRenamed("entry_id", "citing_entry_id"), "citing_entry_id", "left").join(first.withColumnRenamed("entry_id", "citing_entry_id"), "citing_entry_id", "left")
 
     case = documents.select(F.col("entry_id").alias("cited_entry_id"), F.col("title").alias("case_title"))
-    made = citations.withColumn("entry_id", F.col("citing_entry_id")).join(documents.select("entry_id"), "entry_id", "left_semi").join(case, "cited_entry_id", "left")
-    made = made.join(statutes.select(F.col("statute_id").alias("cited_statute_id"), F.col("kind").alias("statute_kind"), "citation_label", F.col("title").alias("statute_title")), "cited_statute_id", "left")
-    made = made.join(first.withColumnRenamed("entry_id", "cited_entry_id"), "cited_entry_id", "left")
+    made = citations.withColumn("entry_id", F.col("citing_entry_id")).join(documents.select("entry_id"), "entry_id", "left_semi")
     is_case, is_statute = F.col("cited_entry_id").isNotNull(), F.coalesce(F.col("cited_statute_id") != "", F.lit(False))
+    statute = statutes.select(F.col("statute_id").alias("cited_statute_id"), F.col("kind").alias("statute_kind"), "citation_label", F.col("title").alias("statute_title"))
+    # each kind meets its own table alone: rows without a key would all go to one task of the join
+    of_cases = made.where(is_case).join(case, "cited_entry_id", "left").join(first.withColumnRenamed("entry_id", "cited_entry_id"), "cited_entry_id", "left")
+    of_statutes = made.where(~is_case & is_statute).join(statute, "cited_statute_id", "left")
+    made = of_cases.unionByName(of_statutes, allowMissingColumns=True).unionByName(made.where(~is_case & ~is_statute), allowMissingColumns=True)
     either = lambda case, statute, other: F.when(is_case, case).when(is_statute, statute).otherwise(other)
     title = F.coalesce(F.concat("citation_label", F.lit(" — "), "statute_title"), "citation_label", "statute_title")
     authorities = {

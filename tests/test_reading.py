@@ -300,3 +300,21 @@ def test_first_citation_takes_the_first_row_of_a_repeated_id(spark, tmp_path):
     spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = graphs.first_citation(Carriers(spark, str(tmp_path)).placed_citations, "cited", "cite", "cite_id", "file", "place")
     assert {r.cited: r.cite for r in found.collect()} == {7: "1 R. 9", 8: None}
+
+
+def test_authorities_without_a_case_are_not_dealt_to_one_task(spark):
+    cited = "citation_id long, citing_entry_id long, cited_entry_id long, cited_statute_id string, cited_external string, treatment string, pinpoint string, snippet string, topic_id int"
+    made = [(k, k % 400, 3 if k % 100 == 0 else None, None, f"Ext {k}", None, None, None, None) for k in range(2000)]
+    documents = spark.createDataFrame([(k, k, f"Case {k}") for k in range(400)], "entry_id long, docket_id long, title string")
+    frames = [([], "docket_id long, docket_family string"), ([], "entry_id long, court_docket_no string"), ([], "topic_id int, key_number string"), ([], "statute_id string, kind string, citation_label string, title string"), ([], "entry_id long, cite_id int, citation string")]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        page = graphs.citator_report(spark.createDataFrame(made, cited), documents, *(spark.createDataFrame(r, x) for r, x in frames))
+        rest = page.where("part = 'authority' AND kind = 'external'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in rest) == 1980 and max(r["count"] for r in rest) < 990
