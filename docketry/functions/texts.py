@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+KNOWN_PAIRS, KNOWN_CHARS = 1 << 15, 400  # pairs that a task remembers, and how long they are at most
+
 
 @F.pandas_udf(DoubleType())
 def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts, in the given order (it isn't symmetric); nulls are empty."""
+    known = lru_cache(KNOWN_PAIRS)(lambda x, y: SequenceMatcher(None, x, y).ratio())  # pairs often come again
+    plain = lambda x, y: SequenceMatcher(None, x, y).ratio()
     for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+        both = ((x or "", y or "") for x, y in zip(a, b, strict=True))
+        yield pd.Series([(known if len(x) + len(y) <= KNOWN_CHARS else plain)(x, y) for x, y in both], dtype="float64")
 
 
 class VisibleText(HTMLParser):

@@ -77,3 +77,18 @@ def test_report_events(spark):
     assert (found[1].project_description, found[1].opposition) == ("New scanner", "OPPOSITION FILED")
     dates = {r.name: r.report_date for r in reports.report_dates(rows, "name", "text").collect()}
     assert dates["r1"] == datetime.date(2026, 6, 16)
+
+
+def test_similar_texts_are_compared_once(spark, monkeypatch):
+    import pandas as pd
+
+    calls = []
+
+    class Counted(texts.SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(texts, "SequenceMatcher", Counted)
+    (found,) = texts.ratio.func(iter([(pd.Series(["red bolt", None] * 50), pd.Series(["rad bolt", "x"] * 50))]))
+    assert found.tolist() == [0.875, 0.0] * 50 and len(calls) == 2
