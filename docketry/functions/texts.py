@@ -48,8 +48,8 @@ def visible_text(html: str) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf(StringType())
-def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Pieces of visible text, one a line; scripts and styles are left out; null stays null."""
-    for pages in batches:
-        yield pages.map(lambda h: None if h is None else visible_text(h))
+@F.udf(StringType(), useArrow=False)
+def html_text(html: str | None) -> str | None:
+    """Pieces of visible text, one a line; scripts and styles are left out; null stays null. Spark sends pages in
+    batches of 100, where Arrow's would hold 10,000 at once."""
+    return None if html is None else visible_text(html)

@@ -92,3 +92,8 @@ def test_similar_texts_are_compared_once(spark, monkeypatch):
     monkeypatch.setattr(texts, "SequenceMatcher", Counted)
     (found,) = texts.ratio.func(iter([(pd.Series(["red bolt", None] * 50), pd.Series(["rad bolt", "x"] * 50))]))
     assert found.tolist() == [0.875, 0.0] * 50 and len(calls) == 2
+
+
+def test_python_gets_pages_in_small_batches(spark):
+    page = spark.range(5).select(texts.html_text(F.lit("<p>a</p>")).alias("x"))
+    assert "BatchEvalPython" in page._jdf.queryExecution().executedPlan().toString() and {r.x for r in page.collect()} == {"a"}
