@@ -67,7 +67,8 @@ def top_across(scopes: Sequence[DataFrame], k: int) -> DataFrame:
     return all_parts.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "scope", "id").limit(k)
 
 
-QUERY_ROWS, VECTOR_ROWS = 1024, 4096  # vectors in a block
+QUERY_ROWS, VECTOR_ROWS, AT_ONCE = 1024, 4096, 128  # vectors in a block, and queries that a product takes
+BATCH_BYTES = 4 << 20  # of blocks that Python gets at once; Spark reads it when a job runs
 
 
 def blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
@@ -79,24 +80,28 @@ def blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFr
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """(query, key, score, position): the ``k`` nearest by cosine of every query, exactly; ties by key. Blocks of queries
     meet blocks of vectors, each pair in a task as one matrix product that keeps the best ``k`` of its vectors for each
-    query; those are all that is shuffled. Vectors without length score null, which comes last."""
+    query; those are all that is shuffled. A task holds about ``BATCH_BYTES`` of blocks and one product of ``AT_ONCE`` queries. Vectors without length score null, which comes last."""
     k = min(50, max(1, k))
     pairs = blocks(vectors, key, vector, VECTOR_ROWS, "v").crossJoin(blocks(queries, key, vector, QUERY_ROWS, "q"))
     kind = vectors.schema[key].dataType.simpleString()
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def ranked(own: np.ndarray, ids: np.ndarray, asked: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+        length = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(length > 0, asked @ own.T / length, np.nan)
+        score = np.round(score, 6)
+        order = np.lexsort(np.broadcast_arrays(ids[None, :], -np.nan_to_num(score, nan=-2.0)), axis=1)[:, :k]
+        at = np.repeat(np.arange(len(asked)), order.shape[1])
+        found = score[at, order.ravel()]
+        return pd.DataFrame({"query": names[at], key: ids[order.ravel()], "score": pd.array(found, dtype="Float64")})
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                own, asked = np.stack(row.v_vectors), np.stack(row.q_vectors)
-                length = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.where(length > 0, asked @ own.T / length, np.nan)
-                score = np.round(score, 6)
-                ids = np.asarray(row.v_ids)
-                order = np.lexsort(np.broadcast_arrays(ids[None, :], -np.nan_to_num(score, nan=-2.0)), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(asked)), order.shape[1])
-                found = score[at, order.ravel()]
-                yield pd.DataFrame({"query": np.asarray(row.q_ids)[at], key: ids[order.ravel()], "score": pd.array(found, dtype="Float64")})
+                own, asked, ids, names = np.stack(row.v_vectors), np.stack(row.q_vectors), np.asarray(row.v_ids), np.asarray(row.q_ids)
+                for n in range(0, len(asked), AT_ONCE):
+                    yield ranked(own, ids, asked[n : n + AT_ONCE], names[n : n + AT_ONCE])
 
     scored = pairs.mapInPandas(best, f"query {kind}, {key} {kind}, score double")
     window = Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), key)

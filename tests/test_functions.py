@@ -97,3 +97,25 @@ def test_similar_texts_are_compared_once(spark, monkeypatch):
 def test_python_gets_pages_in_small_batches(spark):
     page = spark.range(5).select(texts.html_text(F.lit("<p>a</p>")).alias("x"))
     assert "BatchEvalPython" in page._jdf.queryExecution().executedPlan().toString() and {r.x for r in page.collect()} == {"a"}
+
+
+def test_python_gets_vectors_in_small_batches(spark, monkeypatch):
+    from docketry.operators import search
+
+    sizes = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(search, "VECTOR_ROWS", 4)
+    monkeypatch.setattr(search, "BATCH_BYTES", 4096)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    vectors = spark.range(400).selectExpr("id", "transform(sequence(1, 16), x -> cast(cos(id * x) as float)) AS v").repartition(1).cache()
+    search.nearest(vectors, vectors.where("id % 50 = 0"), "id", "v", 3)  # sets the size
+
+    def count(frames):
+        for f in frames:
+            sizes.add(1)
+            yield f
+
+    try:
+        blocks = search.blocks(vectors, "id", "v", 4, "v").coalesce(1)
+        assert blocks.mapInPandas(count, blocks.schema).count() > 1 and sizes.value > 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
