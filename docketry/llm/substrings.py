@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, groups, kind_of, mark
+from docketry.llm.common import cut, groups, kind_of, mark, together
 from docketry.llm.word_hash import Words, chunks, drawn, runs
 
 WINDOW, PREFIX, GROUP = 50, 12, 500
@@ -241,7 +241,7 @@ def grouped(pieces: DataFrame, group: int, window: int, prefix: int, sizes: list
 
 def in_subtrees(pieces: DataFrame, window: int, bases: tuple) -> DataFrame:
     columns = [c.split(" ")[0] for c in PIECE.split(", ")]
-    return pieces.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(subtrees(window, bases), "first bigint, stretch bigint, offsets array<int>")
+    return together(pieces.select(*columns), "core").mapInArrow(subtrees(window, bases), "first bigint, stretch bigint, offsets array<int>")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:

@@ -291,3 +291,19 @@ def test_no_text_collides_for_the_bases_in_the_code(spark):
     rows = documents(spark, [(k, " ".join([*shared, x, *reversed(shared)])) for k, x in enumerate([one, two, one])])
     assert {r.doc_id: r.n_removed for r in substrings.kept_digests(rows).collect()} == {0: 0, 1: 0, 2: 61}
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(spark, list(enumerate([one, two, one])))).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_subtrees_see_all_pieces_of_a_prefix_after_a_join(spark):
+    """A join that has dealt the pieces by their prefix and then becomes a broadcast one reads them where they lie."""
+    body = "cast(array_join(transform(sequence(1, 60), k -> concat('w', id % 50, '-', k)), ' ') as binary) words"
+    pieces = spark.range(0, 400, 1, 8).selectExpr("id % 50 core", "id % 50 first", "id stretch", "id low", "0 at", "11 count", "id part", body)
+    few = spark.range(0, 50, 1, 4).selectExpr("id core").where("core % 7 >= 0").distinct()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = substrings.in_subtrees(pieces.join(few, "core", "left_semi"), 50, substrings.drawn())
+        assert {r.stretch: len(r.offsets) for r in found.collect()} == dict.fromkeys(range(50, 400), 11)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
