@@ -225,16 +225,21 @@ def grouped(pieces: DataFrame, group: int, window: int, prefix: int, sizes: list
     out = None
     for places in sizes:
         pieces = cut(pieces.mapInArrow(lengthened(window, prefix, places, bases), PIECE))
+        spots = F.sequence("at", F.expr("at + count - 1")).alias("offsets")
+        if places == 1:  # the prefix is the whole window, also in runs of one word, whose parts differ in length
+            least = pieces.groupBy("core", "first").agg(F.min("low").alias("least"))
+            later = pieces.join(cut(least), ["core", "first"]).where("low > least").select("first", "stretch", spots)
+            return later if out is None else out.unionByName(later)
         by_low = pieces.groupBy("core", "part", "low").agg(F.count("*").alias("n"))
         by_part = by_low.groupBy("core", "part").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.min_by("n", "low").alias("n"))
         shared = by_part.groupBy("core").agg(F.sum("n").alias("many"), F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("core", "many")
         placed = cut(pieces.join(by_part.select("core", "part", "least").join(shared, "core"), ["core", "part"]))
-        later = placed.where("low > least").select("first", "stretch", F.sequence("at", F.expr("at + count - 1")).alias("offsets"))
+        later = placed.where("low > least").select("first", "stretch", spots)
         own = placed.where("low = least AND many > 1")
-        found = later if places == 1 else later.unionByName(in_subtrees(own.where(F.col("many") <= group), window, bases))
+        found = later.unionByName(in_subtrees(own.where(F.col("many") <= group), window, bases))
         out = found if out is None else out.unionByName(found)
         pieces = own.where(F.col("many") > group).select(*[c.split(" ")[0] for c in PIECE.split(", ")])
-        if places == 1 or pieces.isEmpty():
+        if pieces.isEmpty():
             break
     return out
 

@@ -307,3 +307,9 @@ def test_subtrees_see_all_pieces_of_a_prefix_after_a_join(spark):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def test_substrings_of_one_word_in_a_crowded_group(spark):
+    texts = ["x " * (50 + k) for k in range(12)] + ["y " + "x " * 49]
+    found = substrings.kept_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=2)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 0, 12: 0} | {k: 50 + k for k in range(1, 12)}
