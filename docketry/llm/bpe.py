@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 from operator import itemgetter
 
 import pyarrow as pa
@@ -113,20 +114,26 @@ class ForcedBoundaryBPE:
         rank_of, none = self.ranks.get, len(self.ranks)
         if len(parts) > LONG:
             parts = self.merged(parts)
-        while 1 < len(parts) <= LONG:
-            ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            left, right = parts[at : at + 2]
-            parts[at : at + 2] = [left + right]
-            if ranks.count(best) > 1:
-                at += 1
-                while at + 1 < len(parts):
-                    if parts[at] == left and parts[at + 1] == right:
-                        parts[at : at + 2] = [left + right]
+        if 1 < len(parts) <= LONG:
+            ranks = list(map(rank_of, zip(parts, parts[1:], strict=False), repeat(none)))
+            while ranks and (best := min(ranks)) < none:
+                at = ranks.index(best)
+                left, right = parts[at], parts[at + 1]
+                both = left + right
+                while True:  # ranks beside a merge are looked up, others stay
+                    parts[at : at + 2] = (both,)
+                    del ranks[at]
+                    if at:
+                        ranks[at - 1] = rank_of((parts[at - 1], both), none)
+                    if at < len(ranks):
+                        ranks[at] = rank_of((both, parts[at + 1]), none)
                     at += 1
+                    if best not in ranks:
+                        break
+                    while at < len(ranks) and (ranks[at] != best or parts[at] != left or parts[at + 1] != right):
+                        at += 1
+                    if at >= len(ranks):
+                        break
         ids = [self.vocab[p] for p in parts]
         if len(self.fragments) >= REMEMBERED:
             self.fragments.clear()

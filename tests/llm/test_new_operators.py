@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("docketry.llm")
 
-from docketry.llm import infill, lines, ngram_join, quality, substrings, whitening  # noqa: E402
+from docketry.llm import bpe, infill, lines, ngram_join, quality, substrings, whitening  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, key string, n long, form string, kept boolean, output string, n_words long"
 VECTORS = "vec_id long, embedding array<float>, label int, key string, x long, n long, dims int, whitened double"
@@ -313,3 +313,19 @@ def test_substrings_of_one_word_in_a_crowded_group(spark):
     texts = ["x " * (50 + k) for k in range(12)] + ["y " + "x " * 49]
     found = substrings.kept_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=2)
     assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 0, 12: 0} | {k: 50 + k for k in range(1, 12)}
+
+
+def test_merges_look_up_pairs_beside_a_merge_alone():
+    import public_tokenizers
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    model = bpe.ForcedBoundaryBPE(bpe.content_of(public_tokenizers.path("word_bpe_49k.json")), bpe.unicode_rules())
+    model.ranks = Counted(model.ranks)
+    word = "internationalisationandthereforehowevernotwithstandingthis"
+    assert "".join(model.texts[k] for k in model.fragment(word, True)) == word + model.end and model.ranks.asked < 3 * len(word)
