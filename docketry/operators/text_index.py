@@ -1,7 +1,8 @@
 """A stored inverted index: postings with positions, partitioned by ranges of tokens and added to in segments.
 
-Tokens that begin with the same letter share a range, which is a partition of the stored table, and are sorted in it, so a term or a
-prefix reads its range alone, and of that only files and row groups whose tokens it lies between. Documents that are added make a segment of their own; ``merge``
+Tokens that begin with the same letter share a range, which is a partition of the stored table, and are sorted in its files, so a term or a
+prefix reads its range alone, and of that only files and row groups whose tokens it lies between. A stored row is a block: a token's
+postings in some hundred documents. Documents that are added make a segment of their own; ``merge``
 writes all segments as one. Document frequencies, lengths and totals are stored with each segment, so ranks need
 no pass over the texts. The manifest is a versioned table, so readers see a segment whole or not at all.
 """
@@ -9,9 +10,12 @@ no pass over the texts. The manifest is a versioned table, so readers see a segm
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ from docketry.sources.tables import VersionedTable
 
 MANIFEST = "segment string, documents bigint, tokens bigint"
 K1, B = 1.2, 0.75  # of BM25
+SHARE = 100_000  # documents whose postings of one range may meet in one task
+SENT = 2_000_000  # ids of known documents that are broadcast; of more, texts are shuffled by id
+AT_ONCE = 500_000  # words that are sorted at once, beside those of one document
 
 
 def words(text: Column) -> Column:
@@ -30,7 +37,7 @@ def words(text: Column) -> Column:
 def token_range(token: Column) -> Column:
     """The partition of a token: its first letter or digit if that is ASCII, else ``u`` and the code point's block."""
     first = F.substring(token, 1, 1)
-    return F.when(first.rlike("[a-z0-9]"), first).otherwise(F.concat(F.lit("u"), F.floor(F.ascii(token) / 256).cast("string")))
+    return F.when(first.between("a", "z") | first.between("0", "9"), first).otherwise(F.concat(F.lit("u"), F.floor(F.ascii(token) / 256).cast("string")))
 
 
 def _alike(term: str, whole: bool) -> Column:
@@ -40,6 +47,34 @@ def _alike(term: str, whole: bool) -> Column:
     return near & (token == term) if whole else near & (token >= term) & F.startswith(token, F.lit(term))
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) to (token, keys, tfs, positions): one row for each token in some hundred documents, in order of token and key,
+    so that postings are shuffled, sorted and written by blocks and not one by one."""
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch[0]))
+        sizes = np.diff(batch[1].offsets.to_numpy())
+        groups = np.cumsum(sizes) // AT_ONCE
+        starts = [*np.flatnonzero(np.diff(groups, prepend=-1)), len(groups)]
+        for part, own in ((batch.slice(a, b - a), sizes[a:b]) for a, b in zip(starts, starts[1:], strict=False)):
+            if not (total := int(own.sum())):
+                continue
+            at = np.arange(total) - np.repeat(np.cumsum(own) - own, own)
+            coded = part[1].flatten().dictionary_encode()
+            known = coded.dictionary.take(by_token := pc.sort_indices(coded.dictionary))
+            rank = np.empty(len(known), np.int64)
+            rank[by_token.to_numpy()] = np.arange(len(known))
+            pairs = rank[coded.indices.to_numpy()] * len(own) + np.repeat(np.arange(len(own)), own)
+            order = np.argsort(pairs, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(pairs[order], prepend=-1)), total)
+            token, document = np.divmod(pairs[order[ends[:-1]]], len(own))
+            blocks = np.append(np.flatnonzero(np.diff(token, prepend=-1)), len(token))
+            listed = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+            keys, tfs = part[0].take(pa.array(document)), pa.array(np.diff(ends), pa.int32())
+            positions = listed(ends, pa.array(at[order], pa.int32()))
+            columns = [known.take(pa.array(token[blocks[:-1]])), *(listed(blocks, c) for c in (keys, tfs, positions))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "keys", "tfs", "positions"])
+
+
 class TextIndex:
     """The index of one text column in a folder. Ids of documents are unique; nulls are no ids and no texts."""
 
@@ -62,27 +97,38 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """(range, token, key, tf, positions)."""
-        return self._read("postings")
+        return self._each(self._read("postings"), "range", "token", tf="tfs", positions="positions")
+
+    def _each(self, blocks: DataFrame, *columns: str, **parts: str) -> DataFrame:
+        """One row for each posting of the blocks; of those parts that are named alone."""
+        each = blocks.select(*columns, F.explode(F.arrays_zip("keys", *parts.values())).alias("__p"))
+        return each.select(*columns, F.col("__p.keys").alias(self.key), *[F.col(f"__p.{c}").alias(n) for n, c in parts.items()])
 
-    def _store(self, documents: DataFrame, postings: DataFrame) -> tuple[str, int, int]:
+    def _store(self, documents: DataFrame, blocks: DataFrame, terms: DataFrame | None = None) -> tuple[str, int, int]:
         name = f"s-{uuid.uuid4()}"
         documents.write.parquet(f"{self.folder}/{name}/documents")
-        spread = postings.repartitionByRange("range", "token", self.key).sortWithinPartitions("range", "token", self.key)
-        spread.write.partitionBy("range").parquet(f"{self.folder}/{name}/postings")
-        stored = self.spark.read.schema(postings.schema).parquet(f"{self.folder}/{name}/postings")
-        terms = stored.groupBy("range", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        terms.repartitionByRange("range", "token").sortWithinPartitions("range", "token").write.partitionBy("range").parquet(f"{self.folder}/{name}/terms")
         row = self.spark.read.parquet(f"{self.folder}/{name}/documents").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+        def write(df: DataFrame, kind: str, by: Column) -> None:
+            spread = df.repartition("range", F.pmod(F.hash(by), F.lit(1 + row[0] // SHARE))).sortWithinPartitions("range", "token")
+            spread.write.partitionBy("range").parquet(f"{self.folder}/{name}/{kind}")
+
+        write(blocks, "postings", F.get("keys", F.lit(0)))
+        if terms is None:
+            stored = self.spark.read.schema(blocks.schema).parquet(f"{self.folder}/{name}/postings")
+            terms = stored.select("range", "token", F.size("tfs").cast("bigint").alias("df"), F.aggregate("tfs", F.lit(0).cast("bigint"), lambda n, tf: n + tf).alias("cf"))
+        write(terms.groupBy("range", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "terms", F.col("token"))
         return name, row[0], row[1]
 
     def add(self, docs: DataFrame, text: str) -> int:
         """Documents (key, text) whose id isn't there yet become a segment, and are found from then on; how many."""
-        fresh = docs.where(F.col(self.key).isNotNull()).select(self.key, words(F.col(text)).alias("__w"))
+        fresh = docs.where(F.col(self.key).isNotNull()).select(self.key, text)
         if self.segments():
-            fresh = fresh.join(self.documents().select(self.key), self.key, "left_anti")
-        each = fresh.select(self.key, F.posexplode("__w").alias("at", "token"))
-        by_token = each.groupBy("token", self.key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        name, documents, tokens = self._store(fresh.select(self.key, F.size("__w").alias("length")), by_token.select(token_range(F.col("token")).alias("range"), "token", self.key, "tf", "positions"))
+            known = self.documents().select(self.key)
+            fresh = fresh.join(F.broadcast(known) if self._totals()[0] <= SENT else known, self.key, "left_anti")
+        parted = fresh.select(self.key, words(F.col(text)).alias("__w"))
+        blocks = parted.mapInArrow(blocks_of, f"token string, keys array<{docs.schema[self.key].dataType.simpleString()}>, tfs array<int>, positions array<array<int>>")
+        name, documents, tokens = self._store(parted.select(self.key, F.size("__w").alias("length")), blocks.select(token_range(F.col("token")).alias("range"), "*"))
         if documents:
             self.manifest.append(self.spark.createDataFrame([(name, documents, tokens)], MANIFEST))
         return documents
@@ -90,18 +136,20 @@ class TextIndex:
     def merge(self) -> None:
         """All segments as one; those before stay until their folder is cleared, for readers that began with them."""
         if len(self.segments()) > 1:
-            made = self._store(self.documents(), self.postings())
+            made = self._store(self.documents(), self._read("postings"), self._read("terms"))
             self.manifest.write(self.spark.createDataFrame([made], MANIFEST))
 
     def _totals(self) -> tuple[int, int]:
         row = self.manifest.read().agg(F.sum("documents"), F.sum("tokens")).first()
         return row[0] or 0, row[1] or 0
 
-    def hits(self, terms: Sequence[str], whole: bool) -> DataFrame:
-        """(term, token, key, tf, positions, df) of what the terms match; reads their ranges alone."""
+    def hits(self, terms: Sequence[str], whole: bool, **parts: str) -> DataFrame:
+        """(term, token, key, df) and the named parts (tf and positions by default) of what the terms match; reads their ranges alone."""
+        parts = parts or {"tf": "tfs", "positions": "positions"}
         near = lambda df: reduce(DataFrame.unionByName, [df.where(_alike(t, whole)).withColumn("term", F.lit(t)) for t in terms])
         seen = near(self._read("terms")).groupBy("term", "token").agg(F.sum("df").alias("df"))
-        return near(self.postings()).join(seen, ["term", "token"]).select("term", "token", self.key, "tf", "positions", "df")
+        blocks = near(self._read("postings")).join(seen, ["term", "token"])
+        return self._each(blocks, "term", "token", "df", **parts).select("term", "token", self.key, *parts, "df")
 
     def prefix_search(self, query: str, k: int = 50) -> DataFrame:
         """(key, score): documents in which every term is the beginning of a word, by the sum of tf * ln(1 + N / df), rounded."""
@@ -109,7 +157,7 @@ class TextIndex:
         if not terms:
             return self.documents().select(self.key, F.lit(0.0).alias("score")).limit(0)
         documents, _ = self._totals()
-        weighed = self.hits(terms, False).withColumn("w", F.col("tf") * F.log(1 + F.lit(documents) / F.col("df")))
+        weighed = self.hits(terms, False, tf="tfs").withColumn("w", F.col("tf") * F.log(1 + F.lit(documents) / F.col("df")))
         scored = weighed.groupBy(self.key).agg(F.countDistinct("term").alias("n"), F.round(F.sum("w"), 6).alias("score")).where(F.col("n") == len(terms))
         return scored.select(self.key, "score").orderBy(F.desc("score"), self.key).limit(k)
 
@@ -121,7 +169,7 @@ class TextIndex:
         documents, tokens = self._totals()
         idf = F.log(1 + (F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         length = 1 - B + B * F.col("length") / F.lit(tokens / max(documents, 1))
-        each = self.hits(terms, True).join(self.documents(), self.key).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
+        each = self.hits(terms, True, tf="tfs").join(self.documents(), self.key).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
         return each.groupBy(self.key).agg(F.round(F.sum("w"), 6).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
 
     def phrase(self, query: str) -> DataFrame:

@@ -55,6 +55,33 @@ def test_text_index_reads_the_terms_partitions_alone(spark, tmp_path):
     assert ranges > 20 and read < 20 and "documents.parquet" not in plan
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_text_index_stores_postings_in_blocks(spark, tmp_path, monkeypatch, small):
+    from docketry.operators import text_index
+
+    if small:  # many shares of a range, ids that are not broadcast, few words at once
+        for name, value in (("SHARE", 50), ("SENT", 10), ("AT_ONCE", 700)):
+            monkeypatch.setattr(text_index, name, value, raising=False)
+    rng = random.Random(5)
+    texts = {k: " ".join(rng.choice(["the", "The", "lí", "apache", "x9", "漢字", f"w{k % 7}"]) for _ in range(rng.randrange(12))) for k in range(400)} | {400: None, 401: "", 402: "the " * 3000}
+    docs = spark.createDataFrame([*texts.items(), (None, "the")], "doc_id long, text string").repartition(3)
+    index = TextIndex(spark, str(tmp_path / "i"), "doc_id")
+    index.add(docs.where("doc_id % 2 = 0"), "text")
+    assert index.add(docs, "text") == 201
+    held = {}
+    for k, t in texts.items():
+        for at, w in enumerate((t or "").lower().split()):
+            held.setdefault((w, k), []).append(at)
+    for _ in range(2):
+        assert {(r.token, r.doc_id): (r.tf, r.positions) for r in index.postings().collect()} == {x: (len(at), at) for x, at in held.items()}
+        assert index.postings().count() == len(held) and index.documents().count() == len(texts)
+        terms = [spark.read.parquet(f"{tmp_path}/i/{s}/terms") for s in index.segments()]
+        assert sum(r.cf for t in terms for r in t.collect()) == sum(map(len, held.values())) and sum(r.df for t in terms for r in t.collect()) == len(held)
+        stored = sum(spark.read.parquet(f"{tmp_path}/i/{s}/postings").count() for s in index.segments())
+        assert stored < len(held) / 2, (stored, len(held))
+        index.merge()
+
+
 def test_vector_index_recall(spark, tmp_path):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     index = VectorIndex(spark, str(tmp_path / "v"), "vec_id", "embedding")
