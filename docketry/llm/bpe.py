@@ -2,8 +2,8 @@
 
 Two neighbouring symbols that stand side by side inside no vocabulary token can never be merged, so a word is cut
 there first. Fragments are encoded on their own and concatenated; the last fragment of a word carries the word end.
-Cut words repeat their fragments far more often than whole words repeat, so a bounded memory of fragments answers
-most of them.
+A bounded memory of words answers most of them. Those of some texts that are new are encoded at once, with numpy: every
+fragment's first pair of least rank merges in each round, and fragments without one are done. Long words are encoded one by one.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; special tokens in a text are single ids,
 as the library reads them; other columns are ignored; repeated rows each get a row.
@@ -17,14 +17,16 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 REMEMBERED = 150_000
+SEEN, FEW_NEW = 1 << 20, 32  # characters whose words are looked at together; fewer new words are encoded one by one
 LONG = 64  # symbols from which a heap finds merges faster than looking at all pairs
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
@@ -93,9 +95,95 @@ class ForcedBoundaryBPE:
             inside.update(zip(own, own[1:], strict=False))
         self.inside = {a + b for a, b in inside}
         self.texts = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.specials.items()}
+        self.tables()
         self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.known: dict[str, tuple[str, str]] = {}
 
+    def tables(self) -> None:
+        """What ``many`` looks up: symbols are numbered, the bytes from 0 and those that end a word from 256 on."""
+        ends = [s + self.end for s in self.symbols.values()]
+        names = dict.fromkeys([*self.symbols.values(), *ends, *(x for pair in self.ranks for x in (*pair, "".join(pair)))])
+        number = {name: k for k, name in enumerate(names)}
+        self.ids = np.array([self.vocab.get(name, -1) for name in names], np.int64)
+        pairs = np.array([number[a] << 32 | number[b] for a, b in self.ranks], np.int64)
+        ranks = np.array(list(self.ranks.values()), np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = np.append(pairs[order], -1), np.append(ranks[order], len(ranks))
+        self.made = np.zeros(len(ranks), np.int64)
+        self.made[ranks] = [number[a + b] for a, b in self.ranks]
+        meets = np.array([[a + b in self.inside for b in self.symbols.values()] for a in self.symbols.values()])
+        self.parted = ~np.tile(meets, (1, 2))
+        two = np.arange(256)[:, None] << 32 | np.arange(512)[None, :]
+        self.first_ranks = np.where(self.parted, len(ranks), self.ranked(two.ravel()).reshape(256, 512)).astype(np.int32)
+        self.shown = {k: (str(k), text) for k, text in self.texts.items()}
+
+    def ranked(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of numbered symbols, ``len(self.ranks)`` where they don't merge."""
+        at = np.searchsorted(self.pairs[:-1], pairs)
+        return np.where(self.pairs[at] == pairs, self.pair_ranks[at], len(self.ranks))
+
+    def many(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids of all ``words`` one after another, where each word's ids end). The words aren't empty."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        stops = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        symbol = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+        symbol[stops - 1] += 256
+        out, none = symbol.copy(), np.int64(len(self.ranks))
+        left = symbol[:-1].clip(max=255)  # a word's last symbol is cut from the next word's first below
+        rank = np.append(self.first_ranks[left, symbol[1:]].astype(np.int64), none)
+        begins = np.append(True, self.parted[left, symbol[1:]])
+        begins[stops[:-1]] = True
+        rank[stops - 1] = none
+        place, kept = np.arange(len(symbol)), np.ones(len(symbol), bool)
+        while True:
+            starts = np.flatnonzero(begins)
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            merges = least < none << 32
+            if not merges.all():  # these fragments are done
+                stay = np.repeat(merges, np.diff(np.append(starts, len(rank))))
+                symbol, rank, begins, place = symbol[stay], rank[stay], begins[stay], place[stay]
+                if not len(symbol):
+                    break
+                starts = np.flatnonzero(begins)
+                least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            at = least & 0xFFFFFFFF
+            symbol[at] = self.made[least >> 32]
+            out[place[at]] = symbol[at]
+            kept[place[at + 1]] = False
+            left_in = np.ones(len(symbol), bool)
+            left_in[at + 1] = False
+            at -= np.arange(len(at))  # one symbol goes from each fragment before
+            symbol, begins, place = symbol[left_in], begins[left_in], place[left_in]
+            left_in[at + np.arange(len(at)) + 1] = True
+            left_in[at + np.arange(len(at))] = False
+            rank = rank[left_in]  # a merged pair's rank goes, what follows it is looked up
+            last = np.append(begins[1:], True)
+            for where in (at, at[~begins[at]] - 1):
+                inner = where[~last[where]]
+                rank[where] = none
+                rank[inner] = self.ranked(symbol[inner] << 32 | symbol[inner + 1])
+        ends = np.cumsum(kept)[stops - 1]
+        ids = self.ids[out[kept]]
+        if (ids < 0).any():
+            raise KeyError("a symbol has no id")
+        return ids.tolist(), ends.tolist()
+
+    def learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """What ``remembered`` gives for each of ``words`` that isn't known; they are known afterwards, long ones aside."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED and self.known:
+            self.known.clear()
+            new = words
+        brief = [w for w in new if len(w) <= LONG]
+        if len(brief) < FEW_NEW:
+            return {w: self.remembered(w) for w in new}
+        ids, ends = self.many(brief)
+        shown = list(map(self.shown.__getitem__, ids))
+        numbers, texts = list(map(FIRST, shown)), list(map(SECOND, shown))
+        found = {w: (" ".join(numbers[a:b]), " ".join(texts[a:b])) for w, a, b in zip(brief, [0, *ends], ends, strict=False)}
+        self.known.update(found)
+        return found | {w: self.remembered(w) for w in new if len(w) > LONG}
+
     def normalise(self, text: str) -> str:
         """Composed and lower-cased letter by letter; blanks only part words, so they stay as they are."""
         if text.isascii():
@@ -210,20 +298,36 @@ class ForcedBoundaryBPE:
             self.known[word] = own
         return own
 
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: count of ids, ids joined by a blank, and the decoded text, by whole remembered words."""
+        held: list[list[tuple[bool, list[str]]]] = []
+        size = 0
+        for text in texts:
+            held.append([(special, [piece] if special else self.split(self.normalise(piece))) for piece, special in self.pieces(text)])
+            size += len(text)
+            if size >= SEEN:
+                yield from self.answers(held)
+                held, size = [], 0
+        yield from self.answers(held)
+
+    def answers(self, held: list[list[tuple[bool, list[str]]]]) -> Iterator[tuple[int, str, str]]:
+        own = self.learn({w for parts in held for special, words in parts if not special for w in words})
+        known = self.known
+        for parts in held:
+            said: list[tuple[str, str]] = []
+            for special, words in parts:
+                if special:
+                    said.append((str(self.specials[words[0]]), words[0]))
+                    continue
+                found = list(map(known.get, words))
+                if None in found:
+                    found = [k or own[w] for k, w in zip(found, words, strict=True)]
+                said += found
+            ids = " ".join(map(FIRST, said))
+            yield ids.count(" ") + 1 if ids else 0, ids, " ".join(map(SECOND, said))
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Count of ids, ids joined by a blank, and the decoded text, by whole remembered words."""
-        own: list[tuple[str, str]] = []
-        for piece, special in self.pieces(text):
-            if special:
-                own.append((str(self.specials[piece]), piece))
-                continue
-            words = self.split(self.normalise(piece))
-            known = list(map(self.known.get, words))
-            if None in known:
-                known = [k or self.remembered(w) for k, w in zip(known, words, strict=True)]
-            own += known
-        said = " ".join(map(FIRST, own))
-        return said.count(" ") + 1 if said else 0, said, " ".join(map(SECOND, own))
+        return next(self.digests([text]))
 
 
 def content_of(vocabulary: str) -> str:
@@ -274,8 +378,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             counts, sums, shown, ids = [], [], [], []
-            for text in batch[1]:
-                n, said, decoded = model.digest(text.as_py() or "")
+            for n, said, decoded in model.digests(text.as_py() or "" for text in batch[1]):
                 counts.append(n)
                 sums.append(sha(said))
                 shown.append(sha(decoded))

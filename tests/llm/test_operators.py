@@ -525,6 +525,26 @@ def test_bpe_equals_the_library(docs, pairs, empty):
     assert rows(bpe.decode_documents(encoded, path), "doc_id", "text") == shown
 
 
+def test_new_words_are_encoded_at_once_as_one_by_one(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    random.seed(31)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aet", "aà日éß", "0123456789", "!?.,-_#=", "thеinа"]
+    words = list({"".join(random.choices(random.choice(kinds), k=random.choice([1, 2, 3, 6, 9, 20, 64]))) for _ in range(5000)})
+    texts = [" ".join(words[k : k + 250]) for k in range(0, len(words), 250)] + ["", "<|endoftext|> " + words[0], "a" * 200 + " " + words[1]]
+    model = bpe.ForcedBoundaryBPE(bpe.content_of(path), bpe.unicode_rules())
+    one_by_one = []
+    monkeypatch.setattr(model, "word", lambda w, own=model.word: one_by_one.append(w) or own(w))
+    for seen in (1 << 20, 1 << 12):
+        for text, (n, said, decoded) in zip(texts, model.digests(texts), strict=True):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert (n, said, decoded) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+        assert seen < 1 << 20 or {len(w) > bpe.LONG for w in one_by_one} == {True}
+        monkeypatch.setattr(bpe, "REMEMBERED", 100)  # in the second round what is known is cleared again and again
+        monkeypatch.setattr(bpe, "SEEN", 1 << 12)
+        model.known.clear()
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
