@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import block_tasks, components, cut, groups, kind_of, mark
+from docketry.llm.common import block_tasks, components, cut, discard, groups, kind_of, mark
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
 BITS, SIMILARITY = 22, 0.8
@@ -435,11 +435,15 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     if 100 * similarity < LENGTHS:
         raise ValueError(f"lines are sought by lengths that hold for a similarity of {LENGTHS} percent or more")
     rows = cut(scanned(docs))
-    lines = rows.select("doc_id", "mark", F.explode(F.arrays_zip("line", "hi", "lo", "sig")).alias("l")).select("doc_id", "mark", "l.*")
+    signed = rows.select("doc_id", "mark", F.explode(F.arrays_zip("line", "hi", "lo", "sig")).alias("l")).select("doc_id", "mark", "l.*")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark", "line")
-    known = cut(lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
-    keyed = known.select("id", "sig").mapInArrow(keyed_rows(block_masks(min(NEAR, bits), blocks)), "key bigint, id bigint, sim bigint, size int")
+    told = cut(signed.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
+    lines = cut(signed.drop("sig"))  # what comes later is without signatures, which take most of both tables
+    discard(rows)
+    keyed = told.select("id", "sig").mapInArrow(keyed_rows(block_masks(min(NEAR, bits), blocks)), "key bigint, id bigint, sim bigint, size int")
     cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys(bits), "key bigint, id bigint, sim bigint, size int, leader bigint, apart int"))
+    known = cut(told.drop("sig"))
+    discard(told)
     likely = cells.where((F.col("apart") <= bits) & (F.col("id") != F.col("leader"))).groupBy("id").agg(F.min_by("leader", "apart").alias("leader"))
     forms = cut(line_texts(docs, known.join(cells.select("id").distinct(), "id").select("id", "place")))
     links = cut(verified(forms, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), similarity))
@@ -447,6 +451,7 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", wide=forms.select("id", *WIDE_COLUMNS))
     more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
+    discard(cells)
     joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     first = classed.groupBy("comp").agg(F.min("place").alias("stays"))
