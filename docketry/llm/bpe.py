@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docketry.llm.common import returned
+
 REMEMBERED = 150_000
 SEEN, FEW_NEW = 1 << 20, 32  # characters whose words are looked at together; fewer new words are encoded one by one
 LONG = 64  # symbols from which a heap finds merges faster than looking at all pairs
@@ -383,10 +385,13 @@ def encoding_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -
                 sums.append(sha(said))
                 shown.append(sha(decoded))
                 if with_ids:
-                    ids.append(list(map(int, said.split())))
+                    ids.append(np.fromstring(said, np.int32, sep=" "))
             columns = [batch[0], pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(shown, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
+            if with_ids:
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(returned(run), schema + ", ids array<int>" * with_ids)

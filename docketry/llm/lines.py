@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import block_tasks, components, cut, discard, groups, kind_of, mark
+from docketry.llm.common import block_tasks, components, cut, discard, groups, kind_of, mark, returned
 from docketry.llm.word_hash import BASE, LOWER, RUN, Words, chunks, mix, runs
 
 BITS, SIMILARITY = 22, 0.8
@@ -274,7 +274,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "mark", "n_lines", "line", "hi", "lo", "sig"],
                 )
 
-    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_lines bigint, line array<int>, hi array<bigint>, lo array<bigint>, sig array<binary>")
+    return docs.select("doc_id", mark(F.col("text")).alias("mark"), "text").mapInArrow(returned(run), f"doc_id {kind_of(docs, 'doc_id')}, mark bigint, n_lines bigint, line array<int>, hi array<bigint>, lo array<bigint>, sig array<binary>")
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -376,7 +376,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 wide = wide_signatures(words, wanted)[where].view(np.int64)
                 yield pa.RecordBatch.from_arrays([parts.field(1), pa.array(texts, pa.binary()).cast(pa.string()), *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["id", "form", *WIDE_COLUMNS])
 
-    return both.select("text", "lines").mapInArrow(run, f"id bigint, form string, {', '.join(f'{w} bigint' for w in WIDE_COLUMNS)}").dropDuplicates(["id"])
+    return both.select("text", "lines").mapInArrow(returned(run), f"id bigint, form string, {', '.join(f'{w} bigint' for w in WIDE_COLUMNS)}").dropDuplicates(["id"])
 
 
 def common_length(a: str, b: str) -> int:
@@ -440,8 +440,8 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     told = cut(signed.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
     lines = cut(signed.drop("sig"))  # what comes later is without signatures, which take most of both tables
     discard(rows)
-    keyed = told.select("id", "sig").mapInArrow(keyed_rows(block_masks(min(NEAR, bits), blocks)), "key bigint, id bigint, sim bigint, size int")
-    cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_keys(bits), "key bigint, id bigint, sim bigint, size int, leader bigint, apart int"))
+    keyed = told.select("id", "sig").mapInArrow(returned(keyed_rows(block_masks(min(NEAR, bits), blocks))), "key bigint, id bigint, sim bigint, size int")
+    cells = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(returned(shared_keys(bits)), "key bigint, id bigint, sim bigint, size int, leader bigint, apart int"))
     known = cut(told.drop("sig"))
     discard(told)
     likely = cells.where((F.col("apart") <= bits) & (F.col("id") != F.col("leader"))).groupBy("id").agg(F.min_by("leader", "apart").alias("leader"))
@@ -450,7 +450,7 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     comps = components(links)
     placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", wide=forms.select("id", *WIDE_COLUMNS))
-    more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(near_pairs(bits), "a bigint, b bigint").distinct())
+    more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(returned(near_pairs(bits)), "a bigint, b bigint").distinct())
     discard(cells)
     joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

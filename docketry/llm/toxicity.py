@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import kind_of, mark
+from docketry.llm.common import kind_of, mark, returned
 from docketry.llm.word_hash import BASE, RUN, Words, chunks, mix, runs
 
 BITS, MAX_ROWS, EPOCHS = 20, 10_000, 5
@@ -169,4 +169,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(scores(batch[at]) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returned(run), docs.schema)

@@ -545,6 +545,22 @@ def test_new_words_are_encoded_at_once_as_one_by_one(monkeypatch):
         model.known.clear()
 
 
+def test_ids_are_given_out_as_counted(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bpe.encoding_digests(docs, path, with_ids=True).join(docs.select("doc_id", "text"), "doc_id").select("ids", "n_tokens", "ids_sha256").distinct().collect()
+    assert found and all(len(r.ids) == r.n_tokens and sha(" ".join(map(str, r.ids))) == r.ids_sha256 for r in found)
+
+
+def test_python_gives_memory_back_after_a_task():
+    released = []
+    run = common.returned(lambda batches: (b * 2 for b in batches))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda _: released.append(1)})())
+        given = run(iter([1, 2]))
+        assert next(given) == 2 and not released
+        assert list(given) == [4] and released
+
+
 def test_line_dedup_leaves_no_signatures_and_no_shuffle_files(spark, docs, tmp_path, monkeypatch):
     import time
 
