@@ -291,6 +291,15 @@ def test_watches_are_met_once_without_a_shuffle_of_pairs(spark):
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
+def test_pairs_of_watched_folders_are_stored_in_little(spark, tmp_path):
+    events = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(None).cast("long").alias("docket_id"), F.lit(None).cast("long").alias("entry_id"), F.concat(F.lit("a/"), (F.col("id") % 40).cast("string"), F.lit("/x")).alias("path"))
+    watches = spark.range(24000).select(F.col("id").alias("watch_id"), F.lit(None).cast("long").alias("docket_id"), F.lit(None).cast("long").alias("entry_id"), F.concat(F.lit("a/"), (F.col("id") % 40).cast("string"), F.lit("/")).alias("path_prefix"), F.lit(True).alias("active"))
+    lookups.watched(events, watches).select("event_id", "watch_id").write.parquet(f"{tmp_path}/met")
+    met = spark.read.parquet(f"{tmp_path}/met")
+    assert met.count() == met.distinct().count() == 4000 * 600 and met.where("event_id % 40 != watch_id % 40").isEmpty()
+    assert sum(p.stat().st_size for p in (tmp_path / "met").glob("*.parquet")) < 4000 * 600 // 2
+
+
 def test_first_citation_takes_the_first_row_of_a_repeated_id(spark, tmp_path):
     from docketry.operators import graphs
     from docketry.plans.carriers import Carriers
