@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -14,14 +14,19 @@ from pyspark.sql.types import DoubleType, StringType
 KNOWN_PAIRS, KNOWN_CHARS = 1 << 15, 400  # pairs that a task remembers, and how long they are at most
 
 
+def remembered() -> Callable[[str, str], float]:
+    """Ratcliff-Obershelp similarity of two texts, in the given order (it isn't symmetric). Short pairs, which often come again, are remembered."""
+    plain = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    known = lru_cache(KNOWN_PAIRS)(plain)
+    return lambda x, y: (known if len(x) + len(y) <= KNOWN_CHARS else plain)(x, y)
+
+
 @F.pandas_udf(DoubleType())
 def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp similarity of two texts, in the given order (it isn't symmetric); nulls are empty."""
-    known = lru_cache(KNOWN_PAIRS)(lambda x, y: SequenceMatcher(None, x, y).ratio())  # pairs often come again
-    plain = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    """``remembered`` of two columns; nulls are empty."""
+    score = remembered()
     for a, b in batches:
-        both = ((x or "", y or "") for x, y in zip(a, b, strict=True))
-        yield pd.Series([(known if len(x) + len(y) <= KNOWN_CHARS else plain)(x, y) for x, y in both], dtype="float64")
+        yield pd.Series([score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 class VisibleText(HTMLParser):

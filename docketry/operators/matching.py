@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.texts import ratio
+from docketry.functions.texts import ratio, remembered
 from docketry.operators.staging import settle
 
 # How sure a match must be.
 THRESHOLD, MARGIN, PAGE_BONUS, CANDIDATES = 0.55, 0.08, 0.15, 5
+# Rows of one side that a task compares with the other's at once, large blocks that are broadcast, texts whose characters a task remembers.
+PIECE, LARGE_SENT, KNOWN_TEXTS = 512, 100_000, 1 << 12
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -29,7 +33,7 @@ def _counts(c: Column) -> Column:
 def bounded_pairs(files: DataFrame, index: DataFrame, block: str = "docket_id") -> DataFrame:
     """(file_id, block, entry_id, a, b, bonus, bound) of files and index rows of one block: the texts to compare, and what
     their score is at most. Twice the characters that two texts share, over the sum of their lengths, is no less than their ratio.
-    Characters are counted once for each record."""
+    Characters are counted once for each record. ``resolve_files`` makes no such table; this is for looking at pairs."""
     strip = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lower(F.col(block).cast("string")), F.lit(" ")), r"\s+", " "))
 
     def sides(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -59,23 +63,119 @@ def worth_verifying(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, rest
 
 
+def _texts(df: DataFrame, text: str, block: str) -> tuple[Column, Column]:
+    """A name in lower case, without the block it lies in and as it is; null is empty."""
+    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
+    bare = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lower(F.col(block).cast("string")), F.lit(" ")), r"\s+", " "))
+    return F.coalesce(bare, F.lit("")), whole
+
+
+def _pieces(files: DataFrame, index: DataFrame, block: str) -> DataFrame:
+    """Rows of both sides (block, i, j, entry_id or file_id, short, whole where it is another, pages) sorted by piece, index rows first and by entry. A
+    block is one piece; of those with more than ``PIECE`` rows on a side files are cut in parts i, index rows in parts j, and every i
+    meets every j, so no task has a whole large block."""
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = {c: df.schema[c].dataType for df, c in ((files, "file_id"), (index, "entry_id"))}
+
+    def side(df: DataFrame, text: str, key: str, ordinal: int) -> DataFrame:
+        ids = [(F.col(c) if c == key else F.lit(None).cast(kind)).alias(c) for c, kind in kinds.items()]
+        short, whole = _texts(df, text, block)
+        return df.select(F.col(block).alias("block"), F.lit(ordinal).alias("file"), *ids, short.alias("short"), F.nullif(whole, short).alias("whole"), "pages")
+
+    rows = side(index.where(F.col(block).isNotNull()), "name", "entry_id", 0).unionByName(side(files, "stem", "file_id", 1))
+    sizes = rows.groupBy("block").agg(F.count_if(F.col("file") == 1).alias("n_files"), F.count_if(F.col("file") == 0).alias("n_index"))
+    large = settle(sizes.where(F.col("block").isNotNull() & (F.greatest("n_files", "n_index") > PIECE)).select("block", *[F.ceil(F.col(c) / PIECE).alias(c) for c in ("n_files", "n_index")]))
+    cut = rows.join(F.broadcast(large) if large.count() <= LARGE_SENT else large, "block", "left")
+    part = lambda key, many: F.pmod(F.xxhash64(key), F.coalesce(many, F.lit(1)))
+    every = lambda many: F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(many), F.lit(1)) - 1)
+    own = cut.withColumn("i", F.explode(F.when(F.col("file") == 1, F.array(part("file_id", F.col("n_files")))).otherwise(every("n_files"))))
+    own = own.withColumn("j", F.explode(F.when(F.col("file") == 0, F.array(part("entry_id", F.col("n_index")))).otherwise(every("n_index"))))
+    dealt = own.repartition(tasks, F.xxhash64("block", "i", "j"))  # by one hash, so no join before is taken for it
+    return dealt.sortWithinPartitions("block", "i", "j", "file", "entry_id").select("block", "i", "j", "file", "file_id", "entry_id", "short", "whole", "pages")
+
+
+def _letters(text: str) -> np.ndarray:
+    """How often a text holds each of the first 127 characters, and any other."""
+    return np.bincount(np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127), minlength=128)
+
+
+class _Piece:
+    """The index rows of a piece, in order, and the best of them for a file."""
+
+    def __init__(self, score: Callable[[str, str], float], letters: Callable[[str], np.ndarray]):
+        self.score, self.letters, self.rows, self.counts = score, letters, [], None
+
+    def best(self, short: str, whole: str, pages: object) -> list[tuple[float, int]]:
+        """(score with its sign turned, place of the row) of the ``CANDIDATES`` best rows. Rows are compared by falling bound, as long as theirs reaches the
+        last of the best: twice the characters that two texts share, over the sum of their lengths, is no less than their ratio."""
+        pairs = [(short, s) if short and s else (whole, w) for s, w, _ in self.rows]
+        bonus = [PAGE_BONUS if pages is not None and pages == p else 0.0 for _, _, p in self.rows]
+        if len(pairs) <= CANDIDATES:
+            return sorted((-(self.score(x, y) + more), k) for k, ((x, y), more) in enumerate(zip(pairs, bonus, strict=True)))
+        if self.counts is None:
+            self.counts = [np.stack([self.letters(r[k]) for r in self.rows]) for k in (0, 1)]
+            self.lengths = [c.sum(axis=1) for c in self.counts]
+        bounds = np.empty(len(pairs))
+        bare = np.array([not (short and s) for s, _, _ in self.rows])
+        for own, at, k in ((short, ~bare, 0), (whole, bare, 1)):
+            total = self.lengths[k][at] + len(own)
+            bounds[at] = np.where(total == 0, 1.0, 2.0 * np.minimum(self.counts[k][at], self.letters(own)).sum(axis=1) / np.maximum(total, 1))
+        bounds += bonus
+        found: list[tuple[float, int]] = []
+        for k in np.argsort(-bounds, kind="stable").tolist():
+            if len(found) == CANDIDATES and bounds[k] < -found[-1][0] - 1e-9:
+                break
+            found = sorted([*found, (-(self.score(*pairs[k]) + bonus[k]), k)])[:CANDIDATES]
+        return found
+
+
+def _candidates(files: DataFrame, index: DataFrame, block: str) -> DataFrame:
+    """(file_id, block, times, turned, entries): for each file row and each part of its block's index rows the best few, best first, with the sign of
+    scores turned. ``times`` is 1 in one of the rows that a file row gives, else 0. Pairs are neither stored nor shuffled."""
+    pieces = _pieces(files, index, block)
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, letters, at, piece = remembered(), lru_cache(KNOWN_TEXTS)(_letters), None, None
+        for batch in batches:
+            block_kind, file_kind, entry_kind = (batch[k].type for k in (0, 4, 5))
+            out: list[tuple] = []
+            for own, i, j, file, file_id, entry_id, short, whole, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = short if whole is None else whole
+                if (own, i, j) != at:
+                    at, piece, entries = (own, i, j), _Piece(score, letters), []
+                if not file:
+                    piece.rows.append((short, whole, pages))
+                    entries.append(entry_id)
+                else:
+                    best = piece.best(short, whole, pages)
+                    out.append((file_id, own, int(j == 0), [n for n, _ in best], [entries[k] for _, k in best]))
+            kinds = [file_kind, block_kind, pa.int64(), pa.list_(pa.float64()), pa.list_(entry_kind)]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["file_id", "block", "times", "turned", "entries"])
+
+    return pieces.mapInArrow(run, f"file_id {kinds['file_id']}, block {kinds['block']}, times bigint, turned array<double>, entries array<{kinds['entry_id']}>")
+
+
 def resolve_files(files: DataFrame, index: DataFrame, block: str = "docket_id") -> DataFrame:
     """Per file (file_id, block, stem, pages): the index row (entry_id, block, name, pages) it matches best within its
     block, its score, and the best few candidates. No match below the threshold or when the next one is too near.
-    Files and rows meet by an equi-join on the block alone, whose skew Spark splits. Only pairs whose bound could bring them among the
-    best are compared: those of the best bounds first, then what reaches the last of these scores, which loses none."""
-    first, rest = worth_verifying(bounded_pairs(files, index, block))
-    scored = first.unionByName(rest.withColumn("score", ratio("a", "b") + F.col("bonus")))
-    best = Window.partitionBy("file_id").orderBy(F.desc("score"), "entry_id")
-    top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= CANDIDATES)
-    found = top.groupBy("file_id", block).agg(
-        F.max(F.when(F.col("n") == 1, F.col("entry_id"))).alias("best"),
-        F.max(F.when(F.col("n") == 1, F.col("score"))).alias("score"),
-        F.max(F.when(F.col("n") == 2, F.col("score"))).alias("next"),
-        F.array_sort(F.collect_list(F.struct("n", "entry_id", F.round("score", 6).alias("score")))).alias("candidates"),
-    )
+    Files and rows of a block meet in one task, those of a large block part by part (``_pieces``); what leaves it are the best few
+    of each file there, so disk grows with files and rows, not with pairs."""
+    own = _candidates(files, index, block).groupBy("file_id").agg(F.sum("times").alias("times"), F.collect_list(F.struct("turned", "entries", "block")).alias("parts"))
+    single = F.flatten(F.transform("parts", lambda p: F.transform(F.arrays_zip(p["turned"].alias("turned"), p["entries"].alias("entries")), lambda x: F.struct(x["turned"].alias("turned"), x["entries"].alias("entry_id"), p["block"].alias("block")))))
+    own = own.select("file_id", "times", F.slice(F.sort_array(single), 1, CANDIDATES).alias("top"))
+    numbered = F.transform("top", lambda x, k: F.struct((k + 1).alias("n"), x["entry_id"].alias("entry_id"), (-x["turned"]).alias("score"), x["block"].alias("block")))
+    # a null id is no id; one that lies in several blocks has a row for each block among its best
+    rows = own.withColumn("top", F.when(F.col("file_id").isNotNull() & (F.size("top") > 0), numbered)).withColumn("of", F.explode_outer(F.array_distinct(F.transform("top", lambda x: x["block"]))))
+    here = rows.withColumn("here", F.filter("top", lambda x: x["block"] == F.col("of")))
+    place = lambda n, c: F.get(F.filter("here", lambda x: x["n"] == n), F.lit(0))[c]
+    found = here.withColumns({"best": place(1, "entry_id"), "score": place(1, "score"), "next": place(2, "score")})
     sure = (F.col("score") >= THRESHOLD) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= MARGIN))
-    return files.select("file_id").join(found, "file_id", "left").select("file_id", F.when(sure, F.col("best")).alias("entry_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("confidence"), "candidates")
+    candidates = F.transform("here", lambda x: F.struct(x["n"].alias("n"), x["entry_id"].alias("entry_id"), F.round(x["score"], 6).alias("score")))
+    told = found.select("file_id", F.when(sure, F.col("best")).alias("entry_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("confidence"), candidates.alias("candidates"), "times")
+    return told.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 #: What a row does: shuts (4), opens (2), adds codes (1). An entry's state: closed (2), has codes (1).

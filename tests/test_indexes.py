@@ -239,6 +239,33 @@ def test_crosswalk_compares_few_pairs(spark):
     assert first.count() + rest.count() < 0.5 * pairs.count()
 
 
+def test_crosswalk_of_a_large_block_stores_no_pairs(spark, tmp_path):
+    from functools import lru_cache
+
+    rng = random.Random(4)
+    names = [" ".join(rng.choices(["letter", "of", "intent", "appeal", "hearing", "order"], k=rng.randint(1, 4))) for _ in range(40)]
+    index = [(7, rng.randrange(10**6), rng.choice(names), rng.choice([None, 1, 2])) for _ in range(600)] + [(8, 1, "order", 1)]
+    files = [(k, 7, f"7 {rng.choice(names)}", rng.choice([None, 1])) for k in range(1100)] + [(5000, 8, "order", 1), (5000, 8, "order", 1), (None, 8, "order", 1), (5001, None, "order", 1)]
+    left = spark.createDataFrame(files, "file_id int, docket_id int, stem string, pages int")
+    right = spark.createDataFrame(index, "docket_id int, entry_id int, name string, pages int")
+    ratio = lru_cache(None)(lambda a, b: SequenceMatcher(None, a, b).ratio())
+    wanted = []
+    for f, d, stem, pages in files:
+        own = sorted((-(ratio(stem.replace(str(d), " ").strip(), text) + (0.15 if pages is not None and pages == p else 0.0)), entry) for block, entry, text, p in index if block == d and f is not None)
+        own = [x for x in own for _ in range(2 if f == 5000 else 1)][:5]
+        sure = own and -own[0][0] >= 0.55 and (len(own) < 2 or own[1][0] - own[0][0] >= 0.08)
+        wanted.append((f, own[0][1] if sure else None, round(-own[0][0], 6) if own else 0.0, [(k + 1, e, round(-n, 6)) for k, (n, e) in enumerate(own)] or None))
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path / "checkpoints"))
+    try:
+        found = [(r.file_id, r.entry_id, r.confidence, r.candidates and [tuple(c) for c in r.candidates]) for r in matching.resolve_files(left, right).collect()]
+    finally:
+        context.setCheckpointDir(before.rpartition("/")[0] if before else str(tmp_path))
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+    assert sum(p.stat().st_size for p in (tmp_path / "checkpoints").rglob("part-*")) < 100_000
+
+
 def test_counts_come_with_the_writing_job(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"id": 1, "name": "a"}\n\n{"id": "x"}\nnot json\n{"id": 2}\n')
     counts = readers.load_snapshot(spark, str(tmp_path / "s.jsonl"), str(tmp_path / "out"))
