@@ -8,8 +8,8 @@ and, since few edits change more bits than that, under ``BANDS`` keys of ``TAKEN
 of features. Those that meet and whose SimHashes differ in at most ``BITS`` bits are candidates, and link where the edit
 distance of the normal forms is at most a fifth of the longer one. What part of such pairs is found: README. Of each group of linked lines the first occurrence (by id, nulls last, then text digest and line number) stays.
 
-As copies come in thousands, each line is first verified against one near leader it shares a key with; pairs are
-then sought between different components alone, in blocks of large keys. There the lines' wide SimHashes (``WIDE`` words of
+As copies come in thousands, each line is first verified against one near leader it shares a key with, then, in large keys, against
+its nearest line of another component; all pairs are then sought between different components alone, in blocks of large keys. There the lines' wide SimHashes (``WIDE`` words of
 64 bits) decide too: 64 bits alone can't tell lines that share half their features from lines that share four fifths, and
 the former, lines around one passage, come in pairs by the square.
 
@@ -42,7 +42,8 @@ ODD = [int(x) | 1 for x in np.random.default_rng(29).integers(1 << 62, 1 << 63,
 WIDE, WIDE_BITS, WIDE_BITS_FEW = 4, 68, 88  # of 256: a share s of equal features differs in acos(s) / pi of the bits on average
 SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(31).integers(1, 1 << 63, WIDE)]
 WIDE_COLUMNS = [f"w{k}" for k in range(2 * WIDE)]  # by words and joints, then by 3-grams
-BLOCK_ROWS, PAIRS, LINES_SENT = 1024, 65_536, 2_000_000
+BLOCK_ROWS, LARGE_CELL, PAIRS, LINES_SENT = 1024, 32, 65_536, 2_000_000
+WORDS_TOGETHER, FEW_TOGETHER, TOGETHER, TOGETHER_BYTES = 8, 32, 4096, 4 << 20  # of edit distances: words of 64 code points, and pairs, that go together
 MARKS = np.zeros(256, bool)
 MARKS[:128] = True
 MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -319,9 +320,18 @@ def shared_keys(bits: int):
     return run
 
 
-def near_pairs(bits: int):
+def nearest(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of pairs that are the least apart of either of their rows."""
+    kept = []
+    for own in (x, y):
+        order = np.lexsort((apart, own))
+        kept.append(order[np.append(True, own[order][1:] != own[order][:-1])] if len(order) else order)
+    return np.unique(np.concatenate(kept))
+
+
+def near_pairs(bits: int, first: bool = False):
     """mapInArrow function over rows (key, i, j, block, id, comp, sim, size, wide columns) sorted by the first three: pairs of
-    different components whose SimHashes are near, the wide ones too."""
+    different components whose SimHashes are near, the wide ones too. With ``first`` each row's nearest alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -342,6 +352,10 @@ def near_pairs(bits: int):
             wide = np.stack([c.to_numpy() for c in columns[8:]], axis=1)
             close = np.concatenate([wide_near(wide[x[k : k + PAIRS]], wide[y[k : k + PAIRS]], size[x[k : k + PAIRS]], size[y[k : k + PAIRS]]) for k in range(0, max(len(x), 1), PAIRS)])
             x, y = x[close], y[close]
+            if first and len(x):
+                apart = np.concatenate([np.bitwise_count((wide[x[k : k + PAIRS]] ^ wide[y[k : k + PAIRS]]).view(np.uint64)).sum(axis=1, dtype=np.int32) for k in range(0, len(x), PAIRS)])
+                chosen = nearest(x, y, apart)
+                x, y = x[chosen], y[chosen]
             if len(x):
                 held.append((own[x], own[y]))
                 many += len(x)
@@ -415,17 +429,108 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most``. As in ``edit_distance`` cells of a column are bits, here of words
+    of 64, and all pairs whose shorter text has as many words go through the columns together; where they are few, or have more than ``WORDS_TOGETHER`` words, alone."""
+    near, sides, left = np.zeros(len(pairs), bool), [], []
+    for k, (a, b) in enumerate(pairs):
+        if abs(len(a) - len(b)) > most[k]:
+            continue
+        same = common_length(a, b)
+        a, b = a[same:], b[same:]
+        same = common_length(a[::-1], b[::-1])
+        a, b = a[: len(a) - same], b[: len(b) - same]
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        if max(len(a), len(b)) <= most[k]:
+            near[k] = True
+        elif a and len(a) <= 64 * WORDS_TOGETHER:
+            sides.append((a, b))
+            left.append(k)
+        elif a:
+            near[k] = edit_distance(a, b, int(most[k])) <= most[k]
+    if left:
+        at = np.array(left)
+        m, n = (np.array([len(x[side]) for x in sides]) for side in (0, 1))
+        order = np.lexsort((-n, (m + 63) // 64))
+        words = (m[order] + 63) // 64
+        cuts = [0, *(np.flatnonzero(words[1:] != words[:-1]) + 1).tolist(), len(order)]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            step = max(TOGETHER // int(words[first]), 1)
+            for k in range(first, last, step):
+                rows = order[k : min(k + step, last)]
+                if len(rows) < FEW_TOGETHER * words[first]:
+                    near[at[rows]] = [edit_distance(*sides[r], int(most[at[r]])) <= most[at[r]] for r in rows]
+                    continue
+                near[at[rows]] = columns_passed([sides[r][0] for r in rows], [sides[r][1] for r in rows], m[rows], n[rows], most[at[rows]])
+    return near
+
+
+def coded(texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points one after another, where each text begins)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size
+
+
+def columns_passed(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether edit distances of pairs (of falling ``n``) are at most ``most``; all of ``a`` have as many words of 64."""
+    (x, x_at), (y, y_at), words, one = coded(a, m), coded(b, n), (int(m[0]) + 63) // 64, np.uint64(1)
+    others = np.unique(np.concatenate([x[x > 127], y[y > 127]]))
+    x, y = (np.where(z > 127, 128 + np.searchsorted(others, z), z).astype(np.int64) for z in (x, y))
+    kinds = 128 + len(others)
+    masks = np.zeros((words, len(a) * kinds), np.uint64)
+    for p in range(int(m.max())):
+        own = np.flatnonzero(m > p)
+        masks[p >> 6, own * kinds + x[x_at[own] + p]] |= one << np.uint64(p & 63)
+    up, down = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    score, top, near, rows = m.copy(), ((m - 1) & 63).astype(np.uint64), np.zeros(len(a), bool), np.arange(len(a))
+    n_at, limit = n.copy(), most
+    for j in range(int(n[0])):
+        ended = np.searchsorted(-n_at, -j)  # texts from here on have no more than j code points
+        if ended < len(rows):
+            near[rows[ended:]] = score[ended:] <= limit[ended:]
+        if ended < len(rows) or j & 7 == 7:  # those that can't come back to the limit leave
+            kept = np.flatnonzero(score[:ended] - (n_at[:ended] - j) <= limit[:ended])
+            if ended < len(rows) or len(kept) < 0.9 * len(rows):
+                rows, score, top, n_at, limit, up, down = rows[kept], score[kept], top[kept], n_at[kept], limit[kept], up[:, kept], down[:, kept]
+            if not len(rows):
+                return near
+        own = rows * kinds + y[y_at[rows] + j]
+        plus, minus = one, np.uint64(0)  # the first row's cells grow by one a column
+        for w in range(words):
+            same, v, d = masks[w][own], up[w], down[w]
+            level = same | d
+            same = same | minus
+            across = (((same & v) + v) ^ v) | same
+            more, less = d | ~(across | v), v & across
+            last = top if w == words - 1 else np.uint64(63)
+            next_plus, next_minus = (more >> last) & one, (less >> last) & one
+            more, less = more << one | plus, less << one | minus
+            up[w], down[w] = less | ~(level | more), more & level
+            plus, minus = next_plus, next_minus
+        score += plus.astype(np.int64) - minus.astype(np.int64)
+    near[rows] = score <= limit
+    return near
+
+
 def verified(forms: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose normal forms (id, form) are similar enough."""
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.concat_batches(held)
+            pairs = list(zip(whole[2].to_pylist(), whole[3].to_pylist(), strict=True))
+            most = ((1 - similarity) * np.array([max(len(x), len(y)) for x, y in pairs]) + 1e-9).astype(np.int64)
+            return pa.RecordBatch.from_arrays(whole.columns[:2], names=["a", "b"]).filter(pa.array(within(pairs, most), pa.bool_()))
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= TOGETHER or sum(h.nbytes for h in held) >= TOGETHER_BYTES:
+                yield judged(held)
+                held.clear()
+        if held:
+            yield judged(held)
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -447,10 +552,17 @@ def removed_lines(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, simil
     likely = cells.where((F.col("apart") <= bits) & (F.col("id") != F.col("leader"))).groupBy("id").agg(F.min_by("leader", "apart").alias("leader"))
     forms = cut(line_texts(docs, known.join(cells.select("id").distinct(), "id").select("id", "place")))
     links = cut(verified(forms, likely.select(F.col("leader").alias("a"), F.col("id").alias("b")), similarity))
-    comps = components(links)
-    placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", wide=forms.select("id", *WIDE_COLUMNS))
-    more = cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(returned(near_pairs(bits)), "a bigint, b bigint").distinct())
+    wide = forms.select("id", *WIDE_COLUMNS)
+
+    def between(comps: DataFrame, first: bool) -> DataFrame:
+        """Near pairs of different components in each cell; ``first``: those of large cells, and each line's nearest alone."""
+        placed = cells.select("key", "id", "sim", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        tasks = block_tasks(placed, BLOCK_ROWS, "sim", "size", wide=wide, over=LARGE_CELL if first else 0)
+        return cut(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(returned(near_pairs(bits, first)), "a bigint, b bigint").distinct())
+
+    # a large group's lines become one component by their nearest, so that its pairs, the square of its size, are not made
+    links = links.unionByName(cut(verified(forms, between(components(links), True), similarity)))
+    more = between(components(links), False)
     discard(cells)
     joined = components(links.unionByName(verified(forms, more, similarity)))
     classed = known.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -605,6 +605,34 @@ def test_near_lines_are_found_by_edit_similarity(spark):
     assert len(near) > 500 and len(near - removed) <= len(near) // 100 and removed <= near
 
 
+def test_pairs_of_a_large_group_of_near_lines_are_not_made(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    passage, made = [word() for _ in range(14)], []
+    for _ in range(500):
+        own = list(passage)
+        for k in rng.sample(range(14), rng.randint(1, 2)):
+            own[k] = word()
+        made.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    seen, real = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda forms, pairs, similarity: seen.append(pairs.count()) or real(forms, pairs, similarity))
+    assert sum(r.n_removed for r in lines.line_digests(docs).collect()) == 499
+    assert sum(seen) < 5000
+
+
+@pytest.mark.parametrize("size", [0, 1, 30, 63, 64, 65, 130, 700])
+def test_edit_distances_together(size):
+    rng = random.Random(size)
+    pairs = []
+    for _ in range(300):
+        a = rng.choices("abcdé字 ", k=size)
+        b = [rng.choice("abé😀") if rng.random() < 0.2 else c for c in a if rng.random() > 0.05] + rng.choices("ab", k=rng.randint(0, 2))
+        pairs.append(("".join(a), "".join(b)))
+    most = np.array([max(len(a), len(b)) // 5 for a, b in pairs])
+    assert lines.within(pairs, most).tolist() == [lines.edit_distance(a, b, int(m)) <= m for (a, b), m in zip(pairs, most, strict=True)]
+
+
 def test_lines_against_all_pairs_of_a_corpus(spark):
     """Recall over lines of the smallest tables, judged by edit similarity of all pairs alone."""
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").collect()]
